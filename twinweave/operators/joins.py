@@ -108,6 +108,7 @@ def interval_join(
     * ``hybrid``: as ``bucket``, keys with a large share of all rows spread over more tasks.
     * ``auto``: as ``bucket``, cells with a large share of all candidate pairs spread over more tasks.
 
+    ``hybrid`` and ``auto`` count rows per cell in a small job of their own first.
     ``row_id`` names a column of ``b`` that tells its rows apart. Without it the salt of
     a row comes from its whole content, and exact copies of one row stay together.
     """
@@ -231,10 +232,13 @@ def _meet(
         if strategy == "data":
             left, right = skew.spread(left, right, [], salt_from, splits=max_split or min(workers, 8))
             left, right = left.withColumnRenamed("_salt", "_a_salt"), right.withColumnRenamed("_salt", "_b_salt")
+            equal.append(("_a_salt", "_b_salt"))
         else:
             cells = equal if strategy == "auto" else equal[: len(keys)]
-            left, right = _split_hot(left, right, cells, salt_from, strategy, workers, threshold, max_split)
-        equal.append(("_a_salt", "_b_salt"))
+            salted = _split_hot(left, right, cells, salt_from, strategy, workers, threshold, max_split)
+            if salted:
+                left, right = salted
+                equal.append(("_a_salt", "_b_salt"))
 
     on = condition
     for l, r in reversed(equal):
@@ -243,11 +247,14 @@ def _meet(
 
 
 def _split_hot(left, right, cells, salt_from, strategy, workers, threshold, max_split):
+    """Both inputs with salts for their hot cells, or None if no cell is hot."""
     names = [f"_cell{i}" for i in range(len(cells))]
     left = left.withColumns({n: F.col(f"`{l}`") for n, (l, _) in zip(names, cells)})
     right = right.withColumns({n: F.col(f"`{r}`") for n, (_, r) in zip(names, cells)})
-    find = skew.hot_pairs if strategy == "auto" else skew.hot_keys
-    hot = skew.bounded(find(left, right, names, workers, threshold, max_split), workers, threshold)
+    load = skew.pair_load if strategy == "auto" else skew.key_load
+    hot = skew.hot_cells(load(left, right, names), names, workers, threshold, max_split)
+    if hot is None:
+        return None
     left, right = skew.spread(left, right, names, salt_from, hot=hot)
     return (
         left.drop(*names).withColumnRenamed("_salt", "_a_salt"),

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from twinweave.functions.integers import as_long, floor_div
 from twinweave.operators.scan import BLOCK_ROWS
 from twinweave.operators.skew import salted_lookup
+from twinweave.session import durable
 
 _BEFORE = (W.unboundedPreceding, -1)
 _UPTO = (W.unboundedPreceding, 0)
@@ -73,11 +74,12 @@ def rate_sample(
     cap = F.greatest(F.lit(0).cast("long"), F.floor(F.lit(float(rate)) * elapsed) + 1)
     rows = df.withColumn("_cap", cap)
 
-    slots = rows.groupBy(sink, "_cap").agg(F.count("*").alias("_n"))
+    slots = durable(rows.groupBy(sink, "_cap").agg(F.count("*").alias("_n")))
     takes = taken_per_slot(slots, sink).where("_take > 0").withColumnRenamed("_cap", "_slot").withColumnRenamed(sink, "_sink")
+    load = slots.select(F.col(sink).alias("_sink"), F.col("_cap").alias("_slot"), F.col("_n").cast("double").alias("load"))
     found = salted_lookup(
         rows.withColumns({"_slot": F.col("_cap"), "_sink": F.col(sink)}), takes, ["_sink", "_slot"],
-        [F.col(c) for c in (at, *order)], workers=workers,
+        [F.col(c) for c in (at, *order)], load, workers=workers,
     )
 
     # A hot slot is ranked in parts first, and of each part only what could be taken goes on.

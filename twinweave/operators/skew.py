@@ -11,17 +11,11 @@ is what makes it safe to broadcast the table of splits.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from twinweave.model import BALANCE_LIMIT
 from twinweave.session import task_slots
 
-#: Most hot cells a split table may hold before it is no longer sent to all executors.
-BROADCAST_CELLS = 1_000_000
-
-
 # --- key statistics -------------------------------------------------------------
 
 def bag_union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -81,33 +75,39 @@ def split_summary(splits: DataFrame, max_split: int) -> DataFrame:
     )
 
 
-def hot_keys(a: DataFrame, b: DataFrame, cell: list[str], workers: int, threshold: float, max_split: int | None) -> DataFrame:
-    """``cell, splits`` of the cells with a large share of all *rows*."""
+def key_load(a: DataFrame, b: DataFrame, cell: list[str]) -> DataFrame:
+    """``cell, load``: rows of both inputs per cell."""
     rows = bag_union(a.select(*cell), b.select(*cell)).dropna("any", subset=cell)
-    return _hot(rows.groupBy(*cell).agg(F.count("*").cast("double").alias("load")), cell, workers, threshold, max_split)
+    return rows.groupBy(*cell).agg(F.count("*").cast("double").alias("load"))
 
 
-def hot_pairs(a: DataFrame, b: DataFrame, cell: list[str], workers: int, threshold: float, max_split: int | None) -> DataFrame:
-    """``cell, splits`` of the cells with a large share of all candidate *pairs*.
+def pair_load(a: DataFrame, b: DataFrame, cell: list[str]) -> DataFrame:
+    """``cell, load``: candidate pairs per cell.
 
     Pairs, not bytes, are the work of a join: 100,000 rows a side are small to
     shuffle and 10 billion pairs to check.
     """
     n_a = a.groupBy(*cell).agg(F.count("*").alias("n_a"))
     n_b = b.groupBy(*cell).agg(F.count("*").alias("n_b"))
-    load = n_a.join(n_b, cell).select(*cell, (F.col("n_a").cast("double") * F.col("n_b")).alias("load"))
-    return _hot(load, cell, workers, threshold, max_split)
-
+    return n_a.join(n_b, cell).select(*cell, (F.col("n_a").cast("double") * F.col("n_b")).alias("load"))
 
-def _hot(load: DataFrame, cell: list[str], workers: int, threshold: float, max_split: int | None) -> DataFrame:
-    total = load.agg(F.sum("load")).scalar()
-    share = F.col("load") / total
-    return load.where(share > F.lit(threshold / workers)).select(*cell, split_degree(share, workers, threshold, max_split).alias("splits"))
 
+def hot_cells(
+    load: DataFrame, cell: list[str], workers: int, threshold: float = BALANCE_LIMIT, max_split: int | None = None
+) -> DataFrame | None:
+    """``cell, splits`` of the cells with more than ``threshold / workers`` of the load, None if there are none.
 
-def bounded(hot: DataFrame, workers: int, threshold: float) -> DataFrame:
-    """Broadcast a table of hot cells, which holds fewer than ``workers / threshold`` rows."""
-    return F.broadcast(hot) if math.ceil(workers / threshold) <= BROADCAST_CELLS else hot
+    Runs one job over the narrow columns of ``cell`` and brings back fewer than
+    ``workers / threshold`` rows, so that the join itself is planned knowing which cells
+    are hot, and without any salting where none is. The numbers steer placement only:
+    any table of splits gives the same joined rows.
+    """
+    share = F.col("load") / load.agg(F.sum("load")).scalar()
+    found = load.where(share > F.lit(threshold / workers)).select(*cell, split_degree(share, workers, threshold, max_split).alias("splits"))
+    rows = found.where("splits > 1").collect()
+    if not rows:
+        return None
+    return F.broadcast(load.sparkSession.createDataFrame(rows, found.schema))
 
 
 def spread(
@@ -117,7 +117,7 @@ def spread(
     salt_from: list[Column],
     *,
     hot: DataFrame | None = None,
-    splits: int | None = None,
+    splits: int = 1,
     salt: str = "_salt",
 ) -> tuple[DataFrame, DataFrame]:
     """Both inputs with a ``salt`` column to join on beside ``cell``.
@@ -129,8 +129,11 @@ def spread(
         copied = copied.join(hot, cell, "left")
         salted = salted.join(hot, cell, "left")
         degree = F.coalesce(F.col("splits"), F.lit(1))
-    else:
+    elif splits > 1:
         degree = F.lit(splits).cast("long")
+    else:
+        none = F.lit(0).cast("long")
+        return copied.withColumn(salt, none), salted.withColumn(salt, none)
     copied = copied.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), degree - 1)))
     salted = salted.withColumn(salt, F.pmod(F.xxhash64(*salt_from), degree))
     return copied.drop("splits"), salted.drop("splits")
@@ -141,18 +144,17 @@ def salted_lookup(
     table: DataFrame,
     on: list[str],
     salt_from: list[Column],
+    load: DataFrame,
     *,
     workers: int | None = None,
     threshold: float = BALANCE_LIMIT,
 ) -> DataFrame:
     """Inner join of ``rows`` to a table with one row per ``on`` value, hot values split.
 
-    Keeps the ``_salt`` column: a window partitioned by ``on`` and ``_salt`` then
-    needs no further shuffle.
+    ``load`` has ``on, load``, the rows per value. Keeps the ``_salt`` column: a window
+    partitioned by ``on`` and ``_salt`` then needs no further shuffle.
     """
-    workers = workers or task_slots(rows.sparkSession)
-    load = rows.select(*on).groupBy(*on).agg(F.count("*").cast("double").alias("load"))
-    hot = bounded(_hot(load, on, workers, threshold, None), workers, threshold)
+    hot = hot_cells(load, on, workers or task_slots(rows.sparkSession), threshold)
     copied, salted = spread(table, rows, on, salt_from, hot=hot)
     return salted.join(copied, [*on, "_salt"])
 
@@ -194,9 +196,10 @@ def worker_keys(placed: DataFrame, key: str, workers: int) -> DataFrame:
     return loads.join(held, "worker", "left").select("worker", F.col("load"), key).orderBy("worker", key)
 
 
-def measured_load(rows: DataFrame, splits: DataFrame, key: str, row_id: Column, workers: int, threshold: float = BALANCE_LIMIT) -> DataFrame:
+def measured_load(rows: DataFrame, splits: DataFrame, key: str, row_id: Column, workers: int) -> DataFrame:
     """``worker, load`` counted from the rows themselves under the same placement."""
-    hot = bounded(splits.where(F.col("splits") > 1).select(key, "splits"), workers, threshold)
+    # more than one split means more than threshold / workers of the rows: few keys, see the top of this file
+    hot = F.broadcast(splits.where(F.col("splits") > 1).select(key, "splits"))
     part = F.pmod(row_id, F.coalesce(F.col("splits"), F.lit(1)))
     counted = (
         rows.join(hot, key, "left")
