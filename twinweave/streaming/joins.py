@@ -98,8 +98,9 @@ def stream_window_join(
         right = right.where(F.pmod(F.unix_micros(bt), as_long(slide_us)) < as_long(size_us))
         length = slide_us
     window = [f"{length} microseconds", f"{slide_us} microseconds"]
-    left = left.withColumn("_a_window", F.window(at, *window))
-    right = right.withColumn("_b_window", F.window(bt, *window))
+    # A stream may have one event-time column: the window. The time itself goes on as an ordinary timestamp.
+    left = left.withColumn("_a_window", F.window(at, *window)).withColumn(f"a__{a_time}", F.timestamp_micros(F.unix_micros(at)))
+    right = right.withColumn("_b_window", F.window(bt, *window)).withColumn(f"b__{b_time}", F.timestamp_micros(F.unix_micros(bt)))
     condition = F.col("_a_window") == F.col("_b_window")
     for k in reversed(keys):
         condition = (a_side[k] == b_side[k]) & condition

@@ -33,7 +33,7 @@ def live_latency_us(ingest_ns: Column) -> Column:
     return F.unix_micros(F.current_timestamp()) - F.call_function("div", ingest_ns, F.lit(1000).cast("long"))
 
 
-def sample_latency(df: DataFrame, ingest_ns: str, folder: str, sink_id: int = 0) -> StreamingQuery:
+def sample_latency(df: DataFrame, ingest_ns: str, folder: str, sink_id: int = 0, *, available_now: bool = False) -> StreamingQuery:
     """Append ``sink_id, at_ns, latency_us`` of every joined row to ``folder``, batch by batch.
 
     A batch that is repeated after a failure replaces its own files, so no row counts twice.
@@ -46,4 +46,5 @@ def sample_latency(df: DataFrame, ingest_ns: str, folder: str, sink_id: int = 0)
         )
         measured.write.mode("overwrite").parquet(f"{folder}/samples/batch={batch_id}")
 
-    return df.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).start()
+    writer = df.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
