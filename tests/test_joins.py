@@ -103,7 +103,7 @@ def test_nanosecond_times_stay_exact(spark):
 
 def test_hot_cell_is_split_and_result_unchanged(spark):
     """A third of the rows in one key and one moment."""
-    rows = [(0, 1, 5)] * 0 + [(0, i, 5) for i in range(200)] + [(1 + i % 50, i, i * 3) for i in range(400)]
+    rows = [(0, i, 5) for i in range(200)] + [(1 + i % 50, i, i * 3) for i in range(400)]
     df = frame(spark, rows)
     joined = interval_join(df, df, "key", "ts", "ts", -10, 10, select=numeric_pair(), workers=16)
     assert "_salt" in joined._jdf.queryExecution().analyzed().toString()
