@@ -61,6 +61,9 @@ def test_interval_equals_brute_force(spark, lower, upper):
     for strategy in STRATEGIES:
         got = rows_of(interval_join(da, db, "key", "ts", "ts", lower, upper, select=numeric_pair(), strategy=strategy, workers=4))
         assert got == expected, strategy
+    for strategy in ("data", "hybrid", "auto"):
+        got = rows_of(interval_join(da, db, "key", "ts", "ts", lower, upper, select=numeric_pair(), strategy=strategy, workers=4, bucketed=False))
+        assert got == expected, strategy
 
 
 @pytest.mark.parametrize("size,slide", [(500, 500), (600, 200), (500, 200), (100, 700), (1, 1), (7, 3), (3, 100), (1000, 999)])

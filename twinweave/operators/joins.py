@@ -92,6 +92,7 @@ def interval_join(
     select: PairColumns | None = None,
     where: PairCondition | None = None,
     strategy: str = "auto",
+    bucketed: bool = True,
     bucket_width: int | None = None,
     workers: int | None = None,
     threshold: float = BALANCE_LIMIT,
@@ -103,12 +104,14 @@ def interval_join(
     ``strategy`` only decides where rows go, never which pairs come out:
 
     * ``key``: all rows of a key in one task, the fewest copies; for many small keys.
-    * ``bucket``: key and time bucket.
-    * ``data``: as ``bucket``, each cell spread over ``max_split`` tasks.
-    * ``hybrid``: as ``bucket``, keys with a large share of all rows spread over more tasks.
-    * ``auto``: as ``bucket``, cells with a large share of all candidate pairs spread over more tasks.
-
-    ``hybrid`` and ``auto`` count rows per cell in a small job of their own first.
+    * ``bucket``: a cell of key and time bucket in one task; cheapest where no cell is hot.
+    * ``data``: every cell spread over ``max_split`` tasks (default 4).
+    * ``hybrid``: cells with a large share of all rows spread over more tasks.
+    * ``auto``: cells with a large share of all candidate pairs spread over more tasks.
+
+    ``hybrid`` and ``auto`` count rows per cell in a small job of their own first. With
+    ``bucketed=False`` the last three work on whole keys, as a key-partitioned engine would;
+    a key's rows are then compared with each other at all times.
     ``row_id`` names a column of ``b`` that tells its rows apart. Without it the salt of
     a row comes from its whole content, and exact copies of one row stay together.
     """
@@ -126,7 +129,7 @@ def interval_join(
     width = bucket_width or max(1, upper - lower)
     joined = _meet(
         left, right, a_side, b_side, keys, within,
-        spans=None if strategy == "key" or lower > upper else (
+        spans=None if strategy == "key" or not bucketed or lower > upper else (
             floor_div(at + as_long(lower), width), floor_div(at + as_long(upper), width), floor_div(bt, width)),
         strategy=strategy, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id,
     )
@@ -227,15 +230,14 @@ def _meet(
         right = right.withColumn("_b_bucket", own)
         equal.append(("_a_bucket", "_b_bucket"))
 
-    if strategy in ("data", "hybrid", "auto") and spans is not None:
+    if strategy in ("data", "hybrid", "auto"):
         workers = workers or task_slots(left.sparkSession)
         if strategy == "data":
-            left, right = skew.spread(left, right, [], salt_from, splits=max_split or min(workers, 8))
+            left, right = skew.spread(left, right, [], salt_from, splits=max_split or min(workers, 4))
             left, right = left.withColumnRenamed("_salt", "_a_salt"), right.withColumnRenamed("_salt", "_b_salt")
             equal.append(("_a_salt", "_b_salt"))
         else:
-            cells = equal if strategy == "auto" else equal[: len(keys)]
-            salted = _split_hot(left, right, cells, salt_from, strategy, workers, threshold, max_split)
+            salted = _split_hot(left, right, equal, salt_from, strategy, workers, threshold, max_split)
             if salted:
                 left, right = salted
                 equal.append(("_a_salt", "_b_salt"))

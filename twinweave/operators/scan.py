@@ -33,7 +33,7 @@ def running_total(
     (before this one if ``exclusive``) in ``row_id`` order, separately for each ``by`` value."""
     by = list(by or [])
     block = floor_div(F.col(row_id).cast("long"), block_rows)
-    rows = df.withColumns({"_amount": amount.cast("long"), "_block": block})
+    rows = df.withColumns({"_amount": amount, "_block": block})
 
     blocks = rows.groupBy(*by, "_block").agg(F.sum("_amount").alias("_sum"))
     blocks = blocks.withColumn("_group", floor_div(F.col("_block"), block_rows))

@@ -87,9 +87,10 @@ def pair_load(a: DataFrame, b: DataFrame, cell: list[str]) -> DataFrame:
     Pairs, not bytes, are the work of a join: 100,000 rows a side are small to
     shuffle and 10 billion pairs to check.
     """
-    n_a = a.groupBy(*cell).agg(F.count("*").alias("n_a"))
-    n_b = b.groupBy(*cell).agg(F.count("*").alias("n_b"))
-    return n_a.join(n_b, cell).select(*cell, (F.col("n_a").cast("double") * F.col("n_b")).alias("load"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = bag_union(a.select(*cell, one.alias("a"), none.alias("b")), b.select(*cell, none.alias("a"), one.alias("b")))
+    counts = both.groupBy(*cell).agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    return counts.select(*cell, (F.col("a") * F.col("b")).alias("load")).dropna("any", subset=cell)
 
 
 def hot_cells(

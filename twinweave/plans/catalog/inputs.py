@@ -11,8 +11,8 @@ from twinweave.operators.scan import running_total
 from twinweave.operators.skew import key_frequency
 from twinweave.plans.catalog.joins import ROUND_ROBIN_SQL
 from twinweave.plans.catalog.registry import DRAW_1_SQL, DRAW_2_SQL, draw_1, draw_2, events, query, sql
-from twinweave.plans.experiments import comparison_streams, interval_experiment
-from twinweave.session import fresh_dir
+from twinweave.plans.experiments import comparison_streams, interval_experiment, window_experiment
+from twinweave.session import durable, fresh_dir
 from twinweave.sources import files, generated, timeline
 
 KEYS = 50
@@ -144,16 +144,30 @@ def shifted(spark, sf):
     return timeline.shifted(events(spark, sf).withColumn("ts", trunc_div(F.col("ts"), 1000))).select("event_id", "event_us")
 
 
+def _timed_file(spark, sf, base_ms):
+    """A dataset file with event times, written once: the joins below read it several times."""
+    read = files.read_synthetic(spark, written(spark, sf, "experiment"), value=model.CONSTANT_VALUE)
+    return durable(timeline.with_event_time(read, base_ms=base_ms, out="ts"))
+
+
 @query("file_interval_experiment", sql(f"""
   SELECT x.key, 10::BIGINT AS value, GREATEST(x.elapsed_ms, y.elapsed_ms) * 1000 + {BASE * 1000} AS ts
   FROM timed x JOIN timed y ON x.key = y.key AND y.elapsed_ms BETWEEN x.elapsed_ms - 30000 AND x.elapsed_ms + 30000""", TIMED_SQL))
 def file_interval_experiment(spark, sf):
     """From a dataset file to joined rows: +-30 s, the widest interval of the benchmark series."""
-    path = written(spark, sf, "experiment")
-    rows = timeline.with_event_time(files.read_synthetic(spark, path, value=model.CONSTANT_VALUE), out="ts")
+    rows = _timed_file(spark, sf, BASE)
     return interval_experiment(rows, rows, -30000, 30000)
 
 
+@query("file_window_experiment", sql("""
+  SELECT x.key, 10::BIGINT AS value, GREATEST(x.elapsed_ms, y.elapsed_ms) * 1000 AS ts, x.elapsed_ms // 20000 * 20000000 AS w_start
+  FROM timed x JOIN timed y ON x.key = y.key AND x.elapsed_ms // 20000 = y.elapsed_ms // 20000""", TIMED_SQL))
+def file_window_experiment(spark, sf):
+    """The same with tumbling windows of 20 s, which start at time 0, and split hot keys."""
+    rows = _timed_file(spark, sf, 0)
+    return window_experiment(rows, rows, 20000, strategy="hybrid")
+
+
 # --- generators -------------------------------------------------------------------
 
 @query("g1_uniform_keys", sql(f"SELECT event_id AS row_id, 1 + CAST(floor({DRAW_1_SQL} * {KEYS}) AS BIGINT) AS key FROM ev"))

@@ -145,6 +145,12 @@ def interval_hybrid(spark, sf):
     return _near(skewed_keys(spark, sf), "hybrid", workers=8)
 
 
+@query("j9_interval_hybrid_whole_keys", _few_sql("skewed"))
+def interval_hybrid_whole_keys(spark, sf):
+    """Hot keys split without time buckets: by key probability alone."""
+    return _near(skewed_keys(spark, sf), "hybrid", workers=8, bucketed=False)
+
+
 @query("j9_tumbling_hybrid", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id, x.ts // {HOUR} * {HOUR} AS w_start
   FROM skewed x JOIN skewed y ON x.key = y.key AND x.ts // {HOUR} = y.ts // {HOUR}"""))
 def tumbling_hybrid(spark, sf):

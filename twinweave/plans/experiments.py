@@ -9,17 +9,24 @@ from twinweave.functions.integers import as_long, trunc_div
 from twinweave.operators import accounting
 from twinweave.operators.joins import interval_join, numeric_pair, sum_below, text_pair, window_join
 from twinweave.operators.sampling import rate_sample
+from twinweave.session import durable
 from twinweave.sources.files import read_pair, read_synthetic
 from twinweave.sources.generated import round_robin
-from twinweave.sources.timeline import replay, replicate, shifted
+from twinweave.sources.timeline import repeat, replicate, shifted, with_event_time
 
 
 def load_streams(
     spark: SparkSession, path: str, *, passes: int = 1, copies: tuple[int, int] = (1, 1), base_ms: int = model.EVENT_TIME_BASE_MS
 ) -> tuple[DataFrame, DataFrame]:
-    """Both inputs of a synthetic dataset with event time in us, played ``passes`` times by each source copy."""
+    """Both inputs of a synthetic dataset with event time in us, played ``passes`` times by each source copy.
+
+    A join reads its inputs more than once, so they are written once with their times
+    (each pass and copy is made on reading).
+    """
     def stream(df: DataFrame, n: int) -> DataFrame:
-        played = replay(df, passes, base_ms=base_ms, out="ts")
+        timed = durable(with_event_time(df, base_ms=base_ms, out="ts"))
+        span = timed.agg(F.coalesce(F.max("ts"), as_long(0)) - as_long(base_ms * 1000)).scalar()
+        played = repeat(timed, passes, span, out="ts")
         return replicate(played, n).select("row_id", "pass", "replica", "key", "value", "ts")
 
     a, b = read_pair(read_synthetic, spark, path)

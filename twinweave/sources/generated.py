@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinweave import model
 from twinweave.functions import draws, text
@@ -77,7 +77,7 @@ def key_pmf(spark: SparkSession, num_keys: int, exponent: float = 0.0) -> DataFr
     """
     weights = spark.range(1, num_keys + 1).select(F.col("id").alias("key"), F.pow(F.col("id").cast("double"), F.lit(-exponent)).alias("w"))
     pmf = weights.select("key", (F.col("w") / weights.agg(F.sum("w")).scalar()).alias("pmf"))
-    return pmf.withColumn("cumulative", F.sum("pmf").over(W.orderBy("key").rowsBetween(W.unboundedPreceding, 0)))
+    return running_total(pmf, F.col("pmf"), "key", "cumulative")
 
 
 def distribution_check(pmf: DataFrame, freq: DataFrame) -> DataFrame:

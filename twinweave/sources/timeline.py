@@ -42,8 +42,13 @@ def replay(
     """
     total = df.agg(F.coalesce(F.sum(gap_ms(offset)), F.lit(0))).scalar()
     once = with_event_time(df, row_id=row_id, offset=offset, base_ms=base_ms, out=out)
-    turns = once.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), as_long(passes - 1))))
-    return turns.withColumn(out, F.col(out) + F.col("pass") * total * as_long(1000))
+    return repeat(once, passes, total * as_long(1000), out=out)
+
+
+def repeat(timed: DataFrame, passes: int, span_us: Column, *, out: str = "event_us") -> DataFrame:
+    """A stream that already has its event time ``passes`` times in a row, each ``span_us`` after the one before."""
+    turns = timed.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), as_long(passes - 1))))
+    return turns.withColumn(out, F.col(out) + F.col("pass") * span_us)
 
 
 def replicate(df: DataFrame, parallelism: int) -> DataFrame:
