@@ -8,8 +8,14 @@ from twinweave.functions.integers import trunc_div
 
 
 def ntz_micros(ts: str | Column) -> Column:
-    """Microseconds since 1970 of a zone-less timestamp, whatever the session time zone is."""
-    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(ts) if isinstance(ts, str) else ts)
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session time zone is.
+
+    ``timestampdiff`` and ``unix_micros`` go through the session time zone, where the hour
+    skipped in spring does not exist; a difference of two zone-less timestamps does not.
+    """
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    seconds = (ts - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")).cast("interval second").cast("decimal(18,6)")
+    return (seconds * F.lit(1_000_000)).cast("long")
 
 
 def ns_to_us(ns: Column) -> Column:

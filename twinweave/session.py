@@ -53,13 +53,16 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and read it from there on.
+    """Write ``df`` to the shared folder once and read it from there on.
 
-    For columns that are only stable within one run of a shuffle (such as the
-    partition number after a range partitioning) and are used twice.
+    For inputs that are costly and read several times, and for columns that are only
+    stable within one run of a shuffle (the partition number after a range
+    partitioning). A table rather than a checkpoint: its size is known, so Spark
+    decides for or against a broadcast by that.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = fresh_dir(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def task_slots(spark: SparkSession) -> int:
