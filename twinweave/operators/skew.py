@@ -98,17 +98,18 @@ def hot_cells(
 ) -> DataFrame | None:
     """``cell, splits`` of the cells with more than ``threshold / workers`` of the load, None if there are none.
 
-    Runs one job over the narrow columns of ``cell`` and brings back fewer than
-    ``workers / threshold`` rows, so that the join itself is planned knowing which cells
-    are hot, and without any salting where none is. The numbers steer placement only:
-    any table of splits gives the same joined rows.
+    Runs a job over the narrow columns of ``cell`` for total and peak, and only if the peak
+    is hot a second one that brings back fewer than ``workers / threshold`` rows. So the join
+    is planned knowing which cells are hot, and without any salting where none is. The
+    numbers steer placement only: any table of splits gives the same joined rows.
     """
-    share = F.col("load") / load.agg(F.sum("load")).scalar()
-    found = load.where(share > F.lit(threshold / workers)).select(*cell, split_degree(share, workers, threshold, max_split).alias("splits"))
-    rows = found.where("splits > 1").collect()
-    if not rows:
+    whole = load.agg(F.sum("load").alias("total"), F.max("load").alias("peak")).first()
+    if not whole["total"] or whole["peak"] <= whole["total"] * threshold / workers:
         return None
-    return F.broadcast(load.sparkSession.createDataFrame(rows, found.schema))
+    share = F.col("load") / F.lit(whole["total"])
+    found = load.select(*cell, split_degree(share, workers, threshold, max_split).alias("splits")).where("splits > 1")
+    rows = found.collect()
+    return F.broadcast(load.sparkSession.createDataFrame(rows, found.schema)) if rows else None
 
 
 def spread(

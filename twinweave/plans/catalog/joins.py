@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinweave.functions.clock import ntz_micros
 from twinweave.model import PAIR_SUM_LIMIT
 from twinweave.operators.joins import interval_join, numeric_pair, sum_below, text_pair, window_join
-from twinweave.plans.catalog.registry import HOUR, MINUTE, clicks, events, few_keys, query, skewed_keys, sql, table, views
+from twinweave.plans.catalog.registry import HOUR, MINUTE, click_view, events, few_keys, query, skewed_keys, sql, table
 from twinweave.plans.experiments import comparison_join, comparison_streams
 
 DAY = 24 * HOUR
@@ -24,7 +24,7 @@ SIX_HOURS = f"b.ts BETWEEN a.ts - {6 * HOUR} AND a.ts + {6 * HOUR}"
 
 @query("j1_interval_click_view", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
 def interval_click_view(spark, sf):
-    return interval_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, select=ids, row_id="event_id")
+    return interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, select=ids, row_id="event_id")
 
 
 @query("j1_interval_orders_lineitem", f"""
@@ -45,20 +45,20 @@ def interval_orders_lineitem(spark, sf):
   SELECT a.user_id, a.value + b.value AS value, GREATEST(a.ts, b.ts) AS ts
   FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS} AND a.value + b.value < {PAIR_SUM_LIMIT}"""))
 def interval_theta(spark, sf):
-    return interval_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR,
+    return interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR,
                          select=numeric_pair("user_id"), where=sum_below(PAIR_SUM_LIMIT), row_id="event_id")
 
 
 @query("j3_interval_backward", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - {6 * HOUR} AND a.ts"))
 def interval_backward(spark, sf):
-    return interval_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 0, select=ids, row_id="event_id")
+    return interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 0, select=ids, row_id="event_id")
 
 
 @query("j4_tumbling_join", sql(f"""
   SELECT {IDS_SQL}, a.ts // {6 * HOUR} * {6 * HOUR} AS w_start
   FROM a JOIN b ON a.user_id = b.user_id AND a.ts // {6 * HOUR} = b.ts // {6 * HOUR}"""))
 def tumbling_join(spark, sf):
-    return window_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", 6 * HOUR, select=ids, row_id="event_id")
+    return window_join(*click_view(spark, sf), "user_id", "ts", "ts", 6 * HOUR, select=ids, row_id="event_id")
 
 
 def _windows_sql(size: int, slide: int) -> str:
@@ -75,17 +75,17 @@ def _windows_sql(size: int, slide: int) -> str:
 
 @query("j5_sliding_join", _windows_sql(6 * HOUR, 2 * HOUR))
 def sliding_join(spark, sf):
-    return window_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", 6 * HOUR, 2 * HOUR, select=ids, row_id="event_id")
+    return window_join(*click_view(spark, sf), "user_id", "ts", "ts", 6 * HOUR, 2 * HOUR, select=ids, row_id="event_id")
 
 
 @query("j5_sliding_join_uneven", _windows_sql(5 * HOUR, 2 * HOUR))
 def sliding_join_uneven(spark, sf):
-    return window_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", 5 * HOUR, 2 * HOUR, select=ids, row_id="event_id")
+    return window_join(*click_view(spark, sf), "user_id", "ts", "ts", 5 * HOUR, 2 * HOUR, select=ids, row_id="event_id")
 
 
 @query("j5_hopping_gap_join", _windows_sql(2 * HOUR, 6 * HOUR))
 def hopping_gap_join(spark, sf):
-    return window_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", 2 * HOUR, 6 * HOUR, select=ids, row_id="event_id")
+    return window_join(*click_view(spark, sf), "user_id", "ts", "ts", 2 * HOUR, 6 * HOUR, select=ids, row_id="event_id")
 
 
 ROUND_ROBIN_SQL = """
@@ -113,7 +113,7 @@ ODD_WINDOW = 6 * HOUR + 1
   FROM a JOIN b ON a.user_id = b.user_id AND a.ts // {ODD_WINDOW} = b.ts // {ODD_WINDOW}"""))
 def window_in_micros(spark, sf):
     """A window length of no whole number of ms is kept to the microsecond."""
-    return window_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", ODD_WINDOW, select=ids, row_id="event_id")
+    return window_join(*click_view(spark, sf), "user_id", "ts", "ts", ODD_WINDOW, select=ids, row_id="event_id")
 
 
 def pair_ids(a, b):
@@ -132,7 +132,7 @@ def _near(rows, strategy, **options):
 @query("j7_interval_key", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
 def interval_key(spark, sf):
     """Many keys with few rows each: the case key partitioning is made for."""
-    return interval_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, select=ids, strategy="key")
+    return interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, select=ids, strategy="key")
 
 
 @query("j8_interval_data", _few_sql("few"))
@@ -201,7 +201,7 @@ def pair_filter(spark, sf):
 @query("f4_pair_projection", sql(f"""SELECT a.user_id, a.value + b.value AS value, GREATEST(a.ts, b.ts) AS ts
   FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"""))
 def pair_projection(spark, sf):
-    return interval_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, select=numeric_pair("user_id"), row_id="event_id")
+    return interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, select=numeric_pair("user_id"), row_id="event_id")
 
 
 @query("f5_text_projection", sql(f"""SELECT 'key_' || a.user_id AS key, CAST(a.event_id AS VARCHAR) || CAST(b.event_id AS VARCHAR) AS value,
@@ -209,20 +209,21 @@ def pair_projection(spark, sf):
 def text_projection(spark, sf):
     def strings(df):
         return df.select(F.concat(F.lit("key_"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").cast("string").alias("value"), "ts")
-    return interval_join(strings(clicks(spark, sf)), strings(views(spark, sf)), "key", "ts", "ts", -6 * HOUR, 6 * HOUR, select=text_pair())
+    a, b = click_view(spark, sf)
+    return interval_join(strings(a), strings(b), "key", "ts", "ts", -6 * HOUR, 6 * HOUR, select=text_pair())
 
 
 @query("x1_pair_function", sql(f"""SELECT a.user_id, a.value * b.value AS product, b.ts - a.ts AS gap_us
   FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"""))
 def pair_function(spark, sf):
-    return interval_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, row_id="event_id", select=lambda a, b: [
+    return interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, row_id="event_id", select=lambda a, b: [
         a.user_id.alias("user_id"), (a.value * b.value).alias("product"), (b.ts - a.ts).alias("gap_us")])
 
 
 @query("x2_optional_pair_function", sql(f"""SELECT a.user_id, a.value * b.value AS product
   FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS} AND a.value > b.value"""))
 def optional_pair_function(spark, sf):
-    return interval_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, row_id="event_id",
+    return interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, row_id="event_id",
                          where=lambda a, b: a.value > b.value,
                          select=lambda a, b: [a.user_id.alias("user_id"), (a.value * b.value).alias("product")])
 

@@ -43,12 +43,10 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def clicks(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).where("event_type = 'click'")
-
-
-def views(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).where("event_type = 'view'")
+def click_view(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The first and the second input of most joins."""
+    rows = events(spark, sf)
+    return rows.where("event_type = 'click'"), rows.where("event_type = 'view'")
 
 
 def few_keys(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from twinweave import sinks
 from twinweave.operators import accounting
 from twinweave.operators.joins import interval_join, numeric_pair
 from twinweave.plans import report
-from twinweave.plans.catalog.registry import HOUR, clicks, events, query, sql, views
+from twinweave.plans.catalog.registry import HOUR, click_view, events, query, sql
 from twinweave.session import durable, fresh_dir
 from twinweave.sources import results
 
@@ -107,7 +107,7 @@ def label_order(spark, sf):
   FROM a JOIN b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - {HOUR} AND a.ts + {HOUR}"""))
 def joined_lines(spark, sf):
     folder = fresh_dir(spark, "lines")
-    joined = interval_join(clicks(spark, sf), views(spark, sf), "user_id", "ts", "ts", -HOUR, HOUR, select=numeric_pair("user_id"), row_id="event_id")
+    joined = interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -HOUR, HOUR, select=numeric_pair("user_id"), row_id="event_id")
     sinks.write_pairs(joined, folder, key="user_id", event_us="ts")
     return spark.read.text(folder).withColumnRenamed("value", "line")
 

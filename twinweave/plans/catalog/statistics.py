@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinweave.operators import accounting, skew
 from twinweave.operators.quantiles import percentiles
 from twinweave.operators.sampling import rate_sample
-from twinweave.plans.catalog.registry import clicks, events, query, skewed_keys, sql, views
+from twinweave.plans.catalog.registry import click_view, events, query, skewed_keys, sql
 
 WORKERS, THRESHOLD, MAX_SPLIT, NUM_KEYS = 8, 1.2, 4, 25
 
@@ -41,7 +41,7 @@ def key_frequency(spark, sf):
                                "FROM ev WHERE event_type IN ('click', 'view') GROUP BY user_id"))
 def user_frequency(spark, sf):
     """Without a declared number of keys only keys that occur are counted."""
-    return skew.key_frequency(clicks(spark, sf), views(spark, sf), "user_id").withColumn("prob", F.round("prob", 9))
+    return skew.key_frequency(*click_view(spark, sf), "user_id").withColumn("prob", F.round("prob", 9))
 
 
 @query("a3_load_balance", sql("SELECT round(max(load) / avg(load), 9) AS balance, min(load) > 0 AS all_loaded FROM loads", FREQ, SPLITS, PLACED, LOADS))
@@ -80,7 +80,7 @@ def least_loaded_worker(spark, sf):
 
 @query("u1_union", sql("SELECT event_id, user_id, event_type FROM a UNION ALL SELECT event_id, user_id, event_type FROM b"))
 def union(spark, sf):
-    return skew.bag_union(clicks(spark, sf), views(spark, sf)).select("event_id", "user_id", "event_type")
+    return skew.bag_union(*click_view(spark, sf)).select("event_id", "user_id", "event_type")
 
 
 # --- sampling ---------------------------------------------------------------------
