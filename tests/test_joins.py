@@ -61,8 +61,8 @@ def test_interval_equals_brute_force(spark, lower, upper):
     for strategy in STRATEGIES:
         got = rows_of(interval_join(da, db, "key", "ts", "ts", lower, upper, select=numeric_pair(), strategy=strategy, workers=4))
         assert got == expected, strategy
-    for strategy in ("data", "hybrid", "auto"):
-        got = rows_of(interval_join(da, db, "key", "ts", "ts", lower, upper, select=numeric_pair(), strategy=strategy, workers=4, bucketed=False))
+    for strategy in ("hybrid", "auto"):
+        got = rows_of(interval_join(da, db, "key", "ts", "ts", lower, upper, select=numeric_pair(), strategy=strategy, workers=4, split_by="key"))
         assert got == expected, strategy
 
 

@@ -92,7 +92,7 @@ def interval_join(
     select: PairColumns | None = None,
     where: PairCondition | None = None,
     strategy: str = "auto",
-    bucketed: bool = True,
+    split_by: str = "cell",
     bucket_width: int | None = None,
     workers: int | None = None,
     threshold: float = BALANCE_LIMIT,
@@ -110,14 +110,15 @@ def interval_join(
     * ``auto``: cells with a large share of all candidate pairs spread over more tasks.
 
     ``hybrid`` and ``auto`` count rows per cell in a small job of their own first. With
-    ``bucketed=False`` the last three work on whole keys, as a key-partitioned engine would;
-    a key's rows are then compared with each other at all times.
+    ``split_by="key"`` they count per key instead and split every cell of a hot key.
     ``row_id`` names a column of ``b`` that tells its rows apart. Without it the salt of
     a row comes from its whole content, and exact copies of one row stay together.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
+    if split_by not in ("cell", "key"):
+        raise ValueError("split_by must be cell or key")
     left, a_side = tag(a, "a__")
     right, b_side = tag(b, "b__")
     at, bt = a_side[a_time], b_side[b_time]
@@ -129,9 +130,9 @@ def interval_join(
     width = bucket_width or max(1, upper - lower)
     joined = _meet(
         left, right, a_side, b_side, keys, within,
-        spans=None if strategy == "key" or not bucketed or lower > upper else (
+        spans=None if strategy == "key" or lower > upper else (
             floor_div(at + as_long(lower), width), floor_div(at + as_long(upper), width), floor_div(bt, width)),
-        strategy=strategy, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id,
+        strategy=strategy, split_by=split_by, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id,
     )
     return joined.select(*pair_columns(a_side, b_side, select))
 
@@ -211,6 +212,7 @@ def _meet(
     threshold: float,
     max_split: int | None,
     row_id: str | None,
+    split_by: str = "cell",
     always_bucket: bool = False,
 ) -> DataFrame:
     """The equi-join behind both joins.
@@ -230,14 +232,15 @@ def _meet(
         right = right.withColumn("_b_bucket", own)
         equal.append(("_a_bucket", "_b_bucket"))
 
-    if strategy in ("data", "hybrid", "auto"):
+    if strategy in ("data", "hybrid", "auto") and spans is not None:
         workers = workers or task_slots(left.sparkSession)
         if strategy == "data":
             left, right = skew.spread(left, right, [], salt_from, splits=max_split or min(workers, 4))
             left, right = left.withColumnRenamed("_salt", "_a_salt"), right.withColumnRenamed("_salt", "_b_salt")
             equal.append(("_a_salt", "_b_salt"))
         else:
-            salted = _split_hot(left, right, equal, salt_from, strategy, workers, threshold, max_split)
+            cells = equal if split_by == "cell" else equal[: len(keys)]
+            salted = _split_hot(left, right, cells, salt_from, strategy, workers, threshold, max_split)
             if salted:
                 left, right = salted
                 equal.append(("_a_salt", "_b_salt"))

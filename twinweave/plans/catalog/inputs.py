@@ -115,10 +115,12 @@ def replicas(spark, sf):
     return timeline.replicate(timeline.with_event_time(offsets(spark, sf)), 3).select("event_id", "replica", "event_us")
 
 
-@query("s10_bounded_run", sql("SELECT event_id, event_id * 20000 AS emit_us FROM ev WHERE event_id * 20000 <= 60000000"))
+@query("s10_bounded_run", sql("""SELECT event_id, emit_us FROM (
+  SELECT event_id, CAST(floor(event_id * (1e6 / ((SELECT count(*) FROM ev) / 80.0e0))) AS BIGINT) AS emit_us FROM ev) WHERE emit_us <= 60000000"""))
 def bounded_run(spark, sf):
-    """60 seconds of a source that sends 50 rows per second."""
-    return timeline.bounded_run(timeline.paced(offsets(spark, sf), 50), 60).select("event_id", "emit_us")
+    """60 seconds of a source that would need 80 seconds for the whole table."""
+    rows = offsets(spark, sf)
+    return timeline.bounded_run(timeline.paced(rows, rows.count() / 80), 60).select("event_id", "emit_us")
 
 
 @query("s11_paced_source", sql("SELECT event_id, CAST(floor(event_id * (1e6 / 300)) AS BIGINT) AS emit_us FROM ev"))

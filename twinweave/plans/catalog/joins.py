@@ -147,8 +147,8 @@ def interval_hybrid(spark, sf):
 
 @query("j9_interval_hybrid_whole_keys", _few_sql("skewed"))
 def interval_hybrid_whole_keys(spark, sf):
-    """Hot keys split without time buckets: by key probability alone."""
-    return _near(skewed_keys(spark, sf), "hybrid", workers=8, bucketed=False)
+    """Hot keys found by key probability alone; all their cells are split."""
+    return _near(skewed_keys(spark, sf), "hybrid", workers=8, split_by="key")
 
 
 @query("j9_tumbling_hybrid", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id, x.ts // {HOUR} * {HOUR} AS w_start

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # sort-merge joins become hash joins where every shuffled partition is known to be small
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # join state outgrows the heap long before it outgrows local disks
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
 }

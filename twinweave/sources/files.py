@@ -124,7 +124,13 @@ def read_pair(reader: Callable[..., DataFrame], spark: SparkSession, path: str,
     return reader(spark, path, **options), reader(spark, text.partner_path(path), **options)
 
 
-def write_synthetic(df: DataFrame, path: str, num_keys: int, size: int, *, files: int = 8) -> None:
+def _in_row_order(df: DataFrame, files: int | None) -> DataFrame:
+    """Range-partitioned by row id: part files follow each other. Without ``files`` their number grows with the data."""
+    parts = df.repartitionByRange(files, "row_id") if files else df.repartitionByRange("row_id")
+    return parts.sortWithinPartitions("row_id")
+
+
+def write_synthetic(df: DataFrame, path: str, num_keys: int, size: int, *, files: int | None = None) -> None:
     """Write ``row_id, key, ts_off`` as a folder of synthetic files that follow each other in row order.
 
     Every file carries the header line, written as a column header of the same two numbers.
@@ -133,15 +139,15 @@ def write_synthetic(df: DataFrame, path: str, num_keys: int, size: int, *, files
     if num_keys == size:
         names[1] = f"0{size}"
     (
-        df.repartitionByRange(files, "row_id").sortWithinPartitions("row_id")
+        _in_row_order(df, files)
         .select(F.col("key").alias(names[0]), F.col("ts_off").alias(names[1]))
         .write.mode("errorifexists").option("sep", text.SEPARATOR).option("header", True).csv(path)
     )
 
 
-def write_lines(df: DataFrame, path: str, columns: list[str], *, files: int = 8) -> None:
+def write_lines(df: DataFrame, path: str, columns: list[str], *, files: int | None = None) -> None:
     """Write ``columns`` of each row separated by ``|`` without a header, in ``row_id`` order."""
     (
-        df.repartitionByRange(files, "row_id").sortWithinPartitions("row_id").select(*columns)
+        _in_row_order(df, files).select(*columns)
         .write.mode("errorifexists").option("sep", text.SEPARATOR).csv(path)
     )

@@ -55,7 +55,7 @@ def write_dataset(
     size: int = model.DEFAULT_ROWS,
     skew: float = model.DEFAULT_SKEW,
     rows: DataFrame | None = None,
-    files: int = 8,
+    files: int | None = None,
 ) -> str:
     """Write both inputs of a dataset with independent seeds and return the path of the first.
 
