@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twinweave.model import PERCENTILES
+from twinweave.model import PERCENTILE_NAMES, PERCENTILES
 from twinweave.operators.quantiles import percentiles
 
 #: Fixed value: bytes per MB.
@@ -62,13 +62,12 @@ def latency_summary(
     wide = ranks.groupBy(*by).agg(*[
         F.max(F.when(F.col("prob") == F.lit(p), F.col("value"))).alias(str(int(round(p * 100)))) for p in PERCENTILES
     ])
-    joined = base.join(wide, by)
-    if totals is None:
-        joined = joined.withColumn("total", F.col("samples"))
-    else:
-        joined = joined.join(totals.where("total > 0"), by)
-    names = ["0", *[str(int(round(p * 100))) for p in PERCENTILES], "100"]
-    return joined.select(*by, "total", "samples", "mean", *[F.col(f"`{n}`") for n in names])
+    # One row per group and part, laid on top of each other: no join, so a constant group cannot make it a cross join.
+    offered = base.select(*by, F.col("samples").alias("total")) if totals is None else totals.where("total > 0").select(*by, "total")
+    parts = base.unionByName(wide, allowMissingColumns=True).unionByName(offered, allowMissingColumns=True)
+    names = ["total", "samples", "mean", *PERCENTILE_NAMES]
+    merged = parts.groupBy(*by).agg(*[F.max(f"`{n}`").alias(n) for n in names])
+    return merged.where("samples > 0 AND total > 0")
 
 
 def merge_totals(totals: DataFrame, by: Sequence[str]) -> DataFrame:
