@@ -171,3 +171,13 @@ def test_key_text(spark):
         spark.createDataFrame([("key_x",)], "s string").select(text.key_id(F.col("s"))).collect()
     assert spark.range(1).select(text.replace_first(F.lit("a_r_r_"), "r_", "l_")).first()[0] == "a_l_r_"
     assert spark.range(1).select(text.replace_first(F.lit("abc"), "r_", "l_")).first()[0] == "abc"
+
+
+def test_zoneless_times_in_the_hour_that_a_time_zone_skips(spark):
+    from twinweave.functions.clock import ntz_micros
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00.000001' AS ts")
+        assert df.select(ntz_micros("ts")).first()[0] == 1710037800000001
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
