@@ -63,8 +63,11 @@ def latency_summary(
         F.max(F.when(F.col("prob") == F.lit(p), F.col("value"))).alias(str(int(round(p * 100)))) for p in PERCENTILES
     ])
     # One row per group and part, laid on top of each other: no join, so a constant group cannot make it a cross join.
-    offered = base.select(*by, F.col("samples").alias("total")) if totals is None else totals.where("total > 0").select(*by, "total")
-    parts = base.unionByName(wide, allowMissingColumns=True).unionByName(offered, allowMissingColumns=True)
+    if totals is None:
+        parts = base.withColumn("total", F.col("samples")).unionByName(wide, allowMissingColumns=True)
+    else:
+        offered = totals.where("total > 0").select(*by, "total")
+        parts = base.unionByName(wide, allowMissingColumns=True).unionByName(offered, allowMissingColumns=True)
     names = ["total", "samples", "mean", *PERCENTILE_NAMES]
     merged = parts.groupBy(*by).agg(*[F.max(f"`{n}`").alias(n) for n in names])
     return merged.where("samples > 0 AND total > 0")
