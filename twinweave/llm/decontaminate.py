@@ -163,7 +163,7 @@ def hit_words(hits: str = "hits") -> Column:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = []
-        for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
+        for text, hits in zip(batch.column("text").to_pylist(), batch.column("_hit_runs").to_pylist()):
             if text is not None and hits:
                 raw, at, kept = text.encode(), 0, []
                 for x in hits:
@@ -173,7 +173,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done.append(text)
         at = batch.schema.get_field_index("text")
         batch = batch.set_column(at, "text", pa.array(done, pa.string()))
-        yield batch.select([n for n in batch.schema.names if n != "hits"])
+        yield batch.select([n for n in batch.schema.names if n != "_hit_runs"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, action: str = "document", doc_id: str = "doc_id",
@@ -186,10 +186,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, action: str
     if action not in ("document", "span"):
         raise ValueError("action must be document or span")
     hit = durable(find_hits(docs, items, size, doc_id, item_id).where("size(hits) > 0").select(
-        F.col("id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), "hits").dropDuplicates(["_hit_id", "_hit_key"]))
+        F.col("id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("hits").alias("_hit_runs")).dropDuplicates(["_hit_id", "_hit_key"]))
     same = docs[doc_id].cast("long").eqNullSafe(hit["_hit_id"]) & F.xxhash64(docs["text"]).eqNullSafe(hit["_hit_key"])
     if action == "document":
         return docs.join(hit, same, "left_anti")
-    joined = docs.join(hit, same, "left").select(*[docs[c] for c in docs.columns], hit["hits"])
-    plain = docs.schema.jsonValue()
-    return joined.mapInArrow(_cut, type(docs.schema).fromJson(plain))
+    joined = docs.join(hit, same, "left").select(*[docs[c] for c in docs.columns], hit["_hit_runs"])
+    return joined.mapInArrow(_cut, docs.schema)
