@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import decontaminate as decontamination, simhash
+from twinweave.llm import decontaminate as decontamination, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,18 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"), size=3, half=1)
     return found.select(F.col("id").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op6_substring_trees", sql="""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    wins AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+    late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM wins) WHERE k > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM late),
+    lists AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed,
+        sha256(CASE WHEN qs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_filter(list_transform(range(1, len(w) + 1),
+            lambda i: CASE WHEN list_contains(qs, i) THEN NULL ELSE w[i] END), lambda x: x IS NOT NULL), ' '), '') END) AS kept_sha256
+    FROM d LEFT JOIN lists USING (doc_id)""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf, "documents"), size=20)
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
