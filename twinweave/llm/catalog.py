@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import decontaminate as decontamination, repeats, simhash
+from twinweave.llm import decontaminate as decontamination, packing, repeats, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf, "documents"), size=20)
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_hilbert_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf, "documents"), tokens.path("byte_bpe_50k.json"), spaced=True, width=2048)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", F.col("sequence").alias("sequence_id"), "offset")
