@@ -16,7 +16,7 @@ FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 def texts():
     rng = random.Random(2)
     words = "the of Straße don't I'll naïve x1 42 3.14 foo.bar éà 日本語 Ωmega ... -- <|endoftext|> á".split()
-    out = [None, "", " ", "\n", "  two  spaces ", " lead", "trail ", "a\n\nb", "a \nb", "a\n b", "tab\tx", "nb sp", "x y", "a\0b", "q" * 5000, "' s'll 's"]
+    out = [None, "", " ", "\n", "  two  spaces ", " lead", "trail ", "a\n\nb", "a \nb", "a\n b", "tab\tx", "nb\u00a0sp", "x\u2003 y", "a \u00a0b", "\u0085x y", "e\u0301 \u0301x", "a\x1c b", "nb sp", "x y", "a\0b", "q" * 5000, "' s'll 's"]
     for _ in range(60):
         out.append("".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "", "  ", ". "]) for _ in range(rng.randrange(80))))
     return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import decontaminate as decontamination, packing, repeats, simhash, tokens
+from twinweave.llm import decontaminate as decontamination, packing, repeats, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,13 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf, "documents"), tokens.path("byte_bpe_50k.json"), spaced=True, width=2048)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", F.col("sequence").alias("sequence_id"), "offset")
+
+
+@query("op10_warc", sql="""
+    WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+    t AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+    SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id < top THEN top END AS refers_to FROM p LEFT JOIN t ON p.d = t.d""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    archives = warc.write(table(spark, sf, "pages"))
+    return warc.read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
