@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import decontaminate as decontamination, packing, repeats, simhash, tokens, warc
+from twinweave.llm import decontaminate as decontamination, packing, repeats, simhash, tokenfiles, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write(table(spark, sf, "pages"))
     return warc.read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    index = tokenfiles.write(table(spark, sf, "documents"), tokens.path("word_bpe_49k.json"), spaced=False)
+    return tokenfiles.read(index).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -7,8 +7,11 @@ certain, is encoded as a whole. ``encode`` gives what the tokenizer gives for th
 
 from __future__ import annotations
 
+import os
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,8 +22,6 @@ END = 1
 #: Pieces a Python worker remembers; then it starts anew. This bounds memory and nothing else.
 CACHED = 300_000
 _RUN = re.compile(r"\s\s")
-#: Letters a piece has at most; a text with a longer one is encoded as a whole.
-_GROUP = 64
 
 
 def path(name: str) -> str:
@@ -45,9 +46,8 @@ class Encoder:
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         return text.replace("\n", " ").split(" ")
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null is empty."""
-        pieces = [self._pieces(t) if t else [] for t in texts]
+    def _learn(self, pieces: list[list[str]]) -> dict[str, bytes]:
+        """Ids of all ``pieces`` as bytes."""
         known = self.known
         new = list({p for row in pieces for p in row if p not in known})
         if len(known) + len(new) > CACHED:
@@ -57,12 +57,25 @@ class Encoder:
             block = new[at:at + 4096]
             for piece, found in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
                 known[piece] = np.array(found.ids, "<u4").tobytes()
+        return known
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """How often each id occurs in the texts."""
+        often = Counter(chain.from_iterable(self._pieces(t) for t in texts if t))
+        known = self._learn([list(often)])
+        ids = [known[p] for p in often]
+        weights = np.repeat(np.fromiter(often.values(), np.int64, len(often)), [len(x) // 4 for x in ids])
+        return np.bincount(np.frombuffer(b"".join(ids), "<u4"), weights, self.vocabulary).astype(np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null is empty."""
+        pieces = [self._pieces(t) if t else [] for t in texts]
+        known = self._learn(pieces)
         return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in pieces]
 
 
 @lru_cache(maxsize=4)
 def encoder(file: str, spaced: bool) -> Encoder:
     """One per Python worker and file."""
-    import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(file, spaced)
