@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import decontaminate as decontamination, packing, repeats, simhash, tokenfiles, tokens, warc
+from twinweave.llm import decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, warc
+from twinweave.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -14,7 +16,11 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf)
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -94,3 +100,19 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     index = tokenfiles.write(table(spark, sf, "documents"), tokens.path("word_bpe_49k.json"), spaced=False)
     return tokenfiles.read(index).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op9_language_rnn")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    found = langid.predict(docs, langid.train(docs, ~held))
+    return found.select(F.col("id").alias("doc_id"), langid.held_out(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_toxicity_instances")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"), ~langid.held_out(F.col("id"), 3, 1))
+    found = toxicity.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), langid.held_out(F.col("id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
