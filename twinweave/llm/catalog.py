@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, warc
+from twinweave.llm import chunks, decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, warc
 from twinweave.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf, "labels"), ~langid.held_out(F.col("id"), 3, 1))
     found = toxicity.score(docs, model)
     return found.select(F.col("id").alias("doc_id"), langid.held_out(F.col("id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_chunk_fingerprints")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.neighbours(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")

@@ -16,7 +16,7 @@ import xxhash
 
 #: Bytes of text one numpy step works on; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
-_CHUNKS = 16  # words beyond 8 * 16 bytes are hashed one by one
+_CHUNKS = 32  # words beyond 8 * 32 bytes are hashed one by one
 _MIX_1, _MIX_2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
