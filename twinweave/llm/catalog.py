@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import chunks, decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, warc
+from twinweave.llm import chat, chunks, decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, warc
 from twinweave.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_chunk_fingerprints")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.neighbours(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_chat_repair")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    turns = chat.repair(table(spark, sf, "conversations"))
+    return turns.select("conv_id", "turn", "role", "new_role", "action", F.array_join("inserted", ",").alias("inserted"), "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
