@@ -5,6 +5,7 @@ from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,7 +17,7 @@ FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 def texts():
     rng = random.Random(2)
     words = "the of Straße don't I'll naïve x1 42 3.14 foo.bar éà 日本語 Ωmega ... -- <|endoftext|> á".split()
-    out = [None, "", " ", "\n", "  two  spaces ", " lead", "trail ", "a\n\nb", "a \nb", "a\n b", "tab\tx", "nb\u00a0sp", "x\u2003 y", "a \u00a0b", "\u0085x y", "e\u0301 \u0301x", "a\x1c b", "nb sp", "x y", "a\0b", "q" * 5000, "' s'll 's"]
+    out = [None, "", " ", "\n", "  two  spaces ", " lead", "trail ", "a\n\nb", "a \nb", "a\n b", "tab\tx", "a\u00a0\n\u00a0y", "é.\u0301 ×; ÷, É!! Ab... (x) 'S's", "ﬁ\u3000x \u2009y", "end\n", "\r\nx", "can't.'s", "nb\u00a0sp", "x\u2003 y", "a \u00a0b", "\u0085x y", "e\u0301 \u0301x", "a\x1c b", "nb sp", "x y", "a\0b", "q" * 5000, "' s'll 's"]
     for _ in range(60):
         out.append("".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "", "  ", ". "]) for _ in range(rng.randrange(80))))
     return out
@@ -26,7 +27,7 @@ def texts():
 def test_pieces_give_the_ids_of_the_whole_text(name, spaced):
     whole = Tokenizer.from_file(tokens.path(name))
     whole.encode_special_tokens = True
-    got = tokens.Encoder(tokens.path(name), spaced).encode(texts())
+    got = tokens.Encoder(tokens.path(name), spaced).encode(pa.array(texts()))
     assert [x.tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts()]
 
 

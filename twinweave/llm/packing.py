@@ -81,7 +81,7 @@ def _tokens(file: str, spaced: bool):
         bucket = (mixed(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
         signs = _projection()
         for part in slices(batches):
-            ids = [np.append(x, END).astype("<u2") for x in own.encode(part.column("text").to_pylist())]
+            ids = [np.append(x, END).astype("<u2") for x in own.encode(part.column("text"))]
             at = np.array([vector(x, bucket) for x in ids]) @ signs
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, at.T)],

@@ -1,27 +1,36 @@
 """Token ids of whole texts by a tokenizer file, each distinct piece encoded once.
 
-The pre-tokenizers of the public files always cut at a single space or line feed, so the ids of a text are the ids of its pieces between such
-places, one after the other. Pieces repeat; a task keeps the ids of those it has met. A text with white space runs, where cutting is not
-certain, is encoded as a whole. ``encode`` gives what the tokenizer gives for the whole text, which the tests check.
+The pre-tokenizers of the public files always cut at a single space or line feed, and between a letter and punctuation that is no
+apostrophe, so the ids of a text are the ids of its pieces between such places, one after the other. Pieces repeat: those of a slice of
+texts are numbered by their 64-bit hashes, only distinct ones are looked up, and only unknown ones go to the tokenizer. A text in which
+cutting is not certain (runs of white space or rare white space, where a tokenizer keeps it) is encoded as a whole.
+``encode`` gives what the tokenizer gives for the whole text, which the tests check.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections import Counter
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from twinweave.llm.words import Words, flat, mixed
+
 #: Id that ends each document.
 END = 1
-#: Pieces a Python worker remembers; then it starts anew. This bounds memory and nothing else.
-CACHED = 300_000
-_RUN = re.compile(r"\s\s")
+#: Pieces in one of the two generations a Python worker remembers. This bounds memory and nothing else.
+CACHED = 400_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[b for b in b".,;:!?%*#$&|()[]{}\"-+=/<>@_~^\\`"]] = True
+#: Bytes that are, or begin or end, white space other than space and line feed.
+_RARE = np.zeros(256, bool)
+_RARE[[*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20)]] = True
 
 
 def path(name: str) -> str:
@@ -29,6 +38,17 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _rare_spaces(data: np.ndarray) -> np.ndarray:
+    """Bytes at which white space other than space and line feed begins."""
+    out = _RARE[data]
+    if (data >= 0xC2).any():
+        second, third = np.append(data[1:], 0), np.append(data[2:], [0, 0])[:len(data)]
+        out |= (data == 0xC2) & ((second == 0x85) | (second == 0xA0))
+        out |= (data == 0xE1) & (second == 0x9A) | (data == 0xE3) & (second == 0x80) & (third == 0x80)
+        out |= (data == 0xE2) & ((second == 0x80) & ((third <= 0x8A) | (third >= 0xA8) & (third <= 0xAF)) | (second == 0x81))
+    return out
+
+
 class Encoder:
     """``spaced``: the tokenizer keeps a space in front of a word (byte level); else it drops white space."""
 
@@ -37,41 +57,90 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        if _RUN.search(text) or "\0" in text:
-            return [text]
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of pieces, whether a space goes before each, and which texts must not be cut."""
+        space, line = data == 0x20, data == 0x0A
+        gap = space | line
+        rows = len(offsets) - 1
+        whole = np.zeros(rows, bool)
+        head = np.zeros(len(data) + 1, bool)
+        head[offsets] = True
+        head = head[:-1]
+        begin = ~gap
+        begin[1:] &= gap[:-1] | head[1:]
+        # a letter (also one of Latin-1 in two bytes), then punctuation
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        begin[1:] |= letter[:-1] & _PUNCTUATION[data[1:]] & ~gap[:-1]
+        lead = np.zeros(len(data), bool)
         if self.spaced:
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return text.replace("\n", " ").split(" ")
-
-    def _learn(self, pieces: list[list[str]]) -> dict[str, bytes]:
-        """Ids of all ``pieces`` as bytes."""
-        known = self.known
-        new = list({p for row in pieces for p in row if p not in known})
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list({p for row in pieces for p in row})
+            lead[1:] = space[:-1] & ~head[1:]
+            begin |= line
+            doubt = gap.copy()  # white space at either end of a text or next to other white space
+            doubt[:-1] &= gap[1:] | head[1:]
+            edge = gap & head
+            for found in (np.flatnonzero(doubt), np.flatnonzero(edge), np.flatnonzero(_rare_spaces(data))):
+                whole[np.searchsorted(offsets, found, side="right") - 1] = True
+        starts = np.flatnonzero(begin)
+        # a piece ends at the next piece, gap or text
+        stop = np.append(begin | gap | head, True)
+        stops = np.flatnonzero(stop)
+        ends = stops[np.searchsorted(stops, starts, side="right")]
+        return starts, ends, lead[starts], whole
+
+    def _ids(self, keys: list[int], text_of) -> list[bytes]:
+        """Ids of each key as bytes; ``text_of(k)`` gives the text of the k-th."""
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for k, key in enumerate(keys):
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    new.append(k)
         for at in range(0, len(new), 4096):
             block = new[at:at + 4096]
-            for piece, found in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
-        return known
-
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        """How often each id occurs in the texts."""
-        often = Counter(chain.from_iterable(self._pieces(t) for t in texts if t))
-        known = self._learn([list(often)])
-        ids = [known[p] for p in often]
-        weights = np.repeat(np.fromiter(often.values(), np.int64, len(often)), [len(x) // 4 for x in ids])
-        return np.bincount(np.frombuffer(b"".join(ids), "<u4"), weights, self.vocabulary).astype(np.int64)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+            for k, coded in zip(block, self.tokenizer.encode_batch_fast([text_of(k) for k in block], add_special_tokens=False)):
+                young[keys[k]] = array("I", coded.ids).tobytes()
+        return [young[k] for k in keys]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        known = self._learn(pieces)
-        return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in pieces]
+        data, offsets = flat(texts)
+        if not len(data):
+            return [np.empty(0, np.uint32)] * len(texts)
+        starts, ends, lead, whole = self._cut(data, offsets)
+        words = Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
+        hashes = words.hashes()
+        hashes[lead] = mixed(hashes[lead] ^ np.uint64(0x5851F42D4C957F2D))
+        numbered = pa.array(hashes).dictionary_encode()
+        index, keys = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        first = np.empty(len(keys), np.int64)
+        first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
+
+        def text_of(k: int) -> str:
+            j = first[k]
+            return (" " if lead[j] else "") + data[starts[j]:ends[j]].tobytes().decode()
+
+        values = self._ids(keys, text_of)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        table, base = np.frombuffer(b"".join(values), np.uint32), np.cumsum(sizes) - sizes
+        count = sizes[index]
+        last = np.cumsum(count)
+        ids = table[np.repeat(base[index] - last + count, count) + np.arange(int(last[-1]) if len(last) else 0)]
+        bounds = np.concatenate([[0], last])[words.first]
+        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        again = np.flatnonzero(whole)
+        if again.size:
+            coded = self.tokenizer.encode_batch_fast([texts[int(r)].as_py() or "" for r in again], add_special_tokens=False)
+            for r, c in zip(again, coded):
+                out[r] = np.array(c.ids, np.uint32)
+        return out
 
 
 @lru_cache(maxsize=4)
