@@ -8,8 +8,8 @@ the same document. All words covered by repeats are removed; windows are judged
    ``size`` words always contains a followed suffix at the same distance; about one suffix in seven is followed.
 2. **Prefixes.** Suffixes are counted by their first ``prefix`` words (a partial aggregate). A prefix that one place of one text has
    alone cannot repeat and is dropped. A prefix with up to ``group_rows`` suffixes makes one group, which fits in memory.
-   A prefix with more is lengthened to whole windows, each a leaf with one word sequence; only the least
-   place of a leaf is needed, which is again a partial aggregate, however many rows a leaf has.
+   A prefix with more is lengthened to all that its windows reach, then to single windows: each is a leaf with one word sequence, of which
+   only the least place is needed. That is again a partial aggregate, however many rows a leaf has.
 3. **Trees.** A group's suffixes, sorted by Spark, and the lengths that neighbours share are its suffix tree: rows
    between two shared lengths below ``d`` hang under one node of depth ``d`` or more. A window that starts ``t`` words before
    the suffix is shared under a node of depth ``size - t`` by rows that also have their last ``t`` words before it in common.
@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinweave.llm.words import NOT_SPACE, Words, mixed, rolled, slices, words_of
 
-#: Suffixes in a group whose tree is made in memory.
-GROUP_ROWS = 10_000
+#: Suffixes in a group whose tree is made in memory: about 300 bytes each, 20 MB in all.
+GROUP_ROWS = 1 << 16
 _NO_ID = (1 << 63) - 1
 _WHOLE = (1 << 62)
 
@@ -218,19 +218,21 @@ def _trees(size: int, prefix: int):
 
 
 def _windows(size: int, prefix: int):
-    """A row per window of listed suffixes: the longest prefix there is."""
+    """Rows of listed suffixes with the hashes of all windows they stand for: the longest prefixes there are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = words_of(part.column("text"), NOT_SPACE)
             hashes, _, at, lo, hi = _followed(words, size, prefix)
             listed = _flags(part.column("places"), words, at)
-            lo, count = lo[listed], (hi - lo + 1)[listed]
-            starts = np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            row = words.row_of()[starts]
+            at, lo, count = at[listed], lo[listed], (hi - lo + 1)[listed]
+            ends = np.cumsum(count)
+            starts = np.repeat(lo - ends + count, count) + np.arange(int(count.sum()))
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(rolled(h, size)[starts].view(np.int64))) for h in (hashes, mixed(hashes))]
+            row = words.row_of()[at]
             yield pa.RecordBatch.from_arrays([
-                pa.array(rolled(hashes, size)[starts].view(np.int64)), pa.array(rolled(mixed(hashes), size)[starts].view(np.int64)),
-                part.column("id").take(pa.array(row)), part.column("text_key").take(pa.array(row)), pa.array(starts - words.first[row])],
-                names=["w1", "w2", "id", "text_key", "start"])
+                part.column("id").take(pa.array(row)), part.column("text_key").take(pa.array(row)), pa.array(lo - words.first[row]), *lists],
+                names=["id", "text_key", "start", "w1", "w2"])
     return run
 
 
@@ -279,8 +281,8 @@ def repeated_ranges(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", tex
     rows = _rows(docs, doc_id, text)
     counts = rows.mapInArrow(_counted(size, prefix), "key long, text_key long, n long").groupBy("key").agg(
         F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    again = counts.where("low <> high or most > 1").select(F.col("key").alias("again"), (F.col("n") > group_rows).alias("wide"))
-    places = rows.mapInArrow(_suffixes(size, prefix), "key long, id long, at long").join(again, F.col("key") == F.col("again"))
+    again = counts.where("low <> high or most > 1").select(_anew("key").alias("again"), (F.col("n") > group_rows).alias("wide"))
+    places = rows.mapInArrow(_suffixes(size, prefix), "key long, id long, at long").join(again, _anew("key") == F.col("again"))
     listed = places.groupBy("id", "wide").agg(F.collect_list("at").alias("places"))
 
     def of(wide: bool) -> DataFrame:
@@ -289,19 +291,36 @@ def repeated_ranges(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", tex
     segments = of(False).mapInArrow(_segments(size, prefix), "key long, id long, text_key long, at int, more int, ahead binary, behind binary")
     deep = segments.repartition("key").sortWithinPartitions("key", "ahead").mapInArrow(_trees(size, prefix), "id long, text_key long, first long, last long")
 
-    windows = of(True).mapInArrow(_windows(size, prefix), "w1 long, w2 long, id long, text_key long, start long")
-    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("least")).select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "least")
-    leaves = windows.join(least, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).where(
-        F.struct("id", "start") > F.col("least")).select("id", "text_key", F.col("start").alias("first"), F.col("start").alias("last"))
-    return deep.unionByName(leaves).unionByName(_copies(docs, doc_id, text))
+    wide = of(True).mapInArrow(_windows(size, prefix), "id long, text_key long, start long, w1 array<long>, w2 array<long>").select(
+        "*", F.size("w1").alias("n"), F.xxhash64(F.lit(1), "w1").alias("s1"), F.xxhash64(F.lit(2), "w2").alias("s2"))
+    # suffixes with equal windows: all but the least place are late as a whole, and only that one is looked at window by window
+    placed = _with_least(wide, "s1", "s2")
+    whole = placed.where("not is_least").select("id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
+    single = placed.where("is_least").select("id", "text_key", "start", F.posexplode(F.arrays_zip("w1", "w2")).alias("pos", "w")).select(
+        "id", "text_key", (F.col("start") + F.col("pos")).alias("start"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
+    leaves = _with_least(single, "w1", "w2").where("not is_least").select("id", "text_key", F.col("start").alias("first"), F.col("start").alias("last"))
+    return deep.unionByName(whole).unionByName(leaves).unionByName(_copies(docs, doc_id, text))
+
+
+def _anew(column: Column | str) -> Column:
+    """A join key by which a grouped input is shuffled once more: adaptive execution divides hot keys only between plain shuffles."""
+    return F.bitwise_not(column)
+
+
+def _with_least(rows: DataFrame, first_key: str, second_key: str) -> DataFrame:
+    """``rows`` with ``is_least``: whether ``(id, start)`` is the least of those with equal keys."""
+    least = rows.groupBy(first_key, second_key).agg(F.min(F.struct("id", "start")).alias("least")).select(
+        _anew(first_key).alias("l_1"), _anew(second_key).alias("l_2"), "least")
+    return rows.join(least, (_anew(first_key) == F.col("l_1")) & (_anew(second_key) == F.col("l_2"))).withColumn(
+        "is_least", F.struct("id", "start") == F.col("least"))
 
 
 def _copies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """All windows of every copy of a text but that of the least id."""
     light = _rows(docs, doc_id, text).select("id", "text_key", F.xxhash64(F.lit("copy"), "text").alias("second_key"))
     first = light.groupBy("text_key", "second_key").agg(F.min("id").alias("least"), F.max("id").alias("top")).where("least < top").select(
-        F.col("text_key").alias("f_key"), F.col("second_key").alias("f_second"), "least")
-    return light.join(first, (F.col("text_key") == F.col("f_key")) & (F.col("second_key") == F.col("f_second"))).where("id > least").select(
+        _anew("text_key").alias("f_key"), _anew("second_key").alias("f_second"), "least")
+    return light.join(first, (_anew("text_key") == F.col("f_key")) & (_anew("second_key") == F.col("f_second"))).where("id > least").select(
         "id", "text_key", F.lit(0).cast("long").alias("first"), F.lit(_WHOLE).alias("last"))
 
 
