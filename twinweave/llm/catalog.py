@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinweave.llm import chat, chunks, decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, warc
@@ -127,3 +128,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     turns = chat.repair(table(spark, sf, "conversations"))
     return turns.select("conv_id", "turn", "role", "new_role", "action", F.array_join("inserted", ",").alias("inserted"), "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+@query("pipeline", sql=corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

@@ -248,3 +248,21 @@ def predict(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text:
     out = rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(net)), kind)
     return out.select("id", "text_key", F.when(F.col("known"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
                       F.when(F.col("known"), F.col("score")).otherwise(0.0).alias("score"))
+
+
+def _known(model, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net: Network | None = model.value
+        for part in slices(batches, size=1 << 20):
+            p = score(net, *flat(part.column("text"))).max(axis=1) if net is not None else np.ones(part.num_rows)
+            yield part.filter(pa.array(p >= least))
+    return run
+
+
+def keep_known(docs: DataFrame, net: Network | None, least: float = 0.4) -> DataFrame:
+    """The documents with a letter whose language has a probability of at least ``least``; all columns stay as they are.
+
+    With four languages one always has a quarter, so the bound only rejects texts that look like no language that was learned.
+    """
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    return lettered.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(net), least), docs.schema)

@@ -115,7 +115,7 @@ def _flags(lists: pa.Array, words: Words, at: np.ndarray) -> np.ndarray:
 def _segments(size: int, prefix: int):
     """Rows of listed suffixes, with the words before (nearest first) and after the prefix that their windows reach."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(_opened(batches)):
             words = words_of(part.column("text"), NOT_SPACE)
             hashes, keys, at, lo, hi = _followed(words, size, prefix)
             listed = _flags(part.column("places"), words, at)
@@ -220,7 +220,7 @@ def _trees(size: int, prefix: int):
 def _windows(size: int, prefix: int):
     """Rows of listed suffixes with the hashes of all windows they stand for: the longest prefixes there are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(_opened(batches)):
             words = words_of(part.column("text"), NOT_SPACE)
             hashes, _, at, lo, hi = _followed(words, size, prefix)
             listed = _flags(part.column("places"), words, at)
@@ -236,9 +236,9 @@ def _windows(size: int, prefix: int):
     return run
 
 
-def _kept(size: int):
+def _kept(size: int, verbatim: bool, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(_opened(batches)):
             words = words_of(part.column("text"), NOT_SPACE)
             counts = words.counts
             cover = np.zeros(len(words.starts) + 1, np.int64)
@@ -262,10 +262,11 @@ def _kept(size: int):
                     own, base_at = ~gone[a:b], words.offsets[r]
                     texts.append(b" ".join(raw[s:e] for s, e in zip((words.starts[a:b][own] - base_at).tolist(), (words.ends[a:b][own] - base_at).tolist())))
                 else:
-                    texts.append(b" ".join(raw.split()))
+                    texts.append(raw if verbatim else b" ".join(raw.split()))
             out = pa.array(texts, pa.binary()).view(pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), out],
-                                             names=["id", "text_key", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), out,
+                                              *[part.column(f"c_{k}") for k in range(carried)]],
+                                             names=["id", "text_key", "n_words", "n_removed", "kept", *[f"c_{k}" for k in range(carried)]])
     return run
 
 
@@ -273,7 +274,23 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
 
-def repeated_ranges(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
+def _whole_rows(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame:
+    """Rows with text and carried columns as one struct: whatever reads it shuffles the same columns, and the exchange is reused."""
+    named = [F.col(text).alias("text"), *[F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)]]
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), F.struct(*named).alias("doc"))
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the fields of ``doc`` in its place."""
+    for batch in batches:
+        at = batch.schema.get_field_index("doc")
+        doc = batch.column(at)
+        columns = [c for k, c in enumerate(batch.columns) if k != at] + doc.flatten()
+        names = [n for k, n in enumerate(batch.schema.names) if k != at] + [f.name for f in doc.type]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def repeated_ranges(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS, carry: list[str] | None = None) -> DataFrame:
     """``id, text_key, first, last``: starts ``first..last`` (word numbers) of windows that also start earlier."""
     if size < 2:
         raise ValueError("a window has at least two words")
@@ -286,7 +303,8 @@ def repeated_ranges(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", tex
     listed = places.groupBy("id", "wide").agg(F.collect_list("at").alias("places"))
 
     def of(wide: bool) -> DataFrame:
-        return rows.join(listed.where(F.col("wide") == wide).select(F.col("id").alias("l_id"), "places"), F.col("id") == F.col("l_id")).select("id", "text_key", "text", "places")
+        mine = listed.where(F.col("wide") == wide).select(F.col("id").alias("l_id"), "places")
+        return _whole_rows(docs, doc_id, text, carry or []).join(mine, F.col("id") == F.col("l_id")).select("id", "text_key", "doc", "places")
 
     segments = of(False).mapInArrow(_segments(size, prefix), "key long, id long, text_key long, at int, more int, ahead binary, behind binary")
     deep = segments.repartition("key").sortWithinPartitions("key", "ahead").mapInArrow(_trees(size, prefix), "id long, text_key long, first long, last long")
@@ -324,16 +342,30 @@ def _copies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         "id", "text_key", F.lit(0).cast("long").alias("first"), F.lit(_WHOLE).alias("last"))
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``id, text_key, n_words, n_removed, kept`` per document; ``kept`` is what stays, joined by single spaces."""
-    ranges = repeated_ranges(docs, size, doc_id, text, group_rows).groupBy("id", "text_key").agg(
-        F.collect_list(F.struct("first", "last")).alias("ranges")).select(F.col("id").alias("r_id"), F.col("text_key").alias("r_key"), "ranges")
-    # joined by id alone, so that the texts are shuffled the same way as for the trees: the exchange is reused
-    rows = _rows(docs, doc_id, text)
-    by_id = ranges.groupBy("r_id").agg(F.collect_list(F.struct("r_key", "ranges")).alias("all"))
+def remove_repeats(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text: str = "text", group_rows: int = GROUP_ROWS,
+                   carry: list[str] | None = None, verbatim: bool = False) -> DataFrame:
+    """``id, text_key, n_words, n_removed, kept`` per document, and the columns ``carry``; ``kept`` is what stays, joined by single spaces
+    (with ``verbatim``, a text of which nothing is removed stays as it is)."""
+    carry = list(carry or [])
+    ranges = repeated_ranges(docs, size, doc_id, text, group_rows, carry).groupBy("id", "text_key").agg(
+        F.collect_list(F.struct("first", "last")).alias("ranges"))
+    # joined by id alone, so that the texts are shuffled the same way as for the trees
+    by_id = ranges.groupBy(F.col("id").alias("r_id")).agg(F.collect_list(F.struct("text_key", "ranges")).alias("all"))
     none = "array<struct<first:long,last:long>>"
-    mine = F.flatten(F.transform(F.filter("all", lambda x: x["r_key"] == F.col("text_key")), lambda x: x["ranges"]))
-    joined = rows.join(by_id, F.col("id") == F.col("r_id"), "left").select(
-        "id", "text_key", "text", F.coalesce(mine, F.array().cast(none)).alias("ranges"))
-    out = joined.mapInArrow(_kept(size), "id long, text_key long, n_words long, n_removed long, kept string")
-    return out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id")))
+    mine = F.flatten(F.transform(F.filter("all", lambda x: x["text_key"] == F.col("text_key")), lambda x: x["ranges"]))
+    joined = _whole_rows(docs, doc_id, text, carry).join(by_id, F.col("id") == F.col("r_id"), "left").select(
+        "id", "text_key", "doc", F.coalesce(mine, F.array().cast(none)).alias("ranges"))
+    kinds = "".join(f", c_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    out = joined.mapInArrow(_kept(size, verbatim, len(carry)), "id long, text_key long, n_words long, n_removed long, kept string" + kinds)
+    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("id"), "text_key", "n_words", "n_removed", "kept",
+                      *[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)])
+
+
+def without_repeats(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with what stays of their texts, all other columns as they are; one of which no word stays goes."""
+    others = [c for c in docs.columns if c != text]
+    # an own name for each column, whatever they are called
+    renamed = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), *[F.col(c).alias(f"o_{k}") for k, c in enumerate(others)])
+    kept = remove_repeats(renamed, size, carry=[f"o_{k}" for k in range(len(others))], verbatim=True).where("n_removed = 0 or n_removed < n_words")
+    places = {c: f"o_{k}" for k, c in enumerate(others)}
+    return kept.select(*[F.col("kept" if c == text else places[c]).alias(c) for c in docs.columns])

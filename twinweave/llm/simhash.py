@@ -105,7 +105,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, half: int = 1, doc_id: str =
 def deduplicate(docs: DataFrame, size: int = 3, half: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: that with the least id (of equal ids, the least hash of the text)."""
     prints = durable(fingerprints(docs, size, doc_id, text))
-    keep = group(prints, half).select("kept_id", "kept_key").distinct()
-    kept = docs.join(keep, docs[doc_id].cast("long").eqNullSafe(keep.kept_id) & F.xxhash64(docs[text]).eqNullSafe(keep.kept_key), "left_semi")
-    # of repeated rows one stays
-    return kept.withColumn("_key", F.xxhash64(text)).dropDuplicates([doc_id, "_key"]).drop("_key")
+    keep = group(prints, half).select(*[c.alias(f"_k{n}") for n, c in enumerate(_keys(F.col("kept_id"), F.col("kept_key")))]).distinct()
+    keyed = docs.withColumns({f"_d{n}": c for n, c in enumerate(_keys(F.col(doc_id).cast("long"), F.xxhash64(text)))})
+    kept = keyed.join(keep, [F.col(f"_d{n}") == F.col(f"_k{n}") for n in range(3)], "left_semi")
+    # of repeated rows one stays; the rows are already dealt by these keys
+    return kept.dropDuplicates(["_d0", "_d1", "_d2"]).select(*docs.columns)
+
+
+def _keys(doc: Column, text_key: Column) -> list[Column]:
+    """A row's name without nulls."""
+    return [F.coalesce(doc, F.lit(0)), doc.isNull(), text_key]
