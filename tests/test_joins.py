@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from twinweave.operators import skew
 from twinweave.operators.joins import STRATEGIES, interval_join, numeric_pair, sum_below, text_pair, window_join
 
 SCHEMA = "key long, value long, ts long"
@@ -113,6 +114,20 @@ def test_hot_cell_is_split_and_result_unchanged(spark):
     assert rows_of(joined) == pairs_interval(rows, rows, -10, 10)
 
 
+def test_heavier_input_is_divided(spark):
+    """Rows per (cell, salts) of both inputs, and how many copies there are, for a heavy first, a heavy second and two heavy inputs."""
+    for n_a, n_b, most in ((4000, 4, 200), (4, 4000, 200), (900, 900, 400)):
+        a, b = (frame(spark, [(1, i, 5) for i in range(n)]) for n in (n_a, n_b))
+        hot = skew.hot_cells(skew.pair_load(a, b, ["key"]), ["key"], 32)
+        left, right = skew.spread_grid(a, b, ["key"], [F.col("value")], [F.col("value")], hot=hot)
+        for side, n in ((left, n_a), (right, n_b)):
+            groups = [r["count"] for r in side.groupBy("key", "_salt_a", "_salt_b").count().collect()]
+            assert max(groups) <= most
+        assert left.count() + right.count() <= 8 * (n_a + n_b)
+        pairs = left.select("_salt_a", "_salt_b", F.col("value").alias("x")).join(right, ["_salt_a", "_salt_b"]).select("x", "value")
+        assert pairs.count() == pairs.distinct().count() == n_a * n_b
+
+
 def test_even_load_is_not_salted(spark):
     df = frame(spark, [(i % 50, i, i * 1000) for i in range(400)])
     joined = interval_join(df, df, "key", "ts", "ts", -10, 10, workers=4)
@@ -121,6 +136,10 @@ def test_even_load_is_not_salted(spark):
 
 def test_bad_arguments(spark):
     df = frame(spark, [(1, 1, 1)])
+    with pytest.raises(ValueError):
+        window_join(df, df, "key", "ts", "ts", 5, 0)
+    with pytest.raises(ValueError):
+        interval_join(df, df, "key", "ts", "ts", 0, 1, bucket_width=0)
     with pytest.raises(ValueError):
         interval_join(df, df, "key", "ts", "ts", 0, 1, strategy="fast")
     with pytest.raises(ValueError):

@@ -70,6 +70,16 @@ def test_result_record_of_a_run(spark):
     assert row["total"] == 20 and row["samples"] == 10 and row["0"] == 0.0
 
 
+def test_result_record_counts_from_the_start_of_the_run(spark):
+    """5,000 latencies in a second at 250 samples per second, in unix time."""
+    start = 1_704_106_800_000_000_000
+    latencies = spark.range(5000).selectExpr("0L AS sink_id", f"{start}L + id * 200000 AS at_ns", "CAST(id AS DOUBLE) AS latency_us")
+    row = result_record(latencies, rate=250).first()
+    assert row["total"] == 5000 and 249 <= row["samples"] <= 251
+    given = result_record(latencies, rate=250, epoch=start).first()
+    assert given["samples"] == row["samples"]
+
+
 RECORD = {"total": 10, "samples": 5, "mean": 2000.0, "0": 1.0, "5": 1.0, "25": 2.0, "50": 3.0, "75": 4.0, "95": 5.0, "100": 6.0}
 
 
@@ -104,9 +114,9 @@ def test_comparison_needs_all_variants(spark):
 
 
 def test_log_files(spark, tmp_path):
-    (tmp_path / "output-i5000-k2_t1.log").write_text("start\nMeasured throughput: 10.5 tuples/second\nnoise 7\nMeasured throughput: 2\n")
+    (tmp_path / "output-i5000-k2_t1.log").write_text("start\nMeasured throughput: 10.5 tuples/second\nnoise 7\nMeasured throughput: 2\nMeasured throughput: 1.2345678E7\n")
     row = results.log_throughput(spark, str(tmp_path)).first()
-    assert row["throughput"] == 12.5
+    assert row["throughput"] == 12345690.5
     from twinweave.functions.text import with_run_fields
     found = with_run_fields(results.log_throughput(spark, str(tmp_path)), "path", "interval", "keys", "repetition").first()
     assert (found["interval"], found["keys"], found["repetition"]) == (5000, 2, 1)

@@ -181,3 +181,12 @@ def test_zoneless_times_in_the_hour_that_a_time_zone_skips(spark):
         assert df.select(ntz_micros("ts")).first()[0] == 1710037800000001
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_header_of_two_equal_numbers(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1, 5), (1, 2, 0), (2, 3, 7)], "row_id long, key long, ts_off long")
+    files.write_synthetic(rows, str(tmp_path / "s"), 3, 3, files=1)
+    part = next((tmp_path / "s").glob("part-*"))
+    assert part.read_text().split() == ["3|3", "1|5", "2|0", "3|7"]
+    head = files.read_header(spark, str(tmp_path / "s")).first()
+    assert (head["num_keys"], head["size"]) == (3, 3) and files.read_synthetic(spark, str(tmp_path / "s")).count() == 3

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from threading import Lock
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from twinweave.model import PERCENTILE_NAMES, PERCENTILES
 from twinweave.operators.quantiles import percentiles
 
 #: Fixed value: bytes per MB.
 MB = 1048576
+PROGRESS = "query string, batch_id long, rows long, rows_per_s double"
 
 
 def per_second(rows: Column, elapsed_us: Column) -> Column:
@@ -78,9 +81,42 @@ def merge_totals(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     return totals.groupBy(*by).agg(F.sum("total").alias("total")).where("total > 0")
 
 
-def progress_table(query) -> list[dict]:
-    """Rows and rates of the micro-batches of a streaming query, from Spark's own progress reports."""
-    return [
-        {"batch_id": p["batchId"], "rows": p["numInputRows"], "rows_per_s": p["processedRowsPerSecond"]}
-        for p in query.recentProgress
-    ]
+class ProgressLog(StreamingQueryListener):
+    """Rows and rates of every micro-batch of the session's streaming queries, in a table below ``folder``.
+
+    A query itself remembers its last 100 reports only. Reports are written as they come, ``every`` of them at a time, so a long run
+    holds few in memory. Register with ``spark.streams.addListener``; ``table`` reads what there is.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, every: int = 100):
+        self.spark, self.folder, self.every = spark, folder, every
+        self._held: list[tuple] = []
+        self._lock = Lock()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self._lock:
+            self._held.append((str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond))
+            if len(self._held) >= self.every:
+                self._flush()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._lock:
+            self._flush()
+
+    def _flush(self) -> None:
+        held, self._held = self._held, []
+        if held:
+            self.spark.createDataFrame(held, PROGRESS).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def table(self) -> DataFrame:
+        """``query, batch_id, rows, rows_per_s``; a batch without input may report more than once."""
+        with self._lock:
+            self._flush()
+        return self.spark.read.schema(PROGRESS).parquet(self.folder)

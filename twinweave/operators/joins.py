@@ -98,6 +98,7 @@ def interval_join(
     threshold: float = BALANCE_LIMIT,
     max_split: int | None = None,
     row_id: str | None = None,
+    a_row_id: str | None = None,
 ) -> DataFrame:
     """Pairs with equal ``on`` and ``a_time + lower <= b_time <= a_time + upper``, both ends included.
 
@@ -105,20 +106,25 @@ def interval_join(
 
     * ``key``: all rows of a key in one task, the fewest copies; for many small keys.
     * ``bucket``: a cell of key and time bucket in one task; cheapest where no cell is hot.
-    * ``data``: every cell spread over ``max_split`` tasks (default 4).
+    * ``data``: every cell spread over ``max_split`` tasks (default: all workers).
     * ``hybrid``: cells with a large share of all rows spread over more tasks.
     * ``auto``: cells with a large share of all candidate pairs spread over more tasks.
 
     ``hybrid`` and ``auto`` count rows per cell in a small job of their own first. With
     ``split_by="key"`` they count per key instead and split every cell of a hot key.
-    ``row_id`` names a column of ``b`` that tells its rows apart. Without it the salt of
-    a row comes from its whole content, and exact copies of one row stay together.
+    Both inputs are divided by a grid of salts in proportion to their rows in the cell.
+    ``row_id`` names a column of ``b`` that tells its rows apart, ``a_row_id`` one of ``a``. Without it the
+    salt of a row comes from its whole content, and exact copies of one row stay together.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
     if split_by not in ("cell", "key"):
         raise ValueError("split_by must be cell or key")
+    if a.isStreaming or b.isStreaming:
+        raise ValueError("these are streams: use stream_interval_join")
+    if bucket_width is not None and bucket_width < 1:
+        raise ValueError("bucket_width must be positive")
     left, a_side = tag(a, "a__")
     right, b_side = tag(b, "b__")
     at, bt = a_side[a_time], b_side[b_time]
@@ -127,12 +133,12 @@ def interval_join(
         within = within & where(a_side, b_side)
     if lower > upper:
         within = F.lit(False)
-    width = bucket_width or max(1, upper - lower)
+    width = max(1, upper - lower) if bucket_width is None else bucket_width
     joined = _meet(
         left, right, a_side, b_side, keys, within,
         spans=None if strategy == "key" or lower > upper else (
             floor_div(at + as_long(lower), width), floor_div(at + as_long(upper), width), floor_div(bt, width)),
-        strategy=strategy, split_by=split_by, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id,
+        strategy=strategy, split_by=split_by, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id, a_row_id=a_row_id,
     )
     return joined.select(*pair_columns(a_side, b_side, select))
 
@@ -153,6 +159,7 @@ def window_join(
     threshold: float = BALANCE_LIMIT,
     max_split: int | None = None,
     row_id: str | None = None,
+    a_row_id: str | None = None,
 ) -> DataFrame:
     """Pairs with equal ``on`` in the same window; once for every window they share.
 
@@ -165,15 +172,17 @@ def window_join(
     times, so this is a band join whose result rows are repeated afterwards: a row is
     shuffled at most twice, not ``size / slide`` times.
     """
-    slide = slide or size
+    slide = size if slide is None else slide
     if size < 1 or slide < 1:
         raise ValueError("size and slide must be positive")
+    if a.isStreaming or b.isStreaming:
+        raise ValueError("these are streams: use stream_window_join")
     keys = [on] if isinstance(on, str) else list(on)
     left, a_side = tag(a, "a__")
     right, b_side = tag(b, "b__")
     at, bt = a_side[a_time], b_side[b_time]
     condition = where(a_side, b_side) if where is not None else F.lit(True)
-    options = dict(strategy=strategy, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id)
+    options = dict(strategy=strategy, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id, a_row_id=a_row_id)
 
     if slide >= size:
         if slide > size:
@@ -212,6 +221,7 @@ def _meet(
     threshold: float,
     max_split: int | None,
     row_id: str | None,
+    a_row_id: str | None,
     split_by: str = "cell",
     always_bucket: bool = False,
 ) -> DataFrame:
@@ -222,7 +232,8 @@ def _meet(
     so no pair can meet twice.
     """
     equal = [(f"a__{k}", f"b__{k}") for k in keys]
-    salt_from = [b[row_id]] if row_id else [b[c] for c in b.names]
+    from_a = [a[a_row_id]] if a_row_id else [a[c] for c in a.names]
+    from_b = [b[row_id]] if row_id else [b[c] for c in b.names]
     if spans is not None:
         first, last, own = spans
         if not always_bucket:
@@ -235,15 +246,13 @@ def _meet(
     if strategy in ("data", "hybrid", "auto") and spans is not None:
         workers = workers or task_slots(left.sparkSession)
         if strategy == "data":
-            left, right = skew.spread(left, right, [], salt_from, splits=max_split or min(workers, 4))
-            left, right = left.withColumnRenamed("_salt", "_a_salt"), right.withColumnRenamed("_salt", "_b_salt")
-            equal.append(("_a_salt", "_b_salt"))
+            salted = skew.spread_grid(left, right, [], from_a, from_b, splits=workers if max_split is None else max_split)
         else:
             cells = equal if split_by == "cell" else equal[: len(keys)]
-            salted = _split_hot(left, right, cells, salt_from, strategy, workers, threshold, max_split)
-            if salted:
-                left, right = salted
-                equal.append(("_a_salt", "_b_salt"))
+            salted = _split_hot(left, right, cells, from_a, from_b, strategy, workers, threshold, max_split)
+        if salted:
+            left, right = (side.withColumnsRenamed({"_salt_a": f"_{n}_salt_a", "_salt_b": f"_{n}_salt_b"}) for side, n in zip(salted, "ab"))
+            equal += [("_a_salt_a", "_b_salt_a"), ("_a_salt_b", "_b_salt_b")]
 
     on = condition
     for l, r in reversed(equal):
@@ -251,7 +260,7 @@ def _meet(
     return left.join(right, on, "inner")
 
 
-def _split_hot(left, right, cells, salt_from, strategy, workers, threshold, max_split):
+def _split_hot(left, right, cells, from_a, from_b, strategy, workers, threshold, max_split):
     """Both inputs with salts for their hot cells, or None if no cell is hot."""
     names = [f"_cell{i}" for i in range(len(cells))]
     left = left.withColumns({n: F.col(f"`{l}`") for n, (l, _) in zip(names, cells)})
@@ -260,8 +269,5 @@ def _split_hot(left, right, cells, salt_from, strategy, workers, threshold, max_
     hot = skew.hot_cells(load(left, right, names), names, workers, threshold, max_split)
     if hot is None:
         return None
-    left, right = skew.spread(left, right, names, salt_from, hot=hot)
-    return (
-        left.drop(*names).withColumnRenamed("_salt", "_a_salt"),
-        right.drop(*names).withColumnRenamed("_salt", "_b_salt"),
-    )
+    left, right = skew.spread_grid(left, right, names, from_a, from_b, hot=hot)
+    return left.drop(*names), right.drop(*names)

@@ -1,8 +1,10 @@
 """Key statistics and the handling of hot keys.
 
 A join is spread over tasks by its *cell* (the equi-join columns). A hot cell is
-split: every row of the second input gets one salt out of ``splits``, every row of
-the first input one copy per salt, so each pair still meets exactly once.
+split by a grid of ``splits_a`` times ``splits_b`` tasks: a row of the first input gets one
+of the ``splits_a`` salts and a copy for each of the other input's, a row of the second
+one of ``splits_b`` and a copy for each of the first's. So each pair still meets exactly
+once, the input with more rows is divided, and the one with fewer is copied.
 
 Only cells whose share of the load exceeds ``threshold / workers`` are split. Shares
 add up to 1, so there are fewer than ``workers / threshold`` such cells: that bound
@@ -76,21 +78,31 @@ def split_summary(splits: DataFrame, max_split: int) -> DataFrame:
 
 
 def key_load(a: DataFrame, b: DataFrame, cell: list[str]) -> DataFrame:
-    """``cell, load``: rows of both inputs per cell."""
-    rows = bag_union(a.select(*cell), b.select(*cell)).dropna("any", subset=cell)
-    return rows.groupBy(*cell).agg(F.count("*").cast("double").alias("load"))
+    """``cell, load, a, b``: rows of both inputs per cell, and of each."""
+    return _side_counts(a, b, cell).withColumn("load", F.col("a") + F.col("b"))
+
+
+def _side_counts(a: DataFrame, b: DataFrame, cell: list[str]) -> DataFrame:
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = bag_union(a.select(*cell, one.alias("a"), none.alias("b")), b.select(*cell, none.alias("a"), one.alias("b")))
+    counts = both.dropna("any", subset=cell).groupBy(*cell)
+    return counts.agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
 
 
 def pair_load(a: DataFrame, b: DataFrame, cell: list[str]) -> DataFrame:
-    """``cell, load``: candidate pairs per cell.
+    """``cell, load, a, b``: candidate pairs per cell, and the rows of each input.
 
     Pairs, not bytes, are the work of a join: 100,000 rows a side are small to
     shuffle and 10 billion pairs to check.
     """
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    both = bag_union(a.select(*cell, one.alias("a"), none.alias("b")), b.select(*cell, none.alias("a"), one.alias("b")))
-    counts = both.groupBy(*cell).agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-    return counts.select(*cell, (F.col("a") * F.col("b")).alias("load")).dropna("any", subset=cell)
+    return _side_counts(a, b, cell).withColumn("load", F.col("a") * F.col("b"))
+
+
+def grid(splits: Column, a: Column, b: Column) -> tuple[Column, Column]:
+    """``splits`` tasks as a grid: both inputs are divided in proportion to their rows, so that copies are fewest."""
+    ideal = F.sqrt(splits * F.greatest(a, F.lit(1.0)) / F.greatest(b, F.lit(1.0)))
+    split_a = F.greatest(F.lit(1), F.least(splits, F.round(ideal))).cast("long")
+    return split_a, F.ceil(splits / split_a).cast("long")
 
 
 def hot_cells(
@@ -98,16 +110,25 @@ def hot_cells(
 ) -> DataFrame | None:
     """``cell, splits`` of the cells with more than ``threshold / workers`` of the load, None if there are none.
 
+    If ``load`` has the rows ``a`` and ``b`` of each input, the grid ``splits_a, splits_b`` is given too.
+
     Runs a job over the narrow columns of ``cell`` for total and peak, and only if the peak
     is hot a second one that brings back fewer than ``workers / threshold`` rows. So the join
     is planned knowing which cells are hot, and without any salting where none is. The
     numbers steer placement only: any table of splits gives the same joined rows.
     """
+    if workers < 1 or threshold <= 0:
+        raise ValueError("workers and threshold must be positive")
     whole = load.agg(F.sum("load").alias("total"), F.max("load").alias("peak")).first()
     if not whole["total"] or whole["peak"] <= whole["total"] * threshold / workers:
         return None
     share = F.col("load") / F.lit(whole["total"])
-    found = load.select(*cell, split_degree(share, workers, threshold, max_split).alias("splits")).where("splits > 1")
+    found = load.withColumn("splits", split_degree(share, workers, threshold, max_split)).where("splits > 1")
+    if {"a", "b"} <= set(load.columns):
+        for_a, for_b = grid(F.col("splits"), F.col("a"), F.col("b"))
+        found = found.select(*cell, "splits", for_a.alias("splits_a"), for_b.alias("splits_b"))
+    else:
+        found = found.select(*cell, "splits")
     rows = found.collect()
     return F.broadcast(load.sparkSession.createDataFrame(rows, found.schema)) if rows else None
 
@@ -141,6 +162,30 @@ def spread(
     return copied.drop("splits"), salted.drop("splits")
 
 
+def spread_grid(
+    left: DataFrame, right: DataFrame, cell: list[str], from_a: list[Column], from_b: list[Column], *, hot: DataFrame | None = None, splits: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """Both inputs with salts ``_salt_a`` and ``_salt_b`` to join on beside ``cell``.
+
+    ``hot`` has ``splits_a, splits_b`` of the hot cells; without it every cell gets the squarest grid of ``splits``
+    tasks. ``from_a`` and ``from_b`` must tell the rows of an input apart. They have to be data, not random
+    numbers: a map task that runs again must choose the same salts.
+    """
+    if hot is not None:
+        table = hot.select(*cell, "splits_a", "splits_b")
+        left, right = left.join(table, cell, "left"), right.join(table, cell, "left")
+        n_a, n_b = (F.coalesce(F.col(c), F.lit(1)).cast("long") for c in ("splits_a", "splits_b"))
+    else:
+        n_a, n_b = grid(F.lit(splits).cast("long"), F.lit(1.0), F.lit(1.0))
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+    left = left.withColumn("_salt_a", F.pmod(F.xxhash64(*from_a), n_a)).withColumn("_salt_b", every(n_b))
+    right = right.withColumn("_salt_b", F.pmod(F.xxhash64(*from_b), n_b)).withColumn("_salt_a", every(n_a))
+    return left.drop("splits_a", "splits_b"), right.drop("splits_a", "splits_b")
+
+
 def salted_lookup(
     rows: DataFrame,
     table: DataFrame,

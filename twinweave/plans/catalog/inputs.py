@@ -231,8 +231,8 @@ def distribution_check(spark, sf):
   CAST(SUM(value) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS user_total FROM ev"""))
 def running_totals(spark, sf):
     rows = events(spark, sf)
-    rows = running_total(rows, F.col("value"), "event_id", "total", block_rows=64)
-    return running_total(rows, F.col("value"), "event_id", "user_total", by=["user_id"], block_rows=256).select("event_id", "total", "user_total")
+    rows = running_total(rows, F.col("value"), "event_id", "total")
+    return running_total(rows, F.col("value"), "event_id", "user_total", by=["user_id"]).select("event_id", "total", "user_total")
 
 
 @query("w4_cumulative_probability", sql("""SELECT i AS key, round(SUM(pow(i, -0.8e0)) OVER (ORDER BY i)

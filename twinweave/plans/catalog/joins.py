@@ -126,7 +126,7 @@ def _few_sql(rows: str) -> str:
 
 
 def _near(rows, strategy, **options):
-    return interval_join(rows, rows, "key", "ts", "ts", -10 * MINUTE, 10 * MINUTE, strategy=strategy, select=pair_ids, row_id="event_id", **options)
+    return interval_join(rows, rows, "key", "ts", "ts", -10 * MINUTE, 10 * MINUTE, strategy=strategy, select=pair_ids, row_id="event_id", a_row_id="event_id", **options)
 
 
 @query("j7_interval_key", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
@@ -137,7 +137,7 @@ def interval_key(spark, sf):
 
 @query("j8_interval_data", _few_sql("few"))
 def interval_data(spark, sf):
-    return _near(few_keys(spark, sf), "data", max_split=4)
+    return _near(few_keys(spark, sf), "data")
 
 
 @query("j9_interval_hybrid", _few_sql("skewed"))
@@ -158,6 +158,27 @@ def tumbling_hybrid(spark, sf):
     return window_join(rows, rows, "key", "ts", "ts", HOUR, select=pair_ids, strategy="hybrid", workers=8, row_id="event_id")
 
 
+def _heavy_first(spark, sf):
+    """All events against one in a hundred of the hottest keys' events."""
+    rows = skewed_keys(spark, sf)
+    return rows, rows.where(F.pmod(F.col("event_id"), F.lit(100)) == 0)
+
+
+@query("j9_interval_hybrid_heavy_first", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id FROM skewed x JOIN skewed y
+  ON x.key = y.key AND y.ts BETWEEN x.ts - {HOUR} AND x.ts + {HOUR} AND y.event_id % 100 = 0"""))
+def interval_hybrid_heavy_first(spark, sf):
+    """The first input has a hundred times the rows of the second on every hot key."""
+    a, b = _heavy_first(spark, sf)
+    return interval_join(a, b, "key", "ts", "ts", -HOUR, HOUR, strategy="hybrid", workers=8, select=pair_ids, row_id="event_id", a_row_id="event_id")
+
+
+@query("j9_tumbling_hybrid_heavy_first", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id, x.ts // {HOUR} * {HOUR} AS w_start
+  FROM skewed x JOIN skewed y ON x.key = y.key AND x.ts // {HOUR} = y.ts // {HOUR} AND y.event_id % 100 = 0"""))
+def tumbling_hybrid_heavy_first(spark, sf):
+    a, b = _heavy_first(spark, sf)
+    return window_join(a, b, "key", "ts", "ts", HOUR, select=pair_ids, strategy="hybrid", workers=8, row_id="event_id", a_row_id="event_id")
+
+
 @query("j10_interval_bucket_few_keys", _few_sql("few"))
 def interval_bucket(spark, sf):
     return _near(few_keys(spark, sf), "bucket")

@@ -4,22 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from twinweave.functions.clock import ntz_micros
 from twinweave.operators.joins import numeric_pair
+from twinweave.operators.skew import key_frequency
 from twinweave.plans.catalog.joins import IDS_SQL, SIX_HOURS, _windows_sql
 from twinweave.plans.catalog.registry import HOUR, events, query, sql, table
 from twinweave.session import fresh_dir
 from twinweave.sources.live import event_column, file_stream
-from twinweave.streaming.joins import stream_interval_join, stream_window_join
+from twinweave.streaming.joins import split_table, stream_interval_join, stream_window_join
 from twinweave.streaming.run import run_available_now, sample_latency
 
 LATE_BEFORE = 1704067200000000 + 240 * HOUR   # rows of the first ten days can be late
 LATER_FROM = 1704067200000000 + 480 * HOUR    # the last ten days come second
 
 
+PARTS = 4
+_parts: dict[tuple[str, str], str] = {}
+
+
+def _in_parts(spark, sf):
+    """The events as ``PARTS`` files in order of time, written once per session: state is carried from one micro-batch to the next."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _parts:
+        folder = fresh_dir(spark, "parts")
+        rows = table(spark, sf, "events")
+        times = events(spark, sf).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+        for k in range(PARTS):
+            low, high = (times["a"] + (times["b"] + 1 - times["a"]) * n // PARTS for n in (k, k + 1))
+            us = ntz_micros("ts")
+            rows.where((us >= low) & (us < high)).coalesce(1).write.mode("append").parquet(folder)
+        _parts[at] = folder
+    return _parts[at]
+
+
 def event_stream(spark, sf, event_type):
-    """One event type of the events table as a stream with one event-time column."""
+    """One event type of the events table as a stream with one event-time column, a file per micro-batch."""
     schema = table(spark, sf, "events").schema
-    rows = event_column(file_stream(spark, sf, schema, name="events.parquet"), "ts")
+    rows = event_column(file_stream(spark, _in_parts(spark, sf), schema, files_per_batch=1), "ts")
     rows = rows.where(F.col("event_type") == event_type)
     return rows.select("event_id", "event_time", "user_id", F.floor("value").alias("value"))
 
@@ -63,6 +84,28 @@ def stream_tumbling(spark, sf):
     return run_available_now(pairs, "tumbling")
 
 
+def _user_splits(spark, sf):
+    """Splits from the users' shares of the table, as known before the run."""
+    rows = events(spark, sf)
+    clicks, views = rows.where("event_type = 'click'"), rows.where("event_type = 'view'")
+    n_a, n_b = clicks.count(), views.count()
+    return split_table(key_frequency(clicks, views, "user_id"), "user_id", 400, share_a=min(.99, max(.01, n_a / max(1, n_a + n_b))))
+
+
+@query("t3_stream_interval_hybrid", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
+def stream_interval_hybrid(spark, sf):
+    pairs = stream_interval_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time",
+                                 -6 * HOUR, 6 * HOUR, select=ids, splits=_user_splits(spark, sf), row_id="event_id", a_row_id="event_id")
+    return run_available_now(pairs, "interval-hybrid")
+
+
+@query("t4_stream_tumbling_hybrid", _windows_sql(6 * HOUR, 6 * HOUR))
+def stream_tumbling_hybrid(spark, sf):
+    pairs = stream_window_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time", 6 * HOUR,
+                               select=ids, splits=_user_splits(spark, sf), row_id="event_id", a_row_id="event_id")
+    return run_available_now(pairs, "tumbling-hybrid")
+
+
 @query("t5_stream_sliding", _windows_sql(6 * HOUR, 2 * HOUR))
 def stream_sliding(spark, sf):
     pairs = stream_window_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time", 6 * HOUR, 2 * HOUR, select=ids)

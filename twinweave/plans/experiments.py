@@ -67,10 +67,18 @@ def comparison_join(base: DataFrame, probe: DataFrame, window_us: int = 5000, sl
 
 
 def result_record(
-    latencies: DataFrame, *, rate: float = model.SAMPLES_PER_SECOND, epoch: int | Column = 0, method: str = "truncated", run_id: str = "run"
+    latencies: DataFrame, *, rate: float = model.SAMPLES_PER_SECOND, epoch: int | Column | None = None, method: str = "truncated", run_id: str = "run"
 ) -> DataFrame:
-    """The stored record of a run from ``sink_id, at_ns, latency_us``: each sink samples on its own, then all samples count as one."""
+    """The stored record of a run from ``sink_id, at_ns, latency_us``: each sink samples on its own, then all samples count as one.
+
+    ``epoch`` is when the samplers were made, in the unit of ``at_ns``; by default each sink's first time.
+    """
     named = latencies.withColumn("run_id", F.lit(run_id))
+    if epoch is None:
+        # a row per sink; times are counted from there
+        begun = named.groupBy(F.col("sink_id").alias("_sink")).agg(F.min("at_ns").alias("_begun"))
+        named = named.join(begun, F.col("sink_id").eqNullSafe(F.col("_sink"))).withColumn("at_ns", F.col("at_ns") - F.col("_begun")).drop("_sink", "_begun")
+        epoch = 0
     totals = named.groupBy("run_id").agg(F.count("*").alias("total"))
     kept = rate_sample(named, sink="sink_id", at="at_ns", rate=rate, epoch=epoch, order=["latency_us"])
     return accounting.latency_summary(kept, "latency_us", ["run_id"], totals=totals, method=method)

@@ -135,12 +135,17 @@ def write_synthetic(df: DataFrame, path: str, num_keys: int, size: int, *, files
 
     Every file carries the header line, written as a column header of the same two numbers.
     """
-    names = [str(num_keys), str(size)]
+    columns, names = ["key", "ts_off"], [str(num_keys), str(size)]
     if num_keys == size:
-        names[1] = f"0{size}"
+        # a table has no two columns of one name, so this header is one column of its own
+        line = F.concat_ws(text.SEPARATOR, *columns)
+        rows = _in_row_order(df, files).select(line.alias(f"{num_keys}{text.SEPARATOR}{size}"))
+        # quoting would set the separator inside the one column in quotes
+        rows.write.mode("errorifexists").option("sep", "\t").option("header", True).csv(path)
+        return
     (
         _in_row_order(df, files)
-        .select(F.col("key").alias(names[0]), F.col("ts_off").alias(names[1]))
+        .select(*[F.col(c).alias(n) for c, n in zip(columns, names)])
         .write.mode("errorifexists").option("sep", text.SEPARATOR).option("header", True).csv(path)
     )
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from twinweave import model
+from twinweave.functions import draws
 from twinweave.functions.clock import ntz_micros
 from twinweave.functions.integers import as_long
-from twinweave.session import durable
-from twinweave.sources.generated import random_source
 from twinweave.sources.timeline import position_in_pass
 
 
@@ -43,13 +42,29 @@ def paced_replay(spark: SparkSession, dataset: DataFrame, rows: int, span_ms: in
     return played.withColumn("event_us", F.col("event_us") + F.col("pass") * as_long(span_ms * 1000))
 
 
-def live_random(spark: SparkSession, num_keys: int, rate: int, *, seed: int = model.SEED_A, period: int = 100_000) -> DataFrame:
-    """The random source at ``rate`` rows per second.
+def live_random(spark: SparkSession, num_keys: int, rate: int, *, seed: int = model.SEED_A, replicas: int = 1, base_ms: int = model.EVENT_TIME_BASE_MS) -> DataFrame:
+    """The random source at ``rate`` rows per second: ``replica, row_id, key, value, event_us, ingest_ns``, drawn for ever.
 
-    The first ``period`` draws are written once and then played over and over, event time
-    growing on: a running sum over an unbounded stream would need one task for all of it.
+    Every replica has its own clock, which the query keeps as state: the first event at ``base_ms``, gaps of 0..499 ms after
+    each event. Keys and gaps are hashed from the running number of the row, so a batch that runs again draws the
+    same. A replica is one task per batch, as its times follow from each other.
     """
-    drawn = durable(random_source(spark.range(period).select(F.col("id").alias("row_id")), num_keys, seed=seed))
-    ends = drawn.agg(F.min("event_us").alias("first"), F.max("event_us").alias("last")).first()
-    mean_gap_ms = (ends["last"] - ends["first"]) // max(1, period - 1) // 1000
-    return paced_replay(spark, drawn, period, (ends["last"] - ends["first"]) // 1000 + mean_gap_ms, rate)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rate).load()
+    number = F.col("value")
+    drawn = ticks.select(
+        F.pmod(number, as_long(replicas)).alias("replica"), number.alias("row_id"),
+        draws.uniform_int(draws.unit_draw(number, seed, 0), 1, num_keys).alias("key"), draws.uniform_int(draws.unit_draw(number, seed, 1), 0, 499).alias("gap"),
+        (F.unix_micros("timestamp") * as_long(1000)).alias("ingest_ns"))
+
+    def timed(key, parts, state):
+        import pandas as pd
+
+        rows = pd.concat(list(parts)).sort_values("row_id")
+        clock = state.get[0] if state.exists else base_ms
+        after = clock + rows["gap"].cumsum()
+        state.update((int(after.iloc[-1]),))
+        yield pd.DataFrame({"replica": rows["replica"], "row_id": rows["row_id"], "key": rows["key"], "value": model.CONSTANT_VALUE,
+                            "event_us": (after - rows["gap"]) * 1000, "ingest_ns": rows["ingest_ns"]})
+
+    return drawn.groupBy("replica").applyInPandasWithState(
+        timed, "replica long, row_id long, key long, value long, event_us long, ingest_ns long", "clock long", "append", "NoTimeout")

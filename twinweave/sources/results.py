@@ -8,7 +8,7 @@ from twinweave.functions.text import with_run_fields
 from twinweave.model import METRIC_RESULT
 
 #: Fixed value: how a run log reports its throughput.
-THROUGHPUT_LINE = r"Measured throughput: ([0-9.]+)"
+THROUGHPUT_LINE = r"Measured throughput: ([0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 
 
 def read_metrics(spark: SparkSession, root: str, *, name: str = "*.json", layout: str = "array") -> DataFrame:

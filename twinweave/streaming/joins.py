@@ -12,7 +12,44 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from twinweave.functions.integers import as_long, floor_div
-from twinweave.operators.joins import PairColumns, PairCondition, pair_columns, tag
+from twinweave.operators.joins import PairColumns, PairCondition, Side, pair_columns, tag
+from twinweave.operators.skew import split_degree
+
+#: Keys a split table may have; it is broadcast and stays for the life of a query.
+MOST_SPLIT_KEYS = 100_000
+
+
+def split_table(freq: DataFrame, key: str, workers: int, share_a: float = 0.5) -> DataFrame:
+    """``key, splits_a, splits_b`` of the keys that hold more than their part of a stream, from probabilities known
+    before the run (``key, prob``); ``share_a`` is the first stream's share of all rows."""
+    if not 0 < share_a < 1:
+        raise ValueError("share_a must lie between 0 and 1")
+    splits = split_degree(F.col("prob"), workers)
+    ideal = F.sqrt(splits * F.lit(share_a / (1 - share_a)))
+    split_a = F.greatest(F.lit(1), F.least(splits, F.round(ideal))).cast("long")
+    return freq.where(splits > 1).select(key, split_a.alias("splits_a"), F.ceil(splits / split_a).cast("long").alias("splits_b"))
+
+
+def _salted(left: DataFrame, right: DataFrame, a: Side, b: Side, keys: list[str], splits: DataFrame | None, salts: int, a_row_id: str | None, row_id: str | None):
+    """Both streams with a grid of salts, and the pairs of columns to join on. The grid of a key never changes, since
+    state that is stored could not follow."""
+    if splits is None and salts <= 1:
+        return left, right, []
+    if splits is not None:
+        if splits.count() > MOST_SPLIT_KEYS:
+            raise ValueError(f"more than {MOST_SPLIT_KEYS} keys are split")
+        for_a = F.broadcast(splits.select(*[F.col(k).alias(f"_split_{k}") for k in keys], "splits_a", "splits_b"))
+        left = left.join(for_a, [a[k] == F.col(f"_split_{k}") for k in keys], "left")
+        right = right.join(for_a, [b[k] == F.col(f"_split_{k}") for k in keys], "left")
+        n_a, n_b = (F.coalesce(F.col(c), F.lit(1)).cast("long") for c in ("splits_a", "splits_b"))
+    else:
+        n_a, n_b = as_long(1), as_long(salts)
+    own_a = [a[a_row_id]] if a_row_id else [a[c] for c in a.names]
+    own_b = [b[row_id]] if row_id else [b[c] for c in b.names]
+    zero = as_long(0)
+    left = left.withColumn("_a_salt_a", F.pmod(F.xxhash64(*own_a), n_a)).withColumn("_a_salt_b", F.explode(F.sequence(zero, n_b - 1)))
+    right = right.withColumn("_b_salt_b", F.pmod(F.xxhash64(*own_b), n_b)).withColumn("_b_salt_a", F.explode(F.sequence(zero, n_a - 1)))
+    return left, right, [(F.col("_a_salt_a"), F.col("_b_salt_a")), (F.col("_a_salt_b"), F.col("_b_salt_b"))]
 
 
 def stream_interval_join(
@@ -29,14 +66,16 @@ def stream_interval_join(
     where: PairCondition | None = None,
     bucketed: bool = True,
     salts: int = 1,
+    splits: DataFrame | None = None,
     row_id: str | None = None,
+    a_row_id: str | None = None,
 ) -> DataFrame:
     """Pairs with equal ``on`` and ``a_time + lower_us <= b_time <= a_time + upper_us``.
 
     The state of a key is a list that every arriving row of the other input is checked
     against. With ``bucketed`` it is split by time, so few keys do not mean long lists.
-    ``salts`` spreads each list over that many tasks; it is fixed for the life of the
-    query, since state already stored could not follow a change.
+    ``salts`` spreads each list of ``b`` over that many tasks; ``splits`` (see ``split_table``) gives each hot key
+    a grid of its own instead, in proportion to the rows of both streams.
     """
     keys = [on] if isinstance(on, str) else list(on)
     left, a_side = tag(a, "a__")
@@ -57,11 +96,8 @@ def stream_interval_join(
         left = left.withColumn("_a_bucket", F.explode(F.sequence(first, last)))
         right = right.withColumn("_b_bucket", floor_div(F.unix_micros(bt), width))
         equal.append((F.col("_a_bucket"), F.col("_b_bucket")))
-    if salts > 1:
-        own = [b_side[row_id]] if row_id else [b_side[c] for c in b_side.names]
-        left = left.withColumn("_a_salt", F.explode(F.sequence(as_long(0), as_long(salts - 1))))
-        right = right.withColumn("_b_salt", F.pmod(F.xxhash64(*own), as_long(salts)))
-        equal.append((F.col("_a_salt"), F.col("_b_salt")))
+    left, right, grid = _salted(left, right, a_side, b_side, keys, splits, salts, a_row_id, row_id)
+    equal += grid
     for l, r in reversed(equal):
         condition = (l == r) & condition
     return left.join(right, condition, "inner").select(*pair_columns(a_side, b_side, select))
@@ -79,13 +115,20 @@ def stream_window_join(
     delay: str = "0 seconds",
     select: PairColumns | None = None,
     where: PairCondition | None = None,
+    splits: DataFrame | None = None,
+    row_id: str | None = None,
+    a_row_id: str | None = None,
 ) -> DataFrame:
     """Pairs with equal ``on`` in the same window, once per shared window; ``w_start`` in us is added.
 
+    ``splits`` gives hot keys a grid of tasks, as in ``stream_interval_join``.
+
     ``F.window`` has no windows with gaps. For ``slide_us > size_us`` the rows in gaps are
     filtered out, which makes them tumbling windows of length ``slide_us``.
     """
-    slide_us = slide_us or size_us
+    slide_us = size_us if slide_us is None else slide_us
+    if size_us < 1 or slide_us < 1:
+        raise ValueError("size and slide must be positive")
     keys = [on] if isinstance(on, str) else list(on)
     left, a_side = tag(a, "a__")
     right, b_side = tag(b, "b__")
@@ -102,6 +145,9 @@ def stream_window_join(
     left = left.withColumn("_a_window", F.window(at, *window)).withColumn(f"a__{a_time}", F.timestamp_micros(F.unix_micros(at)))
     right = right.withColumn("_b_window", F.window(bt, *window)).withColumn(f"b__{b_time}", F.timestamp_micros(F.unix_micros(bt)))
     condition = F.col("_a_window") == F.col("_b_window")
+    left, right, grid = _salted(left, right, a_side, b_side, keys, splits, 1, a_row_id, row_id)
+    for l, r in reversed(grid):
+        condition = (l == r) & condition
     for k in reversed(keys):
         condition = (a_side[k] == b_side[k]) & condition
     if where is not None:
