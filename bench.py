@@ -20,7 +20,7 @@ from twinweave.session import get_session  # noqa: E402
 
 HEADLINE = (
     "j1_interval_click_view", "j1_interval_orders_lineitem", "j4_tumbling_join", "j5_sliding_join",
-    "j8_interval_data", "j9_interval_hybrid", "j10_interval_bucket_few_keys", "j10_interval_auto_skewed",
+    "j8_interval_data", "j9_interval_hybrid", "j9_interval_hybrid_heavy_first", "t3_stream_interval_hybrid", "j10_interval_bucket_few_keys", "j10_interval_auto_skewed",
     "j11_self_interval", "s8_replay", "w2_sampler", "a9_percentile_interp", "a7_latency_summary",
 )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -43,15 +45,34 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="twinweave-"))
     return sc.getCheckpointDir()
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; it is deleted when this process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_discard)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def _discard() -> None:
+    """Delete the folders this process has made, as far as its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made:
+        folder = hadoop(path)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
