@@ -76,7 +76,8 @@ def _written(folder: str, file_bytes: int, date: str):
 
 def write(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES,
           file_bytes: int = FILE_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Write archives below ``folder`` (default: a new one in the shared folder); returns their ``path, size, records``."""
+    """Write archives below ``folder`` (default: a new one in the shared folder, which goes when this process ends);
+    returns their ``path, size, records``."""
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html")).withColumn(
         "digest", F.sha1(F.col("html").cast("binary")))
