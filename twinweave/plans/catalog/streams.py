@@ -64,6 +64,18 @@ def watermark(spark, sf):
     return run_available_now(pairs, "watermark").groupBy("user_id", "w_start").agg(F.count("*").alias("pairs"))
 
 
+@query("t2_closed_windows", sql("""SELECT w_start, count(*) AS n FROM (SELECT ts, ts // 3600000000 * 3600000000 AS w_start FROM a UNION ALL SELECT ts, ts // 3600000000 * 3600000000 FROM b)
+  WHERE w_start + 3600000000 <= LEAST((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) // 1000 * 1000 GROUP BY w_start"""))
+def closed_windows(spark, sf):
+    """Only windows that the watermark of both inputs (the slower one) has passed come out."""
+    both = None
+    for kind in ("click", "view"):
+        one = event_stream(spark, sf, kind).withWatermark("event_time", "0 seconds")
+        both = one if both is None else both.unionByName(one)
+    counted = both.groupBy(F.window("event_time", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return run_available_now(counted.select(F.unix_micros("w.start").alias("w_start"), "n"), "closed")
+
+
 @query("t3_stream_interval", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
 def stream_interval(spark, sf):
     pairs = stream_interval_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from twinweave.functions.integers import as_long, floor_div
 from twinweave.operators.joins import PairColumns, PairCondition, Side, pair_columns, tag
@@ -123,12 +123,29 @@ def stream_window_join(
 
     ``splits`` gives hot keys a grid of tasks, as in ``stream_interval_join``.
 
-    ``F.window`` has no windows with gaps. For ``slide_us > size_us`` the rows in gaps are
+    Overlapping windows (``slide_us < size_us``) are a band join whose pairs are repeated: a row is in state twice at
+    most, not ``size / slide`` times. ``F.window`` has no windows with gaps. For ``slide_us > size_us`` the rows in gaps are
     filtered out, which makes them tumbling windows of length ``slide_us``.
     """
     slide_us = size_us if slide_us is None else slide_us
     if size_us < 1 or slide_us < 1:
         raise ValueError("size and slide must be positive")
+    if slide_us < size_us:
+        def windows(x: Side, y: Side) -> tuple[Column, Column]:
+            """First and last of the windows that two rows share."""
+            x_us, y_us = F.unix_micros(x[a_time]), F.unix_micros(y[b_time])
+            return floor_div(F.greatest(x_us, y_us) - as_long(size_us), slide_us) + 1, floor_div(F.least(x_us, y_us), slide_us)
+
+        def shared(x: Side, y: Side) -> Column:
+            first, last = windows(x, y)
+            return (first <= last) if where is None else (first <= last) & where(x, y)
+
+        def repeated(x: Side, y: Side) -> list[Column]:
+            first, last = (n * as_long(slide_us) for n in windows(x, y))
+            return [*pair_columns(x, y, select), F.explode(F.sequence(first, last, as_long(slide_us))).alias("w_start")]
+
+        return stream_interval_join(a, b, on, a_time, b_time, 1 - size_us, size_us - 1, delay=delay, select=repeated, where=shared,
+                                    splits=splits, row_id=row_id, a_row_id=a_row_id)
     keys = [on] if isinstance(on, str) else list(on)
     left, a_side = tag(a, "a__")
     right, b_side = tag(b, "b__")
