@@ -41,7 +41,7 @@ def test_files_round_trip(spark):
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for i in rng.sample(range(-50, 500), 80)]
     rows += [(1000, None), (1001, ""), (1002, "long " * 20_000), (1003, "same"), (1003, "same"), (1003, "other"), (None, "no id")]
     frame = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, part int").repartition(5)
-    index = tokenfiles.write(frame, tokens.path("word_bpe_49k.json"), block_tokens=500, file_bytes=3000)
+    index = tokenfiles.write(frame, tokens.path("word_bpe_49k.json"), block_tokens=500, file_tokens=2000)
     assert index.count() > 5
     got = sorted(tokenfiles.read(index, with_ids=True).collect(), key=lambda r: r.start)
     whole = Tokenizer.from_file(tokens.path("word_bpe_49k.json"))

@@ -1,9 +1,9 @@
 """Token ids in binary files, coded by a static range asymmetric numeral system.
 
-One pass counts the ids of all documents; the counts of all tasks are summed by a shuffle, and make one frequency table of as many
-entries as the vocabulary has, whatever the data. A range shuffle sorts the texts by document id, and each task writes files of
-independent blocks: whole documents up to about ``BLOCK_TOKENS`` ids, with the documents' ids and lengths, checkpoints and checksums.
-Tokens are made twice, as keeping them between the passes would take more disk than the texts.
+A range shuffle sorts the texts by document id, and each task writes files of independent blocks: whole documents up to about
+``BLOCK_TOKENS`` ids, with the documents' ids and lengths, checkpoints and checksums. The blocks of a file share one frequency table, made
+of all ids of the file: a task holds ``FILE_TOKENS`` ids (16 bits each), counts them, and then codes them. So texts are tokenised once, and
+nothing but the texts is shuffled.
 
 A file is a head (``TKF1``, length, the frequency table), then blocks. The index table names every block; its rows are dealt to tasks, and
 each block is decoded by itself. Where a document starts in the whole data set follows from sums over ranges, blocks and documents.
@@ -31,36 +31,13 @@ from twinweave.llm.words import slices
 from twinweave.session import durable, fresh_dir
 
 BLOCK_TOKENS = 1 << 18
-FILE_BYTES = 256 << 20
+FILE_TOKENS = 1 << 23
 _MAGIC = b"TKF1"
 _BLOCK = struct.Struct("<4sII")
 INDEX = "part long, number long, path string, place long, size long, docs long, tokens long"
 DOCS = "part long, number long, at long, id long, n_tokens long, ids_crc32 long"
 
 
-def _counts(file: str, spaced: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(file, spaced)
-        total = np.zeros(own.vocabulary, np.int64)
-        for part in slices(batches):
-            total += own.counts(part.column("text").to_pylist())
-            total[END] += part.num_rows
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "n"])
-    return run
-
-
-def table_of(docs: DataFrame, file: str, spaced: bool, text: str = "text") -> Table:
-    """Frequencies of the ids of all documents; the driver gets a row per id of the vocabulary at most."""
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(_counts(file, spaced), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = np.zeros(encoder(file, spaced).vocabulary, np.int64)
-    for r in rows.collect():
-        counts[r["token"]] = r["n"]
-    if not counts.any():
-        counts[END] = 1
-    return Table.of(counts)
-
-
 def block_bytes(ids: list[int | None], tokens: list[np.ndarray], table: Table) -> bytes:
     """A block: sizes, the zipped document table, and the coded ids."""
     nulls = np.array([i is None for i in ids], np.uint8).tobytes()
@@ -82,52 +59,56 @@ def block_docs(raw: bytes, table: Table) -> tuple[list[int | None], list[np.ndar
     return [None if null else int(i) for null, i in zip(heads[:n], ids)], np.split(symbols, np.cumsum(sizes)[:-1])
 
 
-def _written(folder: str, file: str, spaced: bool, frequencies: bytes, block_tokens: int, file_bytes: int):
+def _written(folder: str, file: str, spaced: bool, block_tokens: int, file_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = encoder(file, spaced), Table.from_bytes(frequencies)
-        packed = zlib.compress(frequencies)
-        part, number, now, rows = TaskContext.get().partitionId(), 0, None, []
+        own = encoder(file, spaced)
+        if own.vocabulary > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit in 16 bits")
+        part, number, rows = TaskContext.get().partitionId(), 0, []
         ids: list[int | None] = []
         held: list[np.ndarray] = []
         tokens = 0
 
-        def flush() -> None:
-            nonlocal number, now, ids, held, tokens
-            if now is None:
-                now = Writer(folder, ".tokens")
-                now.write(_MAGIC + struct.pack("<I", len(packed)) + packed)
-            raw = block_bytes(ids, held, table)
-            rows.append((part, number, now.uri, now.size, len(raw), len(ids), tokens))
-            now.write(raw)
-            number, ids, held, tokens = number + 1, [], [], 0
-            if now.size >= file_bytes:
-                now.close()
-                now = None
+        def write_file() -> None:
+            nonlocal number, ids, held, tokens
+            table = Table.of(np.bincount(np.concatenate(held), minlength=own.vocabulary))
+            packed = zlib.compress(table.to_bytes())
+            now = Writer(folder, ".tokens")
+            now.write(_MAGIC + struct.pack("<I", len(packed)) + packed)
+            begin = 0
+            while begin < len(held):
+                end, size = begin, 0
+                while end < len(held) and (end == begin or size + len(held[end]) <= block_tokens):
+                    size += len(held[end])
+                    end += 1
+                raw = block_bytes(ids[begin:end], held[begin:end], table)
+                rows.append((part, number, now.uri, now.size, len(raw), end - begin, size))
+                now.write(raw)
+                number, begin = number + 1, end
+            now.close()
+            ids, held, tokens = [], [], 0
 
         for batch in slices(batches):
-            for doc, found in zip(batch.column("id").to_pylist(), own.encode(batch.column("text").to_pylist())):
-                if tokens and tokens + len(found) + 1 > block_tokens:
-                    flush()
+            for doc, found in zip(batch.column("id").to_pylist(), own.encode(batch.column("text"))):
                 ids.append(doc)
-                held.append(np.append(found, END))
+                held.append(np.append(found, END).astype(np.uint16))
                 tokens += len(found) + 1
+                if tokens >= file_tokens:
+                    write_file()
         if tokens:
-            flush()
-        if now is not None:
-            now.close()
+            write_file()
         kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=[c.split()[0] for c in INDEX.split(", ")])
     return run
 
 
 def write(docs: DataFrame, file: str, spaced: bool = False, folder: str | None = None, doc_id: str = "doc_id", text: str = "text",
-          block_tokens: int = BLOCK_TOKENS, file_bytes: int = FILE_BYTES) -> DataFrame:
+          block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write the ids of all documents in ascending order of id; returns the index, a row per block."""
-    table = table_of(docs, file, spaced, text).to_bytes()
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     # texts decide only between rows of equal id
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    run = _written(folder or fresh_dir(docs.sparkSession, "tokens"), file, spaced, table, block_tokens, file_bytes)
+    run = _written(folder or fresh_dir(docs.sparkSession, "tokens"), file, spaced, block_tokens, file_tokens)
     return durable(ordered.mapInArrow(run, INDEX))
 
 
