@@ -66,7 +66,7 @@ _made: list[str] = []
 def _discard() -> None:
     """Delete the folders this process has made, as far as its session still runs."""
     spark = SparkSession.getActiveSession()
-    if spark is None:
+    if spark is None or spark.sparkContext._jsc is None:
         return
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
