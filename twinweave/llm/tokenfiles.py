@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from twinweave.llm.files import Reader, Writer, spread
+from twinweave.llm.files import Reader, Writer
 from twinweave.llm.rans import Table, decode, encode
 from twinweave.llm.tokens import END, encoder
 from twinweave.llm.words import slices
@@ -35,7 +35,8 @@ FILE_TOKENS = 1 << 23
 _MAGIC = b"TKF1"
 _BLOCK = struct.Struct("<4sII")
 INDEX = "part long, number long, path string, place long, size long, docs long, tokens long"
-DOCS = "part long, number long, at long, id long, n_tokens long, ids_crc32 long"
+DOCS = "id long, start long, n_tokens long, ids_crc32 long"
+READ_BLOCKS = 8  # neighbouring blocks, mostly of one file, that a task reads
 
 
 def block_bytes(ids: list[int | None], tokens: list[np.ndarray], table: Table) -> bytes:
@@ -104,7 +105,8 @@ def _written(folder: str, file: str, spaced: bool, block_tokens: int, file_token
 
 def write(docs: DataFrame, file: str, spaced: bool = False, folder: str | None = None, doc_id: str = "doc_id", text: str = "text",
           block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Write the ids of all documents in ascending order of id; returns the index, a row per block."""
+    """Write the ids of all documents in ascending order of id; returns the index, a row per block. Files lie below ``folder`` (default: a new
+    one in the shared folder, which goes when this process ends)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     # texts decide only between rows of equal id
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
@@ -131,14 +133,12 @@ def read_block(path: str, place: int, size: int) -> tuple[list[int | None], list
 def _decoded(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, path, place, size in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "path", "place", "size"))):
+            for base, path, place, size in zip(*(batch.column(c).to_pylist() for c in ("base", "path", "place", "size"))):
                 ids, tokens = read_block(path, place, size)
                 lengths = np.array([len(t) for t in tokens], np.int64)
                 raw = [t.astype("<u4").tobytes() for t in tokens]
-                columns = [pa.array([part] * len(ids), pa.int64()), pa.array([number] * len(ids), pa.int64()), pa.array(np.cumsum(lengths) - lengths),
-                           pa.array(ids, pa.int64()), pa.array(lengths), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(raw, pa.binary())] if with_ids else []),
-                                                 names=["part", "number", "at", "id", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                columns = [pa.array(ids, pa.int64()), pa.array(base + np.cumsum(lengths) - lengths), pa.array(lengths), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(raw, pa.binary())] if with_ids else []), names=["id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
     return run
 
 
@@ -148,7 +148,6 @@ def read(index: DataFrame, with_ids: bool = False) -> DataFrame:
     parts = sums.select(F.col("part").alias("b_part"), (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     within = F.sum("tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("tokens")
     blocks = index.withColumn("within", within).join(parts, F.col("part") == F.col("b_part")).select(
-        F.col("part").alias("k_part"), F.col("number").alias("k_number"), (F.col("before") + F.col("within")).alias("base"))
-    docs = spread(index.select("part", "number", "path", "place", "size"), index.count()).mapInArrow(_decoded(with_ids), DOCS + (", ids binary" if with_ids else ""))
-    placed = docs.join(blocks, (F.col("part") == F.col("k_part")) & (F.col("number") == F.col("k_number")))
-    return placed.select("id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+        "part", "number", "path", "place", "size", (F.col("before") + F.col("within")).alias("base"))
+    tasks = max(1, -(-index.count() // READ_BLOCKS))
+    return blocks.repartitionByRange(tasks, "part", "number").mapInArrow(_decoded(with_ids), DOCS + (", ids binary" if with_ids else ""))

@@ -84,11 +84,10 @@ class Encoder:
             edge = gap & head
             for found in (np.flatnonzero(doubt), np.flatnonzero(edge), np.flatnonzero(_rare_spaces(data))):
                 whole[np.searchsorted(offsets, found, side="right") - 1] = True
-        starts = np.flatnonzero(begin)
         # a piece ends at the next piece, gap or text
-        stop = np.append(begin | gap | head, True)
-        stops = np.flatnonzero(stop)
-        ends = stops[np.searchsorted(stops, starts, side="right")]
+        stops = np.flatnonzero(np.append(begin | gap | head, True))
+        own = np.flatnonzero(begin[stops[:-1]])
+        starts, ends = stops[own], stops[own + 1]
         return starts, ends, lead[starts], whole
 
     def _ids(self, keys: list[int], text_of) -> list[bytes]:
@@ -119,7 +118,7 @@ class Encoder:
         hashes = words.hashes()
         hashes[lead] = mixed(hashes[lead] ^ np.uint64(0x5851F42D4C957F2D))
         numbered = pa.array(hashes).dictionary_encode()
-        index, keys = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        index, keys = numbered.indices.to_numpy(), numbered.dictionary.to_numpy().tolist()
         first = np.empty(len(keys), np.int64)
         first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
 
