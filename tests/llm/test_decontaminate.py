@@ -54,6 +54,16 @@ def test_more_than_one_block_gives_the_same(spark):
     check(spark, 4, 60)
 
 
+def test_blocks_with_equal_hits_keep_all_item_ids(spark):
+    # the same hit runs are found in several passes, for other items each
+    items = [(i, "one two three four") for i in range(12)]
+    docs = [(1, "Zero one two THREE four. End")] * 2 + [(2, "nothing here")]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (de.BLOCK_BYTES, 60):
+        got = de.find_hits(*tables, 4, block_bytes=block_bytes).withColumn("n_hit", de.hit_words()).collect()
+        assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted((i, *plain(t, items, 4)) for i, t in docs)
+
+
 def test_decontaminate_removes_documents_or_spans(spark):
     docs = spark.createDataFrame([(1, "Keep. one TWO three four. End", "a"), (2, "one two three", "b"), (3, None, "c"), (1, "Keep. one TWO three four. End", "a")],
                                  "doc_id long, text string, hits string")

@@ -133,8 +133,8 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "
         hit = durable(one(k).where("size(hits) > 0"))
         passes = hit if passes is None else passes.unionByName(hit)
     counted = rows.mapInArrow(_scan(spark.sparkContext.broadcast(Table([], pa.array([], pa.string()), size))), HITS).drop("hits", "items")
-    # rows with equal id and text have equal hits, so one of them per pass is enough
-    merged = passes.dropDuplicates(["id", "text_key", "hits"]).groupBy("id", "text_key").agg(
+    # rows with equal id and text have equal hits and items, so one of them per pass is enough; other passes may have equal hits of other items
+    merged = passes.dropDuplicates(["id", "text_key", "hits", "items"]).groupBy("id", "text_key").agg(
         F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = merged.select(F.col("id").alias("m_id"), F.col("text_key").alias("m_key"), _united("hits").alias("hits"), "items")
     out = counted.join(merged, counted.id.eqNullSafe(merged.m_id) & counted.text_key.eqNullSafe(merged.m_key), "left")
