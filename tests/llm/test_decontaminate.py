@@ -3,7 +3,9 @@
 import random
 import re
 
-from twinweave.llm import decontaminate as de
+import duckdb
+
+from twinweave.llm import catalog, decontaminate as de
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -64,6 +66,25 @@ def test_blocks_with_equal_hits_keep_all_item_ids(spark):
         assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted((i, *plain(t, items, 4)) for i, t in docs)
 
 
+def test_items_without_id_count_as_in_the_sql(spark, tmp_path):
+    a, b, c = (" ".join(f"{k}{n}" for n in range(12)) for k in "abc")
+    items = spark.createDataFrame([(None, a), (None, b), ("5", b), (None, None), (None, "xx yy"), ("7", c)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "so " + a), (2, b), (3, "no hit"), (4, a + " " + b + " " + c), (5, "xx, YY"), (6, None)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    items.coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}.parquet/*.parquet'")
+    want = sorted(con.sql(catalog.SQL["op7_decontamination"]).fetchall())
+    assert [(r[0], r[2], r[5]) for r in want] == [(1, 12, True), (2, 12, True), (3, 0, False), (4, 36, True), (5, 2, True), (6, 0, False)]
+    assert sorted(map(tuple, catalog.QUERIES["op7_decontamination"](spark, str(tmp_path)).collect())) == want
+    parts = de.find_hits(docs, items, block_bytes=60, nameless=True)
+    one = de.find_hits(docs, items, nameless=True)
+    order = lambda x: sorted((r.id, r.n_words, r.n_hit, str(r["items"])) for r in x.withColumn("n_hit", de.hit_words()).collect())
+    assert order(parts) == order(one)
+    assert sorted(r.doc_id for r in de.decontaminate(docs, items).collect()) == [3, 6]
+
+
 def test_decontaminate_removes_documents_or_spans(spark):
     docs = spark.createDataFrame([(1, "Keep. one TWO three four. End", "a"), (2, "one two three", "b"), (3, None, "c"), (1, "Keep. one TWO three four. End", "a")],
                                  "doc_id long, text string, hits string")

@@ -10,8 +10,9 @@ is broadcast at a time. A benchmark larger than one block takes one pass over th
 the sparse hits of the passes are merged; the result is the same.
 
 Defined cases: null or empty text has no words and no hit; repeated documents and repeated items are judged alike
-(an item id is reported once); a null item text has no window; an empty table of items hits nothing; null ids are
-kept. Other columns are not looked at.
+(an item id is reported once); a null item text has no window; an empty table of items hits nothing; null document ids
+are kept. Items with a null id are left out by ``find_hits`` unless ``nameless`` is set; then they hit like others and stand as
+one null at the end of ``items``. ``op7_decontamination`` and ``decontaminate`` look at all items. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ HITS = "id long, text_key long, n_words long, hits array<struct<first:long,last:
 class Table:
     """The windows of one block of items."""
 
-    def __init__(self, names: list[str], texts: pa.Array, size: int):
+    def __init__(self, names: list[str | None], texts: pa.Array, size: int):
         words = words_of(texts, WORD_BYTES, lower=True)
         hashes, counts, row = words.hashes(), words.counts, words.row_of()
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, list[str]]]]] = {}
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, list[str | None]]]]] = {}
         for length in sorted({min(size, int(n)) for n in counts if n}):
             starts = words.window_starts(length)
             if length < size:
@@ -44,7 +45,7 @@ class Table:
             else:
                 starts = starts[counts[row[starts]] >= size]
             keys = rolled(hashes, length)[starts]
-            exact: dict[int, dict[bytes, list[str]]] = {}
+            exact: dict[int, dict[bytes, list[str | None]]] = {}
             for key, at in zip(keys.tolist(), starts.tolist()):
                 owners = exact.setdefault(key, {}).setdefault(_joined(words, at, length), [])
                 if not owners or owners[-1] != names[row[at]]:
@@ -53,7 +54,7 @@ class Table:
             marks[keys & np.uint64(len(marks) - 1)] = True
             self.by_size[length] = (marks, np.unique(keys), exact)
 
-    def hits(self, words: Words) -> Iterator[tuple[int, int, list[str]]]:
+    def hits(self, words: Words) -> Iterator[tuple[int, int, list[str | None]]]:
         """First word, number of words and item names of each occurrence."""
         hashes = words.hashes()
         for length, (marks, keys, exact) in self.by_size.items():
@@ -78,7 +79,7 @@ def _scan(block):
         for part in slices(batches):
             words = words_of(part.column("text"), WORD_BYTES, lower=True)
             cover = np.zeros(len(words.starts) + 1, np.int64)
-            names: dict[int, set[str]] = {}
+            names: dict[int, set[str | None]] = {}
             row = words.row_of()
             for at, n, owners in table.hits(words):
                 cover[at] += 1
@@ -101,19 +102,21 @@ def _scan(block):
             yield pa.RecordBatch.from_arrays([
                 part.column("id"), part.column("text_key"), pa.array(words.counts, pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "last", "start", "stop")]))),
-                pa.array([sorted(names.get(r, ())) for r in range(part.num_rows)], pa.list_(pa.string()))],
+                pa.array([sorted(names.get(r, ()), key=lambda x: (x is None, x or "")) for r in range(part.num_rows)], pa.list_(pa.string()))],
                 names=["id", "text_key", "n_words", "hits", "items"])
     return run
 
 
 def find_hits(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "doc_id", item_id: str = "item_id",
-              text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+              text: str = "text", block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """Per document: ``id, text_key, n_words``, runs of hit words (``hits``: word numbers ``first..last`` and the bytes
-    ``start..stop`` of the UTF-8 text) and the sorted ids of the items with occurring windows (``items``)."""
+    ``start..stop`` of the UTF-8 text) and the sorted ids of the items with occurring windows (``items``).
+
+    ``nameless``: also look for items with a null id."""
     spark = docs.sparkSession
     if size < 1:
         raise ValueError("size must be at least 1")
-    tests = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("name is not null and text is not null")
+    tests = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null" if nameless else "name is not null and text is not null")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
@@ -185,7 +188,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, action: str
     """
     if action not in ("document", "span"):
         raise ValueError("action must be document or span")
-    hit = durable(find_hits(docs, items, size, doc_id, item_id).where("size(hits) > 0").select(
+    hit = durable(find_hits(docs, items, size, doc_id, item_id, nameless=True).where("size(hits) > 0").select(
         F.col("id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("hits").alias("_hit_runs")).dropDuplicates(["_hit_id", "_hit_key"]))
     same = docs[doc_id].cast("long").eqNullSafe(hit["_hit_id"]) & F.xxhash64(docs["text"]).eqNullSafe(hit["_hit_key"])
     if action == "document":
