@@ -45,7 +45,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, packed along the space-filling curve."""
     ship(spark)
-    pieces = packing.pack(docs, tokens.path("byte_bpe_50k.json"), spaced=True, width=2048)
+    pieces = packing.pack(docs, tokens.path("byte_bpe_50k.json"), spaced=True, width=2048, added=True)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", F.col("sequence").alias("sequence_id"), "offset")
 
 

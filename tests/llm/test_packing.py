@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from twinweave.llm import packing, tokens
+import corpus_pipeline
+from twinweave.llm import catalog, packing, tokens
 
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 
@@ -31,6 +32,30 @@ def test_pieces_give_the_ids_of_the_whole_text(name, spaced):
     assert [x.tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts()]
 
 
+@pytest.mark.parametrize("name,spaced", FILES)
+def test_added_tokens_give_the_ids_of_an_unmodified_tokenizer(name, spaced):
+    more = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|startoftext|>Ab c", "<|endof", "text|> x", "", None, "<|ENDOFTEXT|> é"]
+    whole = Tokenizer.from_file(tokens.path(name))
+    got = tokens.Encoder(tokens.path(name), spaced, added=True).encode(pa.array(more + texts()))
+    assert [x.tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in more + texts()]
+
+
+def test_queries_use_the_tokenizer_unmodified(spark, tmp_path):
+    rows = [(1, "see <|endoftext|> here"), (2, "plain words"), (3, "<|startoftext|> x <|endoftext|>")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    crc = {}
+    for file in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        whole = Tokenizer.from_file(tokens.path(file))
+        lists = [whole.encode(t, add_special_tokens=False).ids + [1] for _, t in rows]
+        crc[file] = [(i, len(x), crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(rows, lists)]
+    found = catalog.QUERIES["op8_token_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == crc["word_bpe_49k.json"]
+    packed = catalog.QUERIES["op1_hilbert_packing"](spark, str(tmp_path)).collect()
+    last = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    for pieces in (packed, last):
+        assert sorted((r.doc_id, r.length, r.ids_crc32) for r in pieces) == crc["byte_bpe_50k.json"]
+
+
 def test_hilbert_curve_visits_neighbours():
     side = np.arange(8)
     grid = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)

@@ -83,7 +83,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op1_hilbert_packing")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf, "documents"), tokens.path("byte_bpe_50k.json"), spaced=True, width=2048)
+    pieces = packing.pack(table(spark, sf, "documents"), tokens.path("byte_bpe_50k.json"), spaced=True, width=2048, added=True)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", F.col("sequence").alias("sequence_id"), "offset")
 
 
@@ -99,7 +99,7 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_token_files")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    index = tokenfiles.write(table(spark, sf, "documents"), tokens.path("word_bpe_49k.json"), spaced=False)
+    index = tokenfiles.write(table(spark, sf, "documents"), tokens.path("word_bpe_49k.json"), spaced=False, added=True)
     return tokenfiles.read(index).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 

@@ -73,9 +73,9 @@ def hilbert_keys(places: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _tokens(file: str, spaced: bool):
+def _tokens(file: str, spaced: bool, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(file, spaced)
+        own = encoder(file, spaced, added)
         if own.vocabulary > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit in 16 bits")
         bucket = (mixed(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
@@ -89,11 +89,11 @@ def _tokens(file: str, spaced: bool):
     return run
 
 
-def tokenized(docs: DataFrame, file: str, spaced: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, file: str, spaced: bool, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """``row, id, ids, n, x0, x1, x2`` in the shared folder; ``ids`` holds 16-bit numbers, little endian."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     kind = "id long, ids binary, n long, " + ", ".join(f"x{k} double" for k in range(DIMENSIONS))
-    return durable(rows.mapInArrow(_tokens(file, spaced), kind).withColumn("row", F.monotonically_increasing_id()))
+    return durable(rows.mapInArrow(_tokens(file, spaced, added), kind).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _keys(low: list[float], high: list[float]):
@@ -143,11 +143,12 @@ def _cut(width: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, file: str, spaced: bool = True, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence, offset`` (and ``ids``, 32-bit little endian)."""
+def pack(docs: DataFrame, file: str, spaced: bool = True, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
+         added: bool = False) -> DataFrame:
+    """A row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence, offset`` (and ``ids``, 32-bit little endian). ``added``: as in ``tokens``."""
     if width < 1:
         raise ValueError("a sequence has at least one place")
-    tokens = tokenized(docs, file, spaced, doc_id, text)
+    tokens = tokenized(docs, file, spaced, doc_id, text, added)
     placed = tokens.select("row", "id", "ids", "n").join(positions(tokens), F.col("row") == F.col("p_row")).select("id", "ids", "n", "position")
     return placed.mapInArrow(_cut(width, with_ids), _PIECES + (", ids binary" if with_ids else ""))
 

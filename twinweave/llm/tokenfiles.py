@@ -60,9 +60,9 @@ def block_docs(raw: bytes, table: Table) -> tuple[list[int | None], list[np.ndar
     return [None if null else int(i) for null, i in zip(heads[:n], ids)], np.split(symbols, np.cumsum(sizes)[:-1])
 
 
-def _written(folder: str, file: str, spaced: bool, block_tokens: int, file_tokens: int):
+def _written(folder: str, file: str, spaced: bool, block_tokens: int, file_tokens: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(file, spaced)
+        own = encoder(file, spaced, added)
         if own.vocabulary > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit in 16 bits")
         part, number, rows = TaskContext.get().partitionId(), 0, []
@@ -104,13 +104,13 @@ def _written(folder: str, file: str, spaced: bool, block_tokens: int, file_token
 
 
 def write(docs: DataFrame, file: str, spaced: bool = False, folder: str | None = None, doc_id: str = "doc_id", text: str = "text",
-          block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS) -> DataFrame:
+          block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS, added: bool = False) -> DataFrame:
     """Write the ids of all documents in ascending order of id; returns the index, a row per block. Files lie below ``folder`` (default: a new
-    one in the shared folder, which goes when this process ends)."""
+    one in the shared folder, which goes when this process ends). ``added``: as in ``tokens``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     # texts decide only between rows of equal id
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    run = _written(folder or fresh_dir(docs.sparkSession, "tokens"), file, spaced, block_tokens, file_tokens)
+    run = _written(folder or fresh_dir(docs.sparkSession, "tokens"), file, spaced, block_tokens, file_tokens, added)
     return durable(ordered.mapInArrow(run, INDEX))
 
 

@@ -4,6 +4,9 @@ The pre-tokenizers of the public files always cut at a single space or line feed
 apostrophe, so the ids of a text are the ids of its pieces between such places, one after the other. Pieces repeat: those of a slice of
 texts are numbered by their 64-bit hashes, only distinct ones are looked up, and only unknown ones go to the tokenizer. A text in which
 cutting is not certain (runs of white space or rare white space, where a tokenizer keeps it) is encoded as a whole.
+
+With ``added`` the tokenizer is used as its library loads it: an added token such as ``<|endoftext|>`` that stands in a text is one id, and a
+text that contains one is encoded as a whole. Without, its characters are text like others. The registered queries set ``added``.
 ``encode`` gives what the tokenizer gives for the whole text, which the tests check.
 """
 
@@ -50,11 +53,13 @@ def _rare_spaces(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """``spaced``: the tokenizer keeps a space in front of a word (byte level); else it drops white space."""
+    """``spaced``: the tokenizer keeps a space in front of a word (byte level); else it drops white space. ``added``: added tokens in a text
+    are one id each."""
 
-    def __init__(self, file: str, spaced: bool):
+    def __init__(self, file: str, spaced: bool, added: bool = False):
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.spaced = spaced
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.young: dict[int, bytes] = {}
@@ -90,6 +95,16 @@ class Encoder:
         starts, ends = stops[own], stops[own + 1]
         return starts, ends, lead[starts], whole
 
+    def _mark_added(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> None:
+        """Texts with an added token must not be cut."""
+        raw = data.tobytes() if self.added else b""
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                whole[row] = True
+                at = raw.find(token, int(offsets[row + 1]))
+
     def _ids(self, keys: list[int], text_of) -> list[bytes]:
         """Ids of each key as bytes; ``text_of(k)`` gives the text of the k-th."""
         if len(self.young) > CACHED:
@@ -114,6 +129,7 @@ class Encoder:
         if not len(data):
             return [np.empty(0, np.uint32)] * len(texts)
         starts, ends, lead, whole = self._cut(data, offsets)
+        self._mark_added(data, offsets, whole)
         words = Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
         hashes = words.hashes()
         hashes[lead] = mixed(hashes[lead] ^ np.uint64(0x5851F42D4C957F2D))
@@ -143,7 +159,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(file: str, spaced: bool) -> Encoder:
-    """One per Python worker and file."""
+def encoder(file: str, spaced: bool, added: bool = False) -> Encoder:
+    """One per Python worker, file and use of added tokens."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(file, spaced)
+    return Encoder(file, spaced, added)
