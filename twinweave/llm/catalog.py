@@ -8,7 +8,7 @@ from functools import wraps
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import chat, chunks, decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, warc
+from twinweave.llm import chat, chunks, decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, vectorcodes, warc
 from twinweave.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,34 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select("conv_id", "turn", "role", "new_role", "action", F.array_join("inserted", ",").alias("inserted"), "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
+def _nearest_sql(t: int) -> str:
+    return f"""a{t} AS (SELECT vec_id, part, s, min({{'d': d, 'e': e}}) AS best FROM (SELECT p.*, e, CAST(list_sum(list_transform(list_zip(s, c),
+        lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{t} USING (part)) GROUP BY ALL)"""
+
+
+def _means_sql(t: int) -> str:
+    """Floored means of whole numbers; entries without a part stay."""
+    return f"""u{t} AS (SELECT part, e, pos, ((s - ((s % n) + n) % n) // n) AS x FROM (SELECT part, best.e AS e, pos, sum(v)::BIGINT AS s, count(*) AS n
+        FROM (SELECT part, best, unnest(s) AS v, unnest(range(len(s))) AS pos FROM a{t}) GROUP BY ALL)),
+    b{t + 1} AS (SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM b{t} b LEFT JOIN (SELECT part, e, list(x ORDER BY pos) AS c FROM u{t} GROUP BY ALL) m USING (part, e))"""
+
+
+@query("op13_vector_codes", sql=f"""
+    WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT vec_id, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS s FROM k, range(16) r(part)),
+    b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, s AS c FROM p
+        JOIN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64) USING (vec_id)),
+    {_nearest_sql(0)}, {_means_sql(0)}, {_nearest_sql(1)}, {_means_sql(1)}, {_nearest_sql(2)},
+    done AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+    sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS h FROM b2)
+    SELECT k.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN done USING (vec_id), sha""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = vectorcodes.compress(table(spark, sf, "embeddings"))
+    found = vectorcodes.with_label_errors(coded)
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 @query("pipeline", sql=corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
