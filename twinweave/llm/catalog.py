@@ -8,7 +8,7 @@ from functools import wraps
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import chat, chunks, decontaminate as decontamination, langid, packing, repeats, simhash, tokenfiles, tokens, toxicity, vectorcodes, warc
+from twinweave.llm import chat, chunks, decontaminate as decontamination, langid, packing, perplexity, repeats, simhash, tokenfiles, tokens, toxicity, vectorcodes, warc
 from twinweave.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,14 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select("conv_id", "turn", "role", "new_role", "action", F.array_join("inserted", ",").alias("inserted"), "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
+@query("op11_perplexity_rules")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = perplexity.judge(docs, perplexity.train(docs))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "lang", F.exp("nats").alias("perplexity"), F.exp("low").alias("least"), F.exp("high").alias("most"))
+
+
 def _nearest_sql(t: int) -> str:
     return f"""a{t} AS (SELECT vec_id, part, s, min({{'d': d, 'e': e}}) AS best FROM (SELECT p.*, e, CAST(list_sum(list_transform(list_zip(s, c),
         lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{t} USING (part)) GROUP BY ALL)"""
