@@ -8,7 +8,7 @@ from functools import wraps
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinweave.llm import chat, chunks, decontaminate as decontamination, langid, packing, perplexity, repeats, simhash, tokenfiles, tokens, toxicity, vectorcodes, warc
+from twinweave.llm import chat, chunks, decontaminate as decontamination, langid, lexical, packing, perplexity, repeats, simhash, tokenfiles, tokens, toxicity, vectorcodes, warc
 from twinweave.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,24 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
                         "lang", F.exp("nats").alias("perplexity"), F.exp("low").alias("least"), F.exp("high").alias("most"))
 
 
+_OP12_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_lexical_search", sql=f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP12_TERMS} AS t FROM documents),
+    n AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+    a AS (SELECT count(*) AS docs, sum(n) AS terms FROM n),
+    q AS (SELECT DISTINCT item_id, text, unnest({_OP12_TERMS}) AS term FROM benchmark),
+    p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+    s AS (SELECT item_id, text, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+        FROM q JOIN p USING (term) JOIN w USING (term) JOIN n USING (r), a GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    WHERE rank <= 10""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def _nearest_sql(t: int) -> str:
     return f"""a{t} AS (SELECT vec_id, part, s, min({{'d': d, 'e': e}}) AS best FROM (SELECT p.*, e, CAST(list_sum(list_transform(list_zip(s, c),
         lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{t} USING (part)) GROUP BY ALL)"""
