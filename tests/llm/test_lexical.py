@@ -106,6 +106,7 @@ def test_bounds_hold_and_blocks_are_skipped():
                     new = [d for d in members[starts[b]:starts[b + 1]] if not seen[d]]
                     assert all(exact[d] <= bound[b] for d in new)
                 seen[members] = True
+                blocks += len(bound)
             a, b = lexical.search_slice(part, queries, q, best)
             scored, skipped = scored + a, skipped + b
         every = np.concatenate([p.values[:, terms_of_q].astype(np.int64) @ weights for p in parts])

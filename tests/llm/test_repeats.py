@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinweave.llm import repeats
@@ -60,6 +61,38 @@ def test_very_long_texts_and_empty_tables(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [10_000, 1])
+def test_words_of_equal_low_hash_bits_are_no_repeat(spark, group_rows):
+    """Two words whose 64-bit hashes agree in the lower half, at the first, a middle and the last place of a window."""
+    texts = pa.array([" ".join(map(str, range(300_000)))])
+    words = repeats.words_of(texts, repeats.NOT_SPACE)
+    low = words.hashes().astype(np.uint32)
+    order = np.argsort(low, kind="stable")
+    same = np.flatnonzero(low[order[1:]] == low[order[:-1]])
+    assert same.size
+    docs = []
+    for n, k in enumerate(same[:3]):
+        one, other = str(order[k]), str(order[k + 1])
+        for at in (0, 10, 19):
+            for word in (one, other):
+                docs.append((len(docs), " ".join([*(f"p{n}x{at}y{j}" for j in range(at)), word, *(f"s{n}x{at}y{j}" for j in range(19 - at))])))
+    docs.append((1000, docs[0][1]))
+    got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 20, group_rows=group_rows)
+    assert {r.id: r.n_removed for r in got.collect()} == {i: 20 if i == 1000 else 0 for i, _ in docs}
+
+
+def test_one_id_on_all_rows(spark):
+    """A null or a single id on every row, and the largest id beside null."""
+    base = corpus(9, "abcdefgh")
+    for one in (None, 5):
+        docs = [(one, t) for _, t in base]
+        got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 6)
+        assert sorted((2**63 - 1 if r.id is None else r.id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == plain(docs, 6)
+        assert got.where("id is null").count() == (len(docs) if one is None else 0)
+    got = repeats.remove_repeats(spark.createDataFrame([(2**63 - 1, "a b"), (None, "c d")], "doc_id long, text string"), 2)
+    assert sorted((r.id is None, r.kept) for r in got.collect()) == [(False, "a b"), (True, "c d")]
+
+
 def test_leftmost_minimum():
     rng = np.random.default_rng(1)
     for width in (1, 2, 5, 8, 13):

@@ -16,10 +16,11 @@ the same document. All words covered by repeats are removed; windows are judged
 4. Ranges of removed windows go back to their documents.
 
 Exact copies are recognised by their whole text: prefixes that only copies share are dropped in step 2, and every copy but the first
-loses all its windows. Words are compared by hash (64 bits for a prefix and a whole window, 32 for each further word).
+loses all its windows. Words are compared by hash: 64 bits for a prefix and for each further word, 128 for a whole window.
 
 Defined cases: null text has no words; documents of fewer than ``size`` words keep all; rows of equal id are one document (their equal
-places are not earlier than each other); a null id counts as larger than all others; repeated rows get equal results.
+places are not earlier than each other); a null id counts as the largest there is; repeated rows get equal results and are listed once, so
+no list grows with the rows of an id.
 Other columns are not looked at.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinweave.llm.words import NOT_SPACE, Words, mixed, rolled, slices, words_of
 
-#: Suffixes in a group whose tree is made in memory: about 300 bytes each, 20 MB in all.
+#: Suffixes in a group whose tree is made in memory: about 500 bytes each, 32 MB in all.
 GROUP_ROWS = 1 << 16
 _NO_ID = (1 << 63) - 1
 _WHOLE = (1 << 62)
@@ -77,8 +78,8 @@ def _suffixes(size: int, prefix: int):
             _, keys, at, _, _ = _followed(words, size, prefix)
             row = words.row_of()[at]
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[at].view(np.int64)), part.column("id").take(pa.array(row)), pa.array(at - words.first[row])],
-                names=["key", "id", "at"])
+                pa.array(keys[at].view(np.int64)), part.column("doc_key").take(pa.array(row)), pa.array(at - words.first[row])],
+                names=["key", "doc_key", "at"])
     return run
 
 
@@ -120,14 +121,14 @@ def _segments(size: int, prefix: int):
             hashes, keys, at, lo, hi = _followed(words, size, prefix)
             listed = _flags(part.column("places"), words, at)
             at, lo, hi = at[listed], lo[listed], hi[listed]
-            short = hashes.astype(np.uint32).astype(">u4")
+            whole = hashes.astype(">u8")
             row = words.row_of()[at]
             ahead = hi + size - at - prefix
             behind = at - lo
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys[at].view(np.int64)), part.column("id").take(pa.array(row)), part.column("text_key").take(pa.array(row)),
                 pa.array((at - words.first[row]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)),
-                _binary(short, at + prefix, ahead, 1), _binary(short, at - 1, behind, -1)],
+                _binary(whole, at + prefix, ahead, 1), _binary(whole, at - 1, behind, -1)],
                 names=["key", "id", "text_key", "at", "more", "ahead", "behind"])
     return run
 
@@ -137,17 +138,17 @@ def _binary(values: np.ndarray, start: np.ndarray, count: np.ndarray, step: int)
     ends = np.cumsum(count)
     inner = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count)
     data = values[np.repeat(start, count) + step * inner] if len(inner) else values[:0]
-    offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+    offsets = np.concatenate([[0], 8 * ends]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Words of each row, filled up with zeros; a value beyond a row's end is never compared by equal windows."""
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64) // 4
-    values = np.frombuffer(data, ">u4").astype(np.uint32) if data is not None and data.size else np.zeros(0, np.uint32)
+    at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64) // 8
+    values = np.frombuffer(data, ">u8").astype(np.uint64) if data is not None and data.size else np.zeros(0, np.uint64)
     count = np.diff(at)
-    out = np.zeros((len(column), width), np.uint32)
+    out = np.zeros((len(column), width), np.uint64)
     rows = np.repeat(np.arange(len(column)), count)
     inner = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
     out[rows, inner] = values[np.repeat(at[:-1], count) + inner]
@@ -161,7 +162,7 @@ def _repeats(group: pa.Table, size: int, prefix: int) -> pa.RecordBatch:
     key, ids, at, more = (column(c).to_numpy() for c in ("key", "id", "at", "more"))
     ahead, behind = _matrix(column("ahead"), span), _matrix(column("behind"), span)
     n = len(key)
-    far = pc.binary_length(column("behind")).to_numpy() // 4
+    far = pc.binary_length(column("behind")).to_numpy() // 8
     near = far - more
     shared = np.full(n, -1)  # words that a suffix shares with the one before it
     if n > 1:
@@ -171,7 +172,7 @@ def _repeats(group: pa.Table, size: int, prefix: int) -> pa.RecordBatch:
     left = np.zeros(n, np.uint64)
     for t in range(span + 1):
         if t:
-            left = mixed(left * np.uint64(0x9E3779B97F4A7C15) + behind[:, t - 1].astype(np.uint64) + np.uint64(1))
+            left = mixed(left * np.uint64(0x9E3779B97F4A7C15) + behind[:, t - 1] + np.uint64(1))
         node = np.cumsum(shared < size - t)
         rows = np.flatnonzero((near <= t) & (t <= far))
         if len(rows) < 2:
@@ -264,9 +265,9 @@ def _kept(size: int, verbatim: bool, carried: int):
                 else:
                     texts.append(raw if verbatim else b" ".join(raw.split()))
             out = pa.array(texts, pa.binary()).view(pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), out,
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("none"), part.column("text_key"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), out,
                                               *[part.column(f"c_{k}") for k in range(carried)]],
-                                             names=["id", "text_key", "n_words", "n_removed", "kept", *[f"c_{k}" for k in range(carried)]])
+                                             names=["id", "none", "text_key", "n_words", "n_removed", "kept", *[f"c_{k}" for k in range(carried)]])
     return run
 
 
@@ -274,10 +275,17 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
 
+def _doc_key() -> Column:
+    """What texts are dealt by: id and text, so that a null or repeated id is no hot key. It only deals; where two documents share
+    a key by chance, their ids and texts still tell them apart."""
+    return F.xxhash64("id", "text_key")
+
+
 def _whole_rows(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame:
     """Rows with text and carried columns as one struct: whatever reads it shuffles the same columns, and the exchange is reused."""
-    named = [F.col(text).alias("text"), *[F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)]]
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), F.struct(*named).alias("doc"))
+    named = [F.col(text).alias("text"), F.col(doc_id).isNull().alias("none"), *[F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)]]
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), F.struct(*named).alias("doc"))
+    return rows.select(_doc_key().alias("doc_key"), "*")
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +307,13 @@ def repeated_ranges(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", tex
     counts = rows.mapInArrow(_counted(size, prefix), "key long, text_key long, n long").groupBy("key").agg(
         F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("n").alias("most"), F.sum("n").alias("n"))
     again = counts.where("low <> high or most > 1").select(_anew("key").alias("again"), (F.col("n") > group_rows).alias("wide"))
-    places = rows.mapInArrow(_suffixes(size, prefix), "key long, id long, at long").join(again, _anew("key") == F.col("again"))
-    listed = places.groupBy("id", "wide").agg(F.collect_list("at").alias("places"))
+    dealt = rows.select(_doc_key().alias("doc_key"), "text")
+    places = dealt.mapInArrow(_suffixes(size, prefix), "key long, doc_key long, at long").join(again, _anew("key") == F.col("again"))
+    listed = places.groupBy("doc_key", "wide").agg(F.collect_set("at").alias("places"))
 
     def of(wide: bool) -> DataFrame:
-        mine = listed.where(F.col("wide") == wide).select(F.col("id").alias("l_id"), "places")
-        return _whole_rows(docs, doc_id, text, carry or []).join(mine, F.col("id") == F.col("l_id")).select("id", "text_key", "doc", "places")
+        mine = listed.where(F.col("wide") == wide).select(F.col("doc_key").alias("l_key"), "places")
+        return _whole_rows(docs, doc_id, text, carry or []).join(mine, F.col("doc_key") == F.col("l_key")).select("id", "text_key", "doc", "places")
 
     segments = of(False).mapInArrow(_segments(size, prefix), "key long, id long, text_key long, at int, more int, ahead binary, behind binary")
     deep = segments.repartition("key").sortWithinPartitions("key", "ahead").mapInArrow(_trees(size, prefix), "id long, text_key long, first long, last long")
@@ -348,16 +357,16 @@ def remove_repeats(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", text
     (with ``verbatim``, a text of which nothing is removed stays as it is)."""
     carry = list(carry or [])
     ranges = repeated_ranges(docs, size, doc_id, text, group_rows, carry).groupBy("id", "text_key").agg(
-        F.collect_list(F.struct("first", "last")).alias("ranges"))
-    # joined by id alone, so that the texts are shuffled the same way as for the trees
-    by_id = ranges.groupBy(F.col("id").alias("r_id")).agg(F.collect_list(F.struct("text_key", "ranges")).alias("all"))
+        F.collect_set(F.struct("first", "last")).alias("ranges"))
+    # joined by the key alone, so that the texts are shuffled the same way as for the trees
+    by_key = ranges.groupBy(_doc_key().alias("r_key")).agg(F.collect_list(F.struct("id", "text_key", "ranges")).alias("all"))
     none = "array<struct<first:long,last:long>>"
-    mine = F.flatten(F.transform(F.filter("all", lambda x: x["text_key"] == F.col("text_key")), lambda x: x["ranges"]))
-    joined = _whole_rows(docs, doc_id, text, carry).join(by_id, F.col("id") == F.col("r_id"), "left").select(
+    mine = F.flatten(F.transform(F.filter("all", lambda x: (x["id"] == F.col("id")) & x["text_key"].eqNullSafe(F.col("text_key"))), lambda x: x["ranges"]))
+    joined = _whole_rows(docs, doc_id, text, carry).join(by_key, F.col("doc_key") == F.col("r_key"), "left").select(
         "id", "text_key", "doc", F.coalesce(mine, F.array().cast(none)).alias("ranges"))
     kinds = "".join(f", c_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
-    out = joined.mapInArrow(_kept(size, verbatim, len(carry)), "id long, text_key long, n_words long, n_removed long, kept string" + kinds)
-    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("id"), "text_key", "n_words", "n_removed", "kept",
+    out = joined.mapInArrow(_kept(size, verbatim, len(carry)), "id long, none boolean, text_key long, n_words long, n_removed long, kept string" + kinds)
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("id"), "text_key", "n_words", "n_removed", "kept",
                       *[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)])
 
 
