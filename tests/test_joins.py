@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twinweave.operators import skew
+from twinweave.operators import heavy, skew
 from twinweave.operators.joins import STRATEGIES, interval_join, numeric_pair, sum_below, text_pair, window_join
 
 SCHEMA = "key long, value long, ts long"
@@ -118,8 +118,9 @@ def test_heavier_input_is_divided(spark):
     """Rows per (cell, salts) of both inputs, and how many copies there are, for a heavy first, a heavy second and two heavy inputs."""
     for n_a, n_b, most in ((4000, 4, 200), (4, 4000, 200), (900, 900, 400)):
         a, b = (frame(spark, [(1, i, 5) for i in range(n)]) for n in (n_a, n_b))
-        hot = skew.hot_cells(skew.pair_load(a, b, ["key"]), ["key"], 32)
-        left, right = skew.spread_grid(a, b, ["key"], [F.col("value")], [F.col("value")], hot=hot)
+        a, b = (df.withColumn("cell", heavy.cell_hash([F.col("key")])) for df in (a, b))
+        hot = heavy.hot_grid(a, b, 32, pairs=True)
+        left, right = skew.spread_grid(a, b, ["cell"], [F.col("value")], [F.col("value")], hot=hot)
         for side, n in ((left, n_a), (right, n_b)):
             groups = [r["count"] for r in side.groupBy("key", "_salt_a", "_salt_b").count().collect()]
             assert max(groups) <= most
@@ -128,6 +129,57 @@ def test_heavier_input_is_divided(spark):
         assert pairs.count() == pairs.distinct().count() == n_a * n_b
 
 
+def test_heavy_cells_are_found_without_a_shuffle_of_cells(spark):
+    """Names and shares against exact counts, by rows and by pairs; the plan moves sketches only."""
+    rows = [(k, i, 0) for k in range(300) for i in range(1 + 4000 // (k + 1))]
+    a, b = frame(spark, rows), frame(spark, [r for r in rows if r[0] % 2])
+    named = [df.select(heavy.cell_hash([F.col("key")]).alias("cell")) for df in (a, b)]
+    count = [{r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()} for df in named]
+    for workers in (8, 64):
+        for pairs in (False, True):
+            load = {c: (n * count[1].get(c, 0) if pairs else n + count[1].get(c, 0)) for c, n in count[0].items()}
+            total = sum(load.values())
+            found = {h.cell: h for h in heavy.heavy_cells(*named, workers, pairs=pairs)}
+            assert found.keys() == {c for c, n in load.items() if n > total * 1.2 / workers}
+            # cells without a row in one input count there as an unnamed cell does
+            assert all(h.share == pytest.approx(load[c] / total, rel=.05) and h.a == count[0][c] and abs(h.b - count[1].get(c, 0)) < 50 for c, h in found.items())
+    plan = heavy.sketched(*named, 64)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 2 and not any("cell" in line for line in exchanges)
+    assert heavy.heavy_cells(*(df.limit(0) for df in named), 8, pairs=True) == []
+
+
+def test_sketches_find_hot_cells_among_very_many(spark):
+    """More cells than a sketch keeps; one has a third of the rows."""
+    ids = spark.range(300_000)
+    a = ids.select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.xxhash64("id")).cast("long").alias("cell"))
+    b = ids.limit(30_000).select(F.xxhash64("id").alias("cell")).union(ids.limit(3000).select(F.lit(7).cast("long").alias("cell")))
+    found = heavy.heavy_cells(a, b, 16, pairs=False)
+    assert [h.cell for h in found] == [7] and found[0].a == pytest.approx(100_000, rel=.01)
+    assert [h.cell for h in heavy.heavy_cells(a, b, 16, pairs=True)] == [7]
+
+
+def test_keys_of_two_types(spark):
+    """Whole numbers of other widths are one cell; what hashes could not follow is not split."""
+    a = spark.createDataFrame([(1, i, 5) for i in range(60)] + [(k, 0, 9) for k in range(2, 9)], "key int, value long, ts long")
+    b = a.select(F.col("key").cast("long").alias("key"), "value", "ts")
+    expected = interval_join(b, b, "key", "ts", "ts", 0, 3, strategy="key").count()
+    for other in (b, b.withColumn("key", F.col("key").cast("double"))):
+        for strategy in ("auto", "hybrid"):
+            assert interval_join(a, other, "key", "ts", "ts", 0, 3, strategy=strategy, workers=16, row_id="value", a_row_id="value").count() == expected
+    floats = spark.createDataFrame([(-0.0, i, 5) for i in range(60)], "key double, value long, ts long")
+    assert interval_join(floats, floats.withColumn("key", F.lit(0.0)), "key", "ts", "ts", 0, 3, workers=16, row_id="value", a_row_id="value").count() == 3600
+
+
+@pytest.mark.parametrize("bad", [{"max_split": 0}, {"max_split": -2}, {"workers": 0}])
+@pytest.mark.parametrize("strategy", ["data", "hybrid", "auto"])
+def test_splits_must_be_positive(spark, strategy, bad):
+    df = frame(spark, [(1, i, 1) for i in range(10)])
+    with pytest.raises(ValueError):
+        interval_join(df, df, "key", "ts", "ts", 0, 1, strategy=strategy, **bad)
+    assert interval_join(df, df, "key", "ts", "ts", 0, 1, strategy=strategy, max_split=1).count() == 100
+
+
 def test_even_load_is_not_salted(spark):
     df = frame(spark, [(i % 50, i, i * 1000) for i in range(400)])
     joined = interval_join(df, df, "key", "ts", "ts", -10, 10, workers=4)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from twinweave.operators.accounting import ProgressLog
 from twinweave.operators.joins import interval_join, numeric_pair, window_join
 from twinweave.sources.live import event_column, file_stream, live_random, paced_replay
+from twinweave.operators import heavy
 from twinweave.operators.skew import key_frequency
 from twinweave.streaming.joins import split_table, stream_interval_join, stream_window_join
+from twinweave.streaming.splits import SplitLog
 from twinweave.streaming.run import live_latency_us, run_available_now, run_for
 
 SECOND = 1_000_000
@@ -90,12 +92,20 @@ def test_state_is_dropped_behind_the_watermark(spark, tmp_path):
     assert table.agg(F.sum("rows")).first()[0] == 160 and table.count() > 2
 
 
+def split_log(spark, folder, table):
+    log = SplitLog(spark, str(folder), "key")
+    like = spark.createDataFrame([], SCHEMA)
+    log.start(log.from_table(table, like))
+    return log
+
+
 def test_split_keys_give_the_same_rows(spark, tmp_path, inputs):
     a, b, sa, sb = inputs
     freq = key_frequency(as_batch(spark, a), as_batch(spark, b), "key")
-    splits = split_table(freq, "key", 16, share_a=.9)
-    assert any(r["splits_a"] > r["splits_b"] for r in splits.collect())
-    got = run_available_now(stream_interval_join(sa, sb, "key", "event_time", "event_time", -3 * SECOND, 2 * SECOND, select=pair, splits=splits), folder=str(tmp_path / "i"))
+    table = split_table(freq, "key", 16, share_a=.9)
+    assert any(r["splits_a"] > r["splits_b"] for r in table.collect())
+    splits = split_log(spark, tmp_path / "log", table)
+    got = run_available_now(stream_interval_join(sa, sb, "key", "event_time", "event_time", -3 * SECOND, 2 * SECOND, select=pair, splits=splits), folder=str(tmp_path / "i"), splits=splits)
     expected = interval_join(as_batch(spark, a), as_batch(spark, b), "key", "ts", "ts", -3 * SECOND, 2 * SECOND, select=numeric_pair())
     assert rows_of(got) == rows_of(expected) != []
     got = run_available_now(stream_window_join(sa, sb, "key", "event_time", "event_time", 5 * SECOND, select=pair, splits=splits), folder=str(tmp_path / "w"))
@@ -103,6 +113,66 @@ def test_split_keys_give_the_same_rows(spark, tmp_path, inputs):
     assert rows_of(got) == rows_of(expected) != []
 
 
+def test_a_restart_with_other_frequencies_loses_no_pair(spark, tmp_path):
+    """Ten rows a side, stopped, ten more; the restarted query is given another table and goes on with the stored one."""
+    grids = [spark.createDataFrame([(1, 3, 1)], "key long, splits_a long, splits_b long"), spark.createDataFrame([(1, 1, 3)], "key long, splits_a long, splits_b long")]
+    for k, table in enumerate(grids):
+        rows = [(1, 10 * k + i, (1000 + 10 * k + i) * SECOND) for i in range(10)]
+        sa, sb = write_batches(spark, tmp_path / "a", [rows]), write_batches(spark, tmp_path / "b", [rows])
+        log = split_log(spark, tmp_path / "log", table)
+        joined = stream_interval_join(sa, sb, "key", "event_time", "event_time", -100 * SECOND, 100 * SECOND, select=lambda x, y: [x.value.alias("x"), y.value.alias("y")], splits=log)
+        got = run_available_now(joined, folder=str(tmp_path / "out"), splits=log)
+    assert got.count() == got.distinct().count() == 400
+    assert [r["splits_a"] for r in log.table().collect()] == [3]
+    with pytest.raises(RuntimeError, match="without this split log"):
+        split_log(spark, tmp_path / "other", grids[1]).bind(str(tmp_path / "out" / "checkpoint"))
+
+
+def test_a_key_that_turns_hot_is_spread_from_then_on(spark, tmp_path):
+    """Three runs: even keys, then key 1 has most rows, then key 2. All pairs come out, and hot keys are spread over tasks one epoch later."""
+    rng = random.Random(5)
+    log = SplitLog(spark, str(tmp_path / "log"), "key")
+    log.start([])
+    arrived_a, arrived_b, at = [], [], 1000 * SECOND
+    for hot in (None, 1, 2, 2):
+        a, b = [], []
+        for i in range(120):
+            at += SECOND // 4
+            for rows in (a, b):
+                rows.append((hot if hot and rng.random() < .8 else rng.randrange(20), len(arrived_a) + len(a), at))
+        sa, sb = write_batches(spark, tmp_path / "a", [a]), write_batches(spark, tmp_path / "b", [b])
+        arrived_a, arrived_b = arrived_a + a, arrived_b + b
+        joined = stream_interval_join(sa, sb, "key", "event_time", "event_time", -3 * SECOND, 2 * SECOND, select=pair, splits=log)
+        got = run_available_now(joined, folder=str(tmp_path / "out"), splits=log)
+        seen = [spark.createDataFrame(x, "key long, value long, ts long").withColumn("t", F.timestamp_micros("ts")) for x in (arrived_a, arrived_b)]
+        begins = log.extend_from(*seen, "t", "t", 2 * SECOND, 8, since_us=at - 30 * SECOND)
+        assert begins > at + 2 * SECOND
+    expected = interval_join(*(x.drop("t") for x in seen), "key", "ts", "ts", -3 * SECOND, 2 * SECOND, select=numeric_pair())
+    assert rows_of(got) == rows_of(expected) != []
+    epochs = {}
+    for r in log.table().collect():
+        epochs.setdefault(r["epoch"], []).append(r["splits_a"] * r["splits_b"])
+    assert 0 not in epochs and epochs[2][0] > 1 and epochs[3][0] > 1
+    # rows of the last run are placed by the grid of the epoch their bucket lies in
+    rows = spark.createDataFrame([(2, 0, at + 10 * SECOND), (2, 0, at - 60 * SECOND), (3, 0, at)], "key long, value long, ts long")
+    cell, _ = heavy.paired_cells(rows, rows, [("key", "key")])
+    placed = {(r["key"], r["ts"]): r["na"] * r["nb"] for r in log.grid(rows, cell, F.col("ts"), "n").collect()}
+    assert placed[(2, at + 10 * SECOND)] > 1 and placed[(3, at)] == 1
+
+
+def test_epochs_only_begin_later(spark, tmp_path):
+    log = SplitLog(spark, str(tmp_path / "log"), "key")
+    with pytest.raises(ValueError, match="no first epoch"):
+        log.extend([], 5)
+    assert log.start([(1, 2, 2)]) and not log.start([(1, 9, 9)])
+    log.extend([(1, 4, 1)], 100)
+    with pytest.raises(ValueError, match="after 100"):
+        log.extend([], 100)
+    # grids that a broken attempt left are not read
+    spark.createDataFrame([(7, 5, 5)], "cell long, splits_a long, splits_b long").write.parquet(str(tmp_path / "log" / "grids" / "broken"))
+    assert sorted(map(tuple, SplitLog(spark, str(tmp_path / "log"), "key").table().collect())) == [(0, 1, 2, 2), (1, 1, 4, 1)]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     a = [[(1, 1, 1000 * SECOND)], [(1, 2, 5000 * SECOND)], [(1, 3, 9000 * SECOND)], [(1, 4, 9001 * SECOND)]]
     b = [[(1, 10, 1000 * SECOND)], [(1, 20, 5000 * SECOND)], [(1, 30, 9000 * SECOND)], [(1, 40, 1001 * SECOND)]]

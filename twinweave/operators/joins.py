@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinweave.functions.integers import as_long, floor_div
 from twinweave.model import BALANCE_LIMIT
-from twinweave.operators import skew
+from twinweave.operators import heavy, skew
 from twinweave.session import task_slots
 
 STRATEGIES = ("auto", "key", "bucket", "data", "hybrid")
@@ -110,8 +110,8 @@ def interval_join(
     * ``hybrid``: cells with a large share of all rows spread over more tasks.
     * ``auto``: cells with a large share of all candidate pairs spread over more tasks.
 
-    ``hybrid`` and ``auto`` count rows per cell in a small job of their own first. With
-    ``split_by="key"`` they count per key instead and split every cell of a hot key.
+    ``hybrid`` and ``auto`` sketch the cells of both inputs in one job of their own first. With
+    ``split_by="key"`` they look for hot keys instead and split every cell of a hot key.
     Both inputs are divided by a grid of salts in proportion to their rows in the cell.
     ``row_id`` names a column of ``b`` that tells its rows apart, ``a_row_id`` one of ``a``. Without it the
     salt of a row comes from its whole content, and exact copies of one row stay together.
@@ -243,6 +243,10 @@ def _meet(
         right = right.withColumn("_b_bucket", own)
         equal.append(("_a_bucket", "_b_bucket"))
 
+    if max_split is not None and max_split < 1:
+        raise ValueError("max_split must be at least 1")
+    if workers is not None and workers < 1:
+        raise ValueError("workers must be at least 1")
     if strategy in ("data", "hybrid", "auto") and spans is not None:
         workers = workers or task_slots(left.sparkSession)
         if strategy == "data":
@@ -261,13 +265,14 @@ def _meet(
 
 
 def _split_hot(left, right, cells, from_a, from_b, strategy, workers, threshold, max_split):
-    """Both inputs with salts for their hot cells, or None if no cell is hot."""
-    names = [f"_cell{i}" for i in range(len(cells))]
-    left = left.withColumns({n: F.col(f"`{l}`") for n, (l, _) in zip(names, cells)})
-    right = right.withColumns({n: F.col(f"`{r}`") for n, (_, r) in zip(names, cells)})
-    load = skew.pair_load if strategy == "auto" else skew.key_load
-    hot = skew.hot_cells(load(left, right, names), names, workers, threshold, max_split)
+    """Both inputs with salts for their hot cells, or None if no cell is hot. One job sketches both inputs where they lie."""
+    numbers = heavy.paired_cells(left, right, cells)
+    if numbers is None:
+        return None
+    left, right = left.withColumn("_cell", numbers[0]), right.withColumn("_cell", numbers[1])
+    named = [side.select(F.col("_cell").alias("cell")) for side in (left, right)]
+    hot = heavy.hot_grid(*named, workers, threshold, max_split, pairs=strategy == "auto")
     if hot is None:
         return None
-    left, right = skew.spread_grid(left, right, names, from_a, from_b, hot=hot)
-    return left.drop(*names), right.drop(*names)
+    left, right = skew.spread_grid(left, right, ["_cell"], from_a, from_b, hot=hot.withColumnRenamed("cell", "_cell"))
+    return left.drop("_cell"), right.drop("_cell")

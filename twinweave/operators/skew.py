@@ -60,7 +60,9 @@ def least_loaded(loads: DataFrame) -> DataFrame:
 def split_degree(share: Column, workers: int, threshold: float = BALANCE_LIMIT, max_split: int | None = None) -> Column:
     """Over how many tasks a cell with this share of the load has to be spread so that
     no task gets more than ``threshold`` times the average load."""
-    limit = min(max_split or workers, workers)
+    if max_split is not None and max_split < 1:
+        raise ValueError("max_split must be at least 1")
+    limit = workers if max_split is None else min(max_split, workers)
     return F.least(F.lit(limit), F.greatest(F.lit(1), F.ceil(share * F.lit(workers / threshold)))).cast("long")
 
 

@@ -6,43 +6,64 @@ from pyspark.sql import functions as F
 
 from twinweave.functions.clock import ntz_micros
 from twinweave.operators.joins import numeric_pair
-from twinweave.operators.skew import key_frequency
 from twinweave.plans.catalog.joins import IDS_SQL, SIX_HOURS, _windows_sql
 from twinweave.plans.catalog.registry import HOUR, events, query, sql, table
 from twinweave.session import fresh_dir
 from twinweave.sources.live import event_column, file_stream
-from twinweave.streaming.joins import split_table, stream_interval_join, stream_window_join
+from twinweave.streaming.joins import stream_interval_join, stream_window_join
 from twinweave.streaming.run import run_available_now, sample_latency
+from twinweave.streaming.splits import SplitLog
 
 LATE_BEFORE = 1704067200000000 + 240 * HOUR   # rows of the first ten days can be late
 LATER_FROM = 1704067200000000 + 480 * HOUR    # the last ten days come second
 
 
 PARTS = 4
-_parts: dict[tuple[str, str], str] = {}
+#: Bytes of a file of a part; a part has as many files as its share of the table asks for.
+FILE_BYTES = 128 << 20
+_parts: dict[tuple[str, str], tuple[str, int]] = {}
+
+
+def _bytes(spark, path):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
+def _files(spark, sf):
+    return max(1, -(-_bytes(spark, f"{sf}/events.parquet") // (PARTS * FILE_BYTES)))
+
+
+def _write_parts(spark, sf, folder, wanted):
+    """Append some of ``PARTS`` equal spans of time of the events, each as files that follow each other in time."""
+    rows = table(spark, sf, "events")
+    times = events(spark, sf).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    files = _files(spark, sf)
+    for k in wanted:
+        low, high = (times["a"] + (times["b"] + 1 - times["a"]) * n // PARTS for n in (k, k + 1))
+        us = ntz_micros("ts")
+        rows.where((us >= low) & (us < high)).repartitionByRange(files, "ts").write.mode("append").parquet(folder)
+    return files
 
 
 def _in_parts(spark, sf):
-    """The events as ``PARTS`` files in order of time, written once per session: state is carried from one micro-batch to the next."""
+    """The events as ``PARTS`` parts in order of time, written once per session: state is carried from one micro-batch to the next."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _parts:
         folder = fresh_dir(spark, "parts")
-        rows = table(spark, sf, "events")
-        times = events(spark, sf).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-        for k in range(PARTS):
-            low, high = (times["a"] + (times["b"] + 1 - times["a"]) * n // PARTS for n in (k, k + 1))
-            us = ntz_micros("ts")
-            rows.where((us >= low) & (us < high)).coalesce(1).write.mode("append").parquet(folder)
-        _parts[at] = folder
+        _parts[at] = folder, _write_parts(spark, sf, folder, range(PARTS))
     return _parts[at]
 
 
-def event_stream(spark, sf, event_type):
-    """One event type of the events table as a stream with one event-time column, a file per micro-batch."""
+def _stream_of(spark, sf, folder, event_type, files):
     schema = table(spark, sf, "events").schema
-    rows = event_column(file_stream(spark, _in_parts(spark, sf), schema, files_per_batch=1), "ts")
-    rows = rows.where(F.col("event_type") == event_type)
-    return rows.select("event_id", "event_time", "user_id", F.floor("value").alias("value"))
+    rows = event_column(file_stream(spark, folder, schema, files_per_batch=files), "ts")
+    return rows.where(F.col("event_type") == event_type).select("event_id", "event_time", "user_id", F.floor("value").alias("value"))
+
+
+def event_stream(spark, sf, event_type):
+    """One event type of the events table as a stream with one event-time column, a part per micro-batch."""
+    folder, files = _in_parts(spark, sf)
+    return _stream_of(spark, sf, folder, event_type, files)
 
 
 def ids(a, b):
@@ -96,26 +117,51 @@ def stream_tumbling(spark, sf):
     return run_available_now(pairs, "tumbling")
 
 
-def _user_splits(spark, sf):
-    """Splits from the users' shares of the table, as known before the run."""
-    rows = events(spark, sf)
-    clicks, views = rows.where("event_type = 'click'"), rows.where("event_type = 'view'")
-    n_a, n_b = clicks.count(), views.count()
-    return split_table(key_frequency(clicks, views, "user_id"), "user_id", 400, share_a=min(.99, max(.01, n_a / max(1, n_a + n_b))))
+WORKERS = 400  # more than a small table needs, so that some users are hot
+
+
+def _user_log(spark, sf, folder):
+    """Grids of the users from the table, as known before the run; kept with the query."""
+    log = SplitLog(spark, f"{folder}/splits", "user_id")
+    rows = table(spark, sf, "events").select("user_id", "event_type")
+    log.start_from(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), WORKERS)
+    return log
 
 
 @query("t3_stream_interval_hybrid", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
 def stream_interval_hybrid(spark, sf):
+    folder = fresh_dir(spark, "interval-hybrid")
+    log = _user_log(spark, sf, folder)
     pairs = stream_interval_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time",
-                                 -6 * HOUR, 6 * HOUR, select=ids, splits=_user_splits(spark, sf), row_id="event_id", a_row_id="event_id")
-    return run_available_now(pairs, "interval-hybrid")
+                                 -6 * HOUR, 6 * HOUR, select=ids, splits=log, row_id="event_id", a_row_id="event_id")
+    return run_available_now(pairs, folder=folder, splits=log)
+
+
+@query("t3_stream_interval_epochs", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
+def stream_interval_epochs(spark, sf):
+    """The query is stopped after each part; the users that were hot in it get grids for the time after it, and the query goes on."""
+    folder = fresh_dir(spark, "epochs")
+    schema = table(spark, sf, "events").schema
+    log = SplitLog(spark, f"{folder}/splits", "user_id")
+    log.start([])
+    for k in range(PARTS):
+        files = _write_parts(spark, sf, f"{folder}/in", [k])
+        pairs = stream_interval_join(*(_stream_of(spark, sf, f"{folder}/in", t, files) for t in ("click", "view")), "user_id", "event_time", "event_time",
+                                     -6 * HOUR, 6 * HOUR, select=ids, splits=log, row_id="event_id", a_row_id="event_id")
+        found = run_available_now(pairs, folder=folder, splits=log)
+        if k + 1 < PARTS:
+            arrived = spark.read.schema(schema).parquet(f"{folder}/in")
+            log.extend_from(arrived.where("event_type = 'click'"), arrived.where("event_type = 'view'"), "ts", "ts", 6 * HOUR, WORKERS)
+    return found
 
 
 @query("t4_stream_tumbling_hybrid", _windows_sql(6 * HOUR, 6 * HOUR))
 def stream_tumbling_hybrid(spark, sf):
+    folder = fresh_dir(spark, "tumbling-hybrid")
+    log = _user_log(spark, sf, folder)
     pairs = stream_window_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time", 6 * HOUR,
-                               select=ids, splits=_user_splits(spark, sf), row_id="event_id", a_row_id="event_id")
-    return run_available_now(pairs, "tumbling-hybrid")
+                               select=ids, splits=log, row_id="event_id", a_row_id="event_id")
+    return run_available_now(pairs, folder=folder, splits=log)
 
 
 @query("t5_stream_sliding", _windows_sql(6 * HOUR, 2 * HOUR))

@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinweave.functions.integers import as_long, floor_div
 from twinweave.operators.joins import PairColumns, PairCondition, Side, pair_columns, tag
+from twinweave.operators import heavy
 from twinweave.operators.skew import split_degree
-
-#: Keys a split table may have; it is broadcast and stays for the life of a query.
-MOST_SPLIT_KEYS = 100_000
-
+from twinweave.streaming.splits import SplitLog
 
 def split_table(freq: DataFrame, key: str, workers: int, share_a: float = 0.5) -> DataFrame:
     """``key, splits_a, splits_b`` of the keys that hold more than their part of a stream, from probabilities known
@@ -30,25 +28,26 @@ def split_table(freq: DataFrame, key: str, workers: int, share_a: float = 0.5) -
     return freq.where(splits > 1).select(key, split_a.alias("splits_a"), F.ceil(splits / split_a).cast("long").alias("splits_b"))
 
 
-def _salted(left: DataFrame, right: DataFrame, a: Side, b: Side, keys: list[str], splits: DataFrame | None, salts: int, a_row_id: str | None, row_id: str | None):
-    """Both streams with a grid of salts, and the pairs of columns to join on. The grid of a key never changes, since
-    state that is stored could not follow."""
+def _salted(left: DataFrame, right: DataFrame, a: Side, b: Side, keys: list[str], splits: SplitLog | None, salts: int, a_row_id: str | None, row_id: str | None,
+            starts: tuple[Column, Column] | None):
+    """Both streams with a grid of salts, and the pairs of columns to join on. ``starts`` is when the cell of a row begins, which decides the epoch of its grid."""
     if splits is None and salts <= 1:
         return left, right, []
     if splits is not None:
-        if splits.count() > MOST_SPLIT_KEYS:
-            raise ValueError(f"more than {MOST_SPLIT_KEYS} keys are split")
-        for_a = F.broadcast(splits.select(*[F.col(k).alias(f"_split_{k}") for k in keys], "splits_a", "splits_b"))
-        left = left.join(for_a, [a[k] == F.col(f"_split_{k}") for k in keys], "left")
-        right = right.join(for_a, [b[k] == F.col(f"_split_{k}") for k in keys], "left")
-        n_a, n_b = (F.coalesce(F.col(c), F.lit(1)).cast("long") for c in ("splits_a", "splits_b"))
+        cells = heavy.paired_cells(left, right, [(f"a__{k}", f"b__{k}") for k in keys])
+        if cells is None:
+            raise ValueError("the key columns of both streams must have one type")
+        if not splits.epochs():
+            raise ValueError("the split log has no first epoch")
+        left, right = (splits.grid(side, cell, start, "_n_") for side, cell, start in zip((left, right), cells, starts or (None, None)))
+        n_a, n_b = F.col("_n_a"), F.col("_n_b")
     else:
         n_a, n_b = as_long(1), as_long(salts)
     own_a = [a[a_row_id]] if a_row_id else [a[c] for c in a.names]
     own_b = [b[row_id]] if row_id else [b[c] for c in b.names]
     zero = as_long(0)
-    left = left.withColumn("_a_salt_a", F.pmod(F.xxhash64(*own_a), n_a)).withColumn("_a_salt_b", F.explode(F.sequence(zero, n_b - 1)))
-    right = right.withColumn("_b_salt_b", F.pmod(F.xxhash64(*own_b), n_b)).withColumn("_b_salt_a", F.explode(F.sequence(zero, n_a - 1)))
+    left = left.withColumn("_a_salt_a", F.pmod(F.xxhash64(*own_a), n_a)).withColumn("_a_salt_b", F.explode(F.sequence(zero, n_b - 1))).drop("_n_a", "_n_b")
+    right = right.withColumn("_b_salt_b", F.pmod(F.xxhash64(*own_b), n_b)).withColumn("_b_salt_a", F.explode(F.sequence(zero, n_a - 1))).drop("_n_a", "_n_b")
     return left, right, [(F.col("_a_salt_a"), F.col("_b_salt_a")), (F.col("_a_salt_b"), F.col("_b_salt_b"))]
 
 
@@ -66,7 +65,7 @@ def stream_interval_join(
     where: PairCondition | None = None,
     bucketed: bool = True,
     salts: int = 1,
-    splits: DataFrame | None = None,
+    splits: SplitLog | None = None,
     row_id: str | None = None,
     a_row_id: str | None = None,
 ) -> DataFrame:
@@ -74,8 +73,8 @@ def stream_interval_join(
 
     The state of a key is a list that every arriving row of the other input is checked
     against. With ``bucketed`` it is split by time, so few keys do not mean long lists.
-    ``salts`` spreads each list of ``b`` over that many tasks; ``splits`` (see ``split_table``) gives each hot key
-    a grid of its own instead, in proportion to the rows of both streams.
+    ``salts`` spreads each list of ``b`` over that many tasks; ``splits`` gives each hot key a grid of its own instead, in proportion to the rows of both streams.
+    The grids are stored with the query and may change from a time on: see ``twinweave.streaming.splits``.
     """
     keys = [on] if isinstance(on, str) else list(on)
     left, a_side = tag(a, "a__")
@@ -89,6 +88,7 @@ def stream_interval_join(
     if where is not None:
         condition = condition & where(a_side, b_side)
     equal = [(a_side[k], b_side[k]) for k in keys]
+    starts = None
     if bucketed and lower_us <= upper_us:
         width = max(1, upper_us - lower_us)
         first = floor_div(F.unix_micros(at) + as_long(lower_us), width)
@@ -96,7 +96,8 @@ def stream_interval_join(
         left = left.withColumn("_a_bucket", F.explode(F.sequence(first, last)))
         right = right.withColumn("_b_bucket", floor_div(F.unix_micros(bt), width))
         equal.append((F.col("_a_bucket"), F.col("_b_bucket")))
-    left, right, grid = _salted(left, right, a_side, b_side, keys, splits, salts, a_row_id, row_id)
+        starts = F.col("_a_bucket") * as_long(width), F.col("_b_bucket") * as_long(width)
+    left, right, grid = _salted(left, right, a_side, b_side, keys, splits, salts, a_row_id, row_id, starts)
     equal += grid
     for l, r in reversed(equal):
         condition = (l == r) & condition
@@ -115,7 +116,7 @@ def stream_window_join(
     delay: str = "0 seconds",
     select: PairColumns | None = None,
     where: PairCondition | None = None,
-    splits: DataFrame | None = None,
+    splits: SplitLog | None = None,
     row_id: str | None = None,
     a_row_id: str | None = None,
 ) -> DataFrame:
@@ -162,7 +163,8 @@ def stream_window_join(
     left = left.withColumn("_a_window", F.window(at, *window)).withColumn(f"a__{a_time}", F.timestamp_micros(F.unix_micros(at)))
     right = right.withColumn("_b_window", F.window(bt, *window)).withColumn(f"b__{b_time}", F.timestamp_micros(F.unix_micros(bt)))
     condition = F.col("_a_window") == F.col("_b_window")
-    left, right, grid = _salted(left, right, a_side, b_side, keys, splits, 1, a_row_id, row_id)
+    starts = F.unix_micros(F.col("_a_window.start")), F.unix_micros(F.col("_b_window.start"))
+    left, right, grid = _salted(left, right, a_side, b_side, keys, splits, 1, a_row_id, row_id, starts)
     for l, r in reversed(grid):
         condition = (l == r) & condition
     for k in reversed(keys):

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from twinweave.session import fresh_dir
+from twinweave.streaming.splits import SplitLog
 
 
-def run_available_now(df: DataFrame, label: str = "stream", *, folder: str | None = None) -> DataFrame:
-    """Process all input there is, in as many micro-batches as the source gives, and read the result back."""
+def run_available_now(df: DataFrame, label: str = "stream", *, folder: str | None = None, splits: SplitLog | None = None) -> DataFrame:
+    """Process all input there is, in as many micro-batches as the source gives, and read the result back.
+
+    ``splits`` is the log the query's join was built with; it is tied to the checkpoint."""
     folder = folder or fresh_dir(df.sparkSession, label)
+    if splits is not None:
+        splits.bind(f"{folder}/checkpoint")
     query = (
         df.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
