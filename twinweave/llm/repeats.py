@@ -5,7 +5,7 @@ the same document. All words covered by repeats are removed; windows are judged
 
 1. **Suffixes.** Of all suffixes of a document only a sample is followed, chosen by content: in every window, that whose first
    ``prefix`` words have the least hash (the leftmost of equals). Equal windows choose at the same place, so a repeat of
-   ``size`` words always contains a followed suffix at the same distance; about one suffix in seven is followed.
+   ``size`` words always contains a followed suffix at the same distance; of windows of 20 words about one suffix in eight is followed.
 2. **Prefixes.** Suffixes are counted by their first ``prefix`` words (a partial aggregate). A prefix that one place of one text has
    alone cannot repeat and is dropped. A prefix with up to ``group_rows`` suffixes makes one group, which fits in memory.
    A prefix with more is lengthened to all that its windows reach, then to single windows: each is a leaf with one word sequence, of which
@@ -302,7 +302,7 @@ def repeated_ranges(docs: DataFrame, size: int = 20, doc_id: str = "doc_id", tex
     """``id, text_key, first, last``: starts ``first..last`` (word numbers) of windows that also start earlier."""
     if size < 2:
         raise ValueError("a window has at least two words")
-    prefix = max(1, 2 * size // 5)
+    prefix = max(1, 3 * size // 10)
     rows = _rows(docs, doc_id, text)
     counts = rows.mapInArrow(_counted(size, prefix), "key long, text_key long, n long").groupBy("key").agg(
         F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("n").alias("most"), F.sum("n").alias("n"))
