@@ -6,6 +6,8 @@ import random
 import pytest
 
 from twinweave.operators.accounting import latency_summary, merge_totals
+from twinweave.model import PERCENTILES
+from twinweave.operators import quantiles
 from twinweave.operators.quantiles import percentiles
 from twinweave.operators.sampling import rate_sample
 from twinweave.operators.scan import running_total
@@ -67,12 +69,41 @@ def test_percentiles_equal_sorted_lists(spark, method, rule):
               "wide": [rng.gauss(0, 1000) for _ in range(311)], "seven": [float(i) for i in range(7)]}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     probs = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0) if method == "truncated" else (0.05, 0.25, 0.5, 0.75, 0.95)
-    got = {(r["g"], r["prob"]): r["value"] for r in percentiles(df, "v", probs, by=["g"], method=method, blocks=7).collect()}
+    got = {(r["g"], r["prob"]): r["value"] for r in percentiles(df, "v", probs, by=["g"], method=method, block_values=70).collect()}
     assert len(got) == len(groups) * len(probs)
     for (g, p), value in got.items():
         assert value == pytest.approx(rule(groups[g], p), abs=1e-9), (g, p)
 
 
+@pytest.mark.parametrize("method,rule", [("truncated", truncated), ("interpolated", interpolated)])
+def test_percentiles_of_large_groups_order_little(spark, method, rule):
+    """Groups beyond the small size, a null one among them, one with a hot value at a wanted place; and sketches that miss."""
+    rng = random.Random(21)
+    groups = {None: [rng.random() for _ in range(60_000)], "hot": [5.0] * 15_000 + [rng.gauss(5, 1) for _ in range(30_000)], "little": [rng.random() for _ in range(9)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(7)
+    stats = quantiles.group_statistics(df, "v", PERCENTILES, ["g"]).cache()
+    counts = quantiles._counted(df, "v", stats, ["g"], len(PERCENTILES), quantiles.SMALL)
+    assert counts.count() < 600 and counts.agg(F.sum("_n")).first()[0] == df.count()
+    for small, df2 in ((quantiles.SMALL, df), (0, df.where("g = 'little'"))):
+        got = {(r["g"], r["prob"]): r["value"] for r in percentiles(df2, "v", by=["g"], method=method, small=small, block_values=100).collect()}
+        assert len(got) == 5 * (3 if small else 1)
+        for (g, p), value in got.items():
+            assert value == pytest.approx(rule(groups[g], p), abs=1e-9), (g, p)
+
+
+def test_summary_evaluates_its_samples_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    samples = spark.range(5000).select(F.lit("m").alias("metric"), F.col("id").cast("double").alias("v")).mapInArrow(counted, "metric string, v double")
+    row = latency_summary(samples, "v", ["metric"]).first()
+    assert (row["total"], row["0"], row["50"], row["100"]) == (5000, 0.0, 2500.0, 4999.0) and seen.value == 5000
+
+
 def test_percentiles_without_groups(spark):
     df = spark.createDataFrame([(float(v),) for v in range(101)], "v double")
     got = {r["prob"]: r["value"] for r in percentiles(df, "v", (0.5, 0.95)).collect()}

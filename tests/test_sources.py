@@ -1,5 +1,7 @@
 """Dataset files, event time, generators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +192,42 @@ def test_header_of_two_equal_numbers(spark, tmp_path):
     assert part.read_text().split() == ["3|3", "1|5", "2|0", "3|7"]
     head = files.read_header(spark, str(tmp_path / "s")).first()
     assert (head["num_keys"], head["size"]) == (3, 3) and files.read_synthetic(spark, str(tmp_path / "s")).count() == 3
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    """Several files in several splits: places as in the files, and no exchange that lines pass."""
+    rng = random.Random(4)
+    expected, n = [], 0
+    for name in ("b.txt", "a.txt", "c.txt"):
+        lines = ["%s|%d" % (name[0] * rng.randrange(1, 60), k) for k in range(rng.choice([1, 900, 2500]))]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    for name in ("a.txt", "b.txt", "c.txt"):
+        for k, line in enumerate((tmp_path / name).read_text().splitlines()):
+            expected.append((name, k, n, line))
+            n += 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = files.numbered_lines(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+        got = sorted((r["path"].rsplit("/", 1)[1], r["line_no"], r["row_id"], r["line"]) for r in found.collect())
+        assert found.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted(expected)
+
+
+def test_headers_are_read_without_the_body(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "one").write_bytes(b"7|100\n" + b"\xff\xfe broken body \x00" * 1000)
+    with gzip.open(tmp_path / "r" / "two.gz", "wb") as f:
+        f.write(b"7|100\r\n1|2\n")
+    (tmp_path / "r" / "_SUCCESS").write_text("")
+    (tmp_path / "r" / "empty").write_text("")
+    assert files.first_lines(spark, str(tmp_path / "r")) and [tuple(r) for r in files.read_header(spark, str(tmp_path / "r")).collect()] == [(7, 100)]
+    assert [tuple(r) for r in files.read_header(spark, str(tmp_path / "r" / "one")).collect()] == [(7, 100)]
+    (tmp_path / "r" / "long").write_bytes(b"9" * 10_000_000)
+    assert max(map(len, files.first_lines(spark, str(tmp_path / "r")))) == files.HEADER_BYTES

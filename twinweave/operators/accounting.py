@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from twinweave.model import PERCENTILE_NAMES, PERCENTILES
-from twinweave.operators.quantiles import percentiles
+from twinweave.operators.quantiles import group_statistics, percentiles
+from twinweave.session import durable
 
 #: Fixed value: bytes per MB.
 MB = 1048576
@@ -57,11 +58,10 @@ def latency_summary(
     Groups without any value are left out.
     """
     by = list(by)
-    base = samples.groupBy(*by).agg(
-        F.count(value).alias("samples"), F.avg(value).alias("mean"),
-        F.min(value).cast("double").alias("0"), F.max(value).cast("double").alias("100"),
-    )
-    ranks = percentiles(samples, value, by=by, method=method)
+    samples = durable(samples.select(*by, value))  # evaluated once, read twice: for sketches and for counts
+    stats = durable(group_statistics(samples, value, PERCENTILES, by))
+    base = stats.select(*by, "samples", "mean", F.col("low").alias("0"), F.col("high").alias("100"))
+    ranks = percentiles(samples, value, by=by, method=method, stats=stats)
     wide = ranks.groupBy(*by).agg(*[
         F.max(F.when(F.col("prob") == F.lit(p), F.col("value"))).alias(str(int(round(p * 100)))) for p in PERCENTILES
     ])

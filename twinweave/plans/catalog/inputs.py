@@ -47,10 +47,15 @@ def scan_text(spark, sf):
     return files.read_synthetic(spark, written(spark, sf, "scan"), value=model.CONSTANT_VALUE).drop("row_id")
 
 
-@query("s2_header", sql("SELECT max(user_id) + 1 AS num_keys, count(*) AS size_a, count(*) AS size_b FROM ev"))
+@query("s2_header", sql("""SELECT max(user_id) + 1 AS num_keys, count(*) AS size_a, sum(CASE WHEN event_type = 'view' OR user_id = (SELECT max(user_id) FROM ev) THEN 1 ELSE 0 END)::BIGINT
+  AS size_b FROM ev"""))
 def header(spark, sf):
+    """The headers of two inputs of different size: all events, and the views with all events of the last user."""
     path = written(spark, sf, "header")
-    return files.check_same_keys(files.read_header(spark, path), files.read_header(spark, path))
+    last = events(spark, sf).agg(F.max("user_id")).first()[0]
+    some = offsets(spark, sf).join(events(spark, sf).where((F.col("event_type") == "view") | (F.col("user_id") == last)).select("event_id"), "event_id", "left_semi")
+    files.write_synthetic(some.select("row_id", (F.col("key") + 1).alias("key"), "ts_off"), text.partner_path(path), last + 1, some.count())
+    return files.check_same_keys(files.read_header(spark, path), files.read_header(spark, text.partner_path(path)))
 
 
 @query("s3_scan_rovio", sql("SELECT user_id AS key, value, 0::BIGINT AS ts_off FROM ev"))
@@ -197,23 +202,25 @@ def time_offsets(spark, sf):
     return generated.dataset_rows(events(spark, sf), "uniform", KEYS, row_id="event_id", offset_draw=draw_2()).drop("key")
 
 
-@query("g5_written_dataset", sql(f"""SELECT side, count(*) AS n, {KEYS}::BIGINT AS num_keys, count(*) AS declared, true AS keys_in_range, true AS offsets_in_range
-  FROM ev, (VALUES ('a'), ('b')) s(side) GROUP BY side"""))
+G5_SQL = f"""z AS (SELECT SUM(pow(1.0e0 / i, 0.8e0)) AS zn, 1 + pow(0.5e0, 0.8e0) AS z2 FROM range(1, {KEYS + 1}) r(i)),
+  d AS (SELECT side, event_id, CASE side WHEN 'a' THEN {DRAW_1_SQL} ELSE {DRAW_2_SQL} END AS u, CASE side WHEN 'a' THEN {DRAW_2_SQL} ELSE {DRAW_1_SQL} END AS o, zn, z2,
+    (1 - pow(2.0e0 / {KEYS}, 1 - 0.8e0)) / (1 - z2 / zn) AS eta FROM ev, z, (VALUES ('a'), ('b')) s(side))"""
+
+
+@query("g5_written_dataset", sql(f"""SELECT side, row_number() OVER (PARTITION BY side ORDER BY event_id) AS row_id, CASE WHEN u * zn < 1 THEN 1 WHEN u * zn < z2 THEN 2
+  ELSE 1 + CAST(trunc({KEYS} * pow(eta * u - eta + 1, 1 / (1 - 0.8e0))) AS BIGINT) END AS key, CAST(floor(o * 501) AS BIGINT) AS ts_off,
+  {KEYS}::BIGINT AS num_keys, count(*) OVER (PARTITION BY side) AS declared FROM d""", G5_SQL))
 def written_dataset(spark, sf):
-    """Both generated inputs, one row per event, checked as they are read back."""
-    rows = events(spark, sf).select(F.col("event_id").alias("row_id"))
-    path = generated.write_dataset(spark, fresh_dir(spark, "dataset"), "zipf", KEYS, size=rows.count(), rows=rows)
+    """Both generated inputs, a row per event, as they are read back from their files, each with what its header declares."""
+    rows = events(spark, sf).select("event_id", F.col("event_id").alias("row_id"))
+    draws = {"r_rows": (draw_1(), draw_2()), "l_rows": (draw_2(), draw_1())}
+    path = generated.write_dataset(spark, fresh_dir(spark, "dataset"), "zipf", KEYS, size=rows.count(), rows=rows, draws=draws)
 
-    def checked(side, path):
-        read = files.read_synthetic(spark, path, key_base=0)
+    def read(side, path):
         head = files.read_header(spark, path)
-        return read.agg(
-            F.lit(side).alias("side"), F.count("*").alias("n"),
-            head.select("num_keys").scalar().alias("num_keys"), head.select("size").scalar().alias("declared"),
-            F.every(F.col("key").between(1, KEYS)).alias("keys_in_range"),
-            F.every(F.col("ts_off").between(0, model.MAX_OFFSET_MS)).alias("offsets_in_range"),
-        )
-    return checked("a", path).unionByName(checked("b", text.partner_path(path)))
+        found = files.read_synthetic(spark, path, key_base=0)
+        return found.select(F.lit(side).alias("side"), "row_id", "key", "ts_off", head.select("num_keys").scalar().alias("num_keys"), head.select("size").scalar().alias("declared"))
+    return read("a", path).unionByName(read("b", text.partner_path(path)))
 
 
 @query("g6_distribution_check", sql("""SELECT i AS key, round(pow(i, -1.1e0) / (SELECT SUM(pow(i, -1.1e0)) FROM range(1, 11) r(i)), 9) AS pmf,
@@ -235,12 +242,14 @@ def running_totals(spark, sf):
     return running_total(rows, F.col("value"), "event_id", "user_total", by=["user_id"]).select("event_id", "total", "user_total")
 
 
-@query("w4_cumulative_probability", sql("""SELECT i AS key, round(SUM(pow(i, -0.8e0)) OVER (ORDER BY i)
-  / (SELECT SUM(pow(i, -0.8e0)) FROM range(1, (SELECT max(user_id) + 2 FROM ev)) r(i)), 9) AS cumulative FROM range(1, (SELECT max(user_id) + 2 FROM ev)) r(i)"""))
+@query("w4_cumulative_probability", sql("""SELECT user_id AS key, n, round(n / t, 9) AS prob, round(SUM(n) OVER (ORDER BY user_id) / t, 9) AS cumulative
+  FROM (SELECT user_id, count(*) AS n, (SELECT count(*) FROM ev)::DOUBLE AS t FROM ev GROUP BY user_id)"""))
 def cumulative_probability(spark, sf):
-    """Over as many keys as there are users."""
-    users = events(spark, sf).agg(F.max("user_id")).first()[0] + 1
-    return generated.key_pmf(spark, users, 0.8).select("key", F.round("cumulative", 9).alias("cumulative"))
+    """Of the observed key probabilities of all events, in key order."""
+    rows = events(spark, sf)
+    freq = durable(key_frequency(rows.where("event_type = 'click'"), rows.where("event_type <> 'click'"), "user_id").withColumnRenamed("user_id", "key"))
+    found = generated.cumulative(freq, "key", "n", "prob")
+    return found.select("key", "n", *[F.round(c, 9).alias(c) for c in ("prob", "cumulative")])
 
 
 # --- scalar expressions -----------------------------------------------------------

@@ -13,37 +13,45 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from twinweave.functions import draws, text
 from twinweave.functions.integers import as_long
 from twinweave.model import CONSTANT_VALUE
+from twinweave.session import durable
+
+
+#: Splits of an input up to which their table is broadcast (a path and three numbers each); beyond it lines are joined to it by a shuffle.
+MOST_SPLITS = 200_000
+
+
+def split_starts(lines: DataFrame) -> DataFrame:
+    """``path, split, first, lines, line_start, row_start``: per split the running id of its first line, how many lines it has and
+    how many come before it in the file and in the whole input. A row per split; the text is read but nothing of it moves."""
+    splits = durable(lines.groupBy("path", "split").agg(F.min("seen").alias("first"), F.count("*").alias("lines")))
+    files = splits.groupBy("path").agg(F.sum("lines").alias("file_lines"))
+    before = W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select(F.col("path").alias("file"), F.coalesce(F.sum("file_lines").over(before), F.lit(0)).alias("file_start"))
+    in_file = W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    placed = splits.withColumn("line_start", F.coalesce(F.sum("lines").over(in_file), F.lit(0)))
+    return durable(placed.join(files, F.col("path") == F.col("file")).select("path", "split", "first", "lines", "line_start", (F.col("file_start") + F.col("line_start")).alias("row_start")))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no, row_id, line``: text lines with their place in the file and in the whole input.
 
-    Files follow each other in path order. A file is read in splits by many tasks; lines are
-    numbered inside each split and moved by the number of lines in the splits before it, so
-    no task reads more than one split.
+    Files follow each other in path order. A file is read in splits by many tasks. A line's place in its split is its running id less that of the
+    split's first line, so lines stay where they are read; only the small table of splits is joined to them. Should the
+    two scans cut the input differently, the query fails rather than give wrong places.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_seen"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seen"),
         F.col("value").alias("line"),
     )
-    per_split = lines.groupBy("path", "_split").agg(F.count("*").alias("_lines"))
-    per_file = per_split.groupBy("path").agg(F.sum("_lines").alias("_file_lines"))
-    before_file = F.sum("_file_lines").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1))
-    before_split = F.sum("_lines").over(W.partitionBy("path").orderBy("_split").rowsBetween(W.unboundedPreceding, -1))
-    starts = (
-        per_split.withColumn("_split_start", F.coalesce(before_split, F.lit(0)))
-        .join(per_file.select("path", F.coalesce(before_file, F.lit(0)).alias("_file_start")), "path")
-        .select("path", "_split", "_split_start", "_file_start")
-    )
-    in_split = F.row_number().over(W.partitionBy("path", "_split").orderBy("_seen")) - 1
-    line_no = F.col("_split_start") + F.col("_in_split")
-    return (
-        lines.withColumn("_in_split", in_split)
-        .join(starts, ["path", "_split"])
-        .select("path", line_no.alias("line_no"), (F.col("_file_start") + line_no).alias("row_id"), "line")
-    )
+    starts = split_starts(lines).withColumnsRenamed({"path": "_path", "split": "_split"})
+    if starts.count() <= MOST_SPLITS:
+        starts = F.broadcast(starts)
+    place = F.col("seen") - F.col("first")
+    same = F.when((place >= 0) & (place < F.col("lines")), place).otherwise(F.raise_error(F.lit("the input was cut differently when it was read again")).cast("long"))
+    placed = lines.join(starts, (F.col("path") == F.col("_path")) & (F.col("split") == F.col("_split")), "left").withColumn("place", same)
+    return placed.select("path", (F.col("line_start") + F.col("place")).alias("line_no"), (F.col("row_start") + F.col("place")).alias("row_id"), "line")
 
 
 def _fields(line: Column, count: int, kind: str) -> Column:
@@ -53,15 +61,35 @@ def _fields(line: Column, count: int, kind: str) -> Column:
     )
 
 
+#: Bytes of a file in which its header line must end.
+HEADER_BYTES = 256
+
+
+def first_lines(spark: SparkSession, path: str) -> list[str]:
+    """The first line of every file of the input, read by opening each file for a few bytes; hidden files are left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found = []
+    for status in store.listStatus(folder):
+        if status.isDirectory() or (status.getPath().getName()[:1] in "_." and status.getPath() != folder):
+            continue
+        codec, stream, line = codecs.getCodec(status.getPath()), store.open(status.getPath()), bytearray()
+        try:
+            stream = codec.createInputStream(stream) if codec is not None else stream
+            while len(line) < HEADER_BYTES and (byte := stream.read()) not in (-1, 10):
+                line.append(byte)
+        finally:
+            stream.close()
+        if line:  # an empty part has no header
+            found.append(line.decode("utf-8", "replace").rstrip("\r"))
+    return found
+
+
 def read_header(spark: SparkSession, path: str) -> DataFrame:
-    """``num_keys, size`` from the first line of every file of the input (one row if they agree)."""
-    first = (
-        spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
-                F.monotonically_increasing_id().alias("seen"), "value")
-        .where("split = 0")
-        .groupBy("path").agg(F.min_by("value", "seen").alias("line"))
-    )
+    """``num_keys, size`` from the first line of every file of the input (one row if they agree). What is read does not grow with the files."""
+    first = spark.createDataFrame([(line,) for line in sorted(set(first_lines(spark, path)))], "line string")
     parts = _fields(F.col("line"), 2, "header")
     return first.select(text.to_long(parts[0]).alias("num_keys"), text.to_long(parts[1]).alias("size")).distinct()
 

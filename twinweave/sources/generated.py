@@ -56,17 +56,20 @@ def write_dataset(
     skew: float = model.DEFAULT_SKEW,
     rows: DataFrame | None = None,
     files: int | None = None,
+    draws: dict[str, tuple[Column, Column]] | None = None,
 ) -> str:
     """Write both inputs of a dataset with independent seeds and return the path of the first.
 
     The folder names carry distribution, number of keys and skew; the inputs are the
     partner folders ``r_rows`` and ``l_rows`` in it. ``rows`` (with ``row_id``) stands in
-    for the ids 0..size-1.
+    for the ids 0..size-1, and ``draws`` gives the columns of ``rows`` that keys and offsets of ``r_rows`` and ``l_rows`` are drawn by instead of the seeds.
     """
     rows = spark.range(size).select(F.col("id").alias("row_id")) if rows is None else rows
     folder = f"{root.rstrip('/')}/dist={distribution}/keys={num_keys}/skew={0.0 if distribution == 'uniform' else skew}"
     for name, seed in (("r_rows", model.SEED_A), ("l_rows", model.SEED_B)):
-        write_synthetic(dataset_rows(rows, distribution, num_keys, skew=skew, seed=seed), f"{folder}/{name}", num_keys, size, files=files)
+        key_draw, offset_draw = (draws or {}).get(name, (None, None))
+        drawn = dataset_rows(rows, distribution, num_keys, skew=skew, seed=seed, key_draw=key_draw, offset_draw=offset_draw)
+        write_synthetic(drawn, f"{folder}/{name}", num_keys, size, files=files)
     return f"{folder}/r_rows"
 
 
@@ -80,6 +83,13 @@ def key_pmf(spark: SparkSession, num_keys: int, exponent: float = 0.0) -> DataFr
     return running_total(pmf, F.col("pmf"), "key", "cumulative")
 
 
+def cumulative(freq: DataFrame, key: str, n: str = "n", prob: str = "prob") -> DataFrame:
+    """``freq`` with ``cumulative``, the share of all rows up to and including each key, in the order of whole-number keys."""
+    total = freq.agg(F.sum(n)).scalar()
+    counted = running_total(freq, F.col(n), key, "_upto")
+    return counted.withColumn("cumulative", F.col("_upto") / total).drop("_upto")
+
+
 def distribution_check(pmf: DataFrame, freq: DataFrame) -> DataFrame:
     """``pmf`` beside the observed ``n, prob`` of each key (0 where a key was never drawn)."""
     return pmf.join(freq, "key", "left").select(
