@@ -13,7 +13,7 @@ from twinweave.operators import heavy
 from twinweave.operators.skew import key_frequency
 from twinweave.streaming.joins import split_table, stream_interval_join, stream_window_join
 from twinweave.streaming.splits import SplitLog
-from twinweave.streaming.run import live_latency_us, run_available_now, run_for
+from twinweave.streaming.run import live_latency_us, run_available_now, run_for, sample_stream, sampled, samples
 
 SECOND = 1_000_000
 SCHEMA = "key long, value long, event_time timestamp"
@@ -184,6 +184,37 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert [r[1] for r in rows_of(run_available_now(patient, folder=str(tmp_path / "out2")))] == [11, 22, 33, 34, 41]
 
 
+def sampled_by_loop(rows, rate, epoch):
+    """The rule row by row: taken if what was taken so far is at most the rate times the time since the sampler was made."""
+    count, begun, kept = {}, {}, []
+    for sink, at, name in rows:
+        start = begun.setdefault(sink, at if epoch is None else epoch)
+        if rate == 0 or count.get(sink, 0) <= rate * (at - start) / 1e6:
+            count[sink] = count.get(sink, 0) + 1
+            kept.append((sink, at, name))
+    return sorted(kept), {s: (begun[s], count.get(s, 0), sum(r[0] == s for r in rows)) for s in begun}
+
+
+@pytest.mark.parametrize("rate,epoch", [(0.5, 0), (2.0, None), (0, None)])
+def test_sampling_sink_equals_a_loop_over_batches_and_a_restart(spark, tmp_path, rate, epoch):
+    rng = random.Random(8)
+    at, name, rows = 1000 * SECOND, 0, []
+    for k in range(5):
+        part = []
+        for _ in range(rng.choice([0, 40, 90])):
+            at += rng.choice([0, 0, SECOND // 20, SECOND])
+            part.append((rng.choice([1, 1, 1, 2, 30 + k]), at, name))
+            name += 1
+        rows += part
+        spark.createDataFrame(part, "sink long, at long, name long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k in (1, 2, 4):  # a new query each time
+            stream = file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "sink long, at long, name long").schema, files_per_batch=1)
+            sample_stream(stream, str(tmp_path / "out"), sink="sink", at="at", rate=rate, epoch=epoch, order=["name"], ticks_per_second=1_000_000, available_now=True).awaitTermination()
+    kept, state = sampled_by_loop(rows, rate, epoch)
+    assert rows_of(samples(spark, str(tmp_path / "out"), stream.schema)) == kept != []
+    assert {r["sink"]: (r["epoch"], r["taken"], r["total"]) for r in sampled(spark, str(tmp_path / "out")).collect()} == state
+
+
 def test_live_sources(spark, tmp_path):
     live = live_random(spark, 5, 200, replicas=1)
     query = live.select("key", "event_us", live_latency_us(F.col("ingest_ns")).alias("age_us")).writeStream.format("memory").queryName("live").start()

@@ -62,16 +62,20 @@ def rate_sample(
     order: list[str],
     ticks_per_second: int = 1_000_000_000,
     workers: int | None = None,
+    taken: int | Column = 0,
 ) -> DataFrame:
     """The rows of ``df`` the sampler keeps.
 
+    ``taken`` is how many a row's sink has taken before these rows: with it a stream is sampled batch by batch. Then the count starts there, which is the same as
+    limits that are lower by as much.
+
     ``at`` and ``epoch`` count ``ticks_per_second``; ``order`` breaks ties of ``at`` and makes
     the order of a sink's rows total. A rate of 0 or -1 keeps every row.
     """
     if rate in (0, -1):
         return df
     elapsed = (F.col(at) - as_long(epoch)) / F.lit(float(ticks_per_second))
-    cap = F.greatest(F.lit(0).cast("long"), F.floor(F.lit(float(rate)) * elapsed) + 1)
+    cap = F.greatest(F.lit(0).cast("long"), F.floor(F.lit(float(rate)) * elapsed) + 1 - as_long(taken))
     rows = df.withColumn("_cap", cap)
 
     slots = durable(rows.groupBy(sink, "_cap").agg(F.count("*").alias("_n")))

@@ -11,7 +11,7 @@ from twinweave.plans.catalog.registry import HOUR, events, query, sql, table
 from twinweave.session import fresh_dir
 from twinweave.sources.live import event_column, file_stream
 from twinweave.streaming.joins import stream_interval_join, stream_window_join
-from twinweave.streaming.run import run_available_now, sample_latency
+from twinweave.streaming.run import run_available_now, sample_latency, sample_stream, sampled, samples
 from twinweave.streaming.splits import SplitLog
 
 LATE_BEFORE = 1704067200000000 + 240 * HOUR   # rows of the first ten days can be late
@@ -215,6 +215,31 @@ def live_latency(spark, sf):
     return samples.groupBy("sink_id").agg(F.count("*").alias("samples"), F.every(F.col("latency_us").between(0, 60_000_000)).alias("plausible"))
 
 
+T7_RATE, T7_EPOCH = 0.00001, 1704067200000000
+T7_KEPT = f"""pairs AS (SELECT a.user_id % 4 AS sink, a.event_id AS a_id, b.event_id AS b_id, GREATEST(a.ts, b.ts) AS ts FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}),
+  limits AS (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY ts, a_id, b_id) AS i, count(*) OVER (PARTITION BY sink) AS total,
+    CAST(floor({T7_RATE:.5f}e0 * ((ts - {T7_EPOCH}) / 1000000.0e0)) AS BIGINT) + 1 AS cap FROM pairs),
+  taken AS (SELECT *, LEAST(i, i + min(cap - i) OVER (PARTITION BY sink ORDER BY i)) AS c FROM limits),
+  kept AS (SELECT * FROM (SELECT *, COALESCE(lag(c) OVER (PARTITION BY sink ORDER BY i), 0) AS c0 FROM taken) WHERE c > c0)"""
+
+
+@query("t7_live_sampled", sql("SELECT sink, a_id, b_id, ts, total, count(*) OVER (PARTITION BY sink) AS taken FROM kept", T7_KEPT))
+def live_sampled(spark, sf):
+    """Joined rows sampled in the sink at a rate of event time, over several micro-batches and a restart; all are counted."""
+    folder = fresh_dir(spark, "sampled")
+
+    def both(a, b):
+        return [F.pmod(a.user_id, F.lit(4)).alias("sink"), a.event_id.alias("a_id"), b.event_id.alias("b_id"), F.unix_micros(F.greatest(a.event_time, b.event_time)).alias("ts")]
+
+    for k in ([0, 1], [2, 3]):  # stopped in between
+        files = _write_parts(spark, sf, f"{folder}/in", k)
+        pairs = stream_interval_join(*(_stream_of(spark, sf, f"{folder}/in", t, files) for t in ("click", "view")), "user_id", "event_time", "event_time", -6 * HOUR, 6 * HOUR, select=both)
+        sample_stream(pairs, folder, sink="sink", at="ts", rate=T7_RATE, epoch=T7_EPOCH, order=["a_id", "b_id"], ticks_per_second=1_000_000, available_now=True).awaitTermination()
+    counts = sampled(spark, folder).select(F.col("sink").alias("_sink"), "total", "taken")
+    kept = samples(spark, folder, pairs.schema)
+    return kept.join(counts, F.col("sink") == F.col("_sink")).drop("_sink")
+
+
 @query("x4_source_and_sink_functions", sql(f"""SELECT a.user_id, a.value + b.value AS value, GREATEST(a.ts, b.ts) AS ts
   FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"""))
 def source_and_sink_functions(spark, sf):
