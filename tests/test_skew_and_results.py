@@ -1,19 +1,22 @@
 """Key statistics, loads, stored results."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinweave import sinks
 from twinweave.operators import accounting, skew
+from twinweave.operators.joins import interval_join, numeric_pair
 from twinweave.plans import report
 from twinweave.plans.experiments import result_record
 from twinweave.sources import results
+from twinweave.sources.live import file_stream
 
 
 def rows_of(df):
-    return [tuple(r) for r in df.collect()]
+    return sorted(tuple(r) for r in df.collect())
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +58,31 @@ def test_number_of_hot_cells_is_bounded(spark):
     assert skew.hot_cells(flat, ["cell"], 64, 1.2) is None
 
 
+def test_run_counters(spark, tmp_path):
+    """Rows in and out of each operator of a batch and of a stream, from the run itself."""
+    rows = spark.createDataFrame([(1 + i % 3, i, i * 10) for i in range(30)], "key long, value long, ts long")
+    counters = accounting.RunCounters(spark)
+    left, right = counters.watch(rows, "left", at_us="ts"), counters.watch(rows.where("value < 12"), "right", at_us="ts")
+    joined = counters.watch(interval_join(left, right, "key", "ts", "ts", 0, 30, select=numeric_pair(), strategy="bucket"), "join")
+    with pytest.raises(ValueError):
+        counters.watch(rows, "left")
+    n = len(joined.collect())
+    assert [tuple(r) for r in counters.table().select("operator", "rows", "bytes", "first_us", "last_us").collect()] == [
+        ("left", 30, 720, 0, 290), ("right", 12, 288, 0, 110), ("join", n, 24 * n, 0, 0)]
+
+    stream = accounting.RunCounters(spark)
+    spark.streams.addListener(stream.listener)
+    for k in range(3):
+        rows.where(F.col("value") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = stream.watch(file_stream(spark, str(tmp_path / "in"), rows.schema, files_per_batch=1), "source")
+    out = stream.watch(read.where("value % 2 = 0"), "filter", row_bytes=10)
+    out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    time.sleep(2)
+    spark.streams.removeListener(stream.listener)
+    assert [tuple(r)[:3] for r in stream.table().collect()] == [("source", 30, 720), ("filter", 15, 150)]
+
+
 def test_throughput_and_rates(spark):
     df = spark.createDataFrame([("s", 0, 0), ("s", 0, 2_000_000), ("s", 1, 0), ("s", 1, 1_000_000), ("t", 0, 5)], "op string, replica long, at long")
     stats = accounting.operator_stats(df, ["op", "replica"], "at", row_bytes=1048576)
@@ -125,10 +153,17 @@ def test_log_files(spark, tmp_path):
 def test_sinks_append(spark, tmp_path):
     record = spark.createDataFrame([(7, 3.5)], "total long, mean double")
     for run in ("first", "second"):
-        sinks.append_metrics(record, str(tmp_path / "m"), run)
+        assert sinks.append_metrics(record, str(tmp_path / "m"), run) == 1
         sinks.append_throughput(spark.createDataFrame([(9.9,)], "throughput double"), str(tmp_path / "t"), run)
-    assert sorted(rows_of(spark.read.json(str(tmp_path / "m")).select("run_id", "total"))) == [("first", 7), ("second", 7)]
-    assert sorted(rows_of(spark.read.json(str(tmp_path / "t")).select("run_id", "throughput"))) == [("first", 9), ("second", 9)]
+    assert rows_of(sinks.read_appended(spark, str(tmp_path / "m"), record.schema)) == [("first", 7, 3.5), ("second", 7, 3.5)]
+    assert rows_of(sinks.read_appended(spark, str(tmp_path / "t"), "throughput long")) == [("first", 9), ("second", 9)]
+    # a repeated append, one that broke before it was published, and one that holds a run that is there and a new one
+    assert sinks.append_metrics(record.withColumn("total", F.lit(8).cast("long")), str(tmp_path / "m"), "first") == 0
+    record.withColumn("run_id", F.lit("third")).write.partitionBy("run_id").json(str(tmp_path / "m" / "data" / "attempt=broken"))
+    both = spark.createDataFrame([(1, 1.5, "second"), (2, 2.5, "fourth")], "total long, mean double, run string")
+    assert sinks.append_metrics(both, str(tmp_path / "m"), "run") == 1
+    assert rows_of(sinks.read_appended(spark, str(tmp_path / "m"), record.schema)) == [("first", 7, 3.5), ("fourth", 2, 2.5), ("second", 7, 3.5)]
+    assert sinks.append_metrics(record.limit(0), str(tmp_path / "m"), "none") == 0
     pairs = spark.createDataFrame([("k", 3, 1999)], "key string, value long, event_us long")
     sinks.write_pairs(pairs, str(tmp_path / "p"))
     assert spark.read.text(str(tmp_path / "p")).first()[0] == "k\t3\t1"

@@ -3,17 +3,22 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinweave import model
 from twinweave.operators.accounting import ProgressLog
 from twinweave.operators.joins import interval_join, numeric_pair, window_join
+from twinweave.sources import random_stream
+from twinweave.sources.random_stream import RandomSource
 from twinweave.sources.live import event_column, file_stream, live_random, paced_replay
 from twinweave.operators import heavy
 from twinweave.operators.skew import key_frequency
 from twinweave.streaming.joins import split_table, stream_interval_join, stream_window_join
+from twinweave.streaming.lateness import admit, counts
 from twinweave.streaming.splits import SplitLog
-from twinweave.streaming.run import live_latency_us, run_available_now, run_for, sample_stream, sampled, samples
+from twinweave.streaming.run import live_latency_us, run_available_now, run_for, run_until_idle, sample_stream, sampled, samples
 
 SECOND = 1_000_000
 SCHEMA = "key long, value long, event_time timestamp"
@@ -215,6 +220,57 @@ def test_sampling_sink_equals_a_loop_over_batches_and_a_restart(spark, tmp_path,
     assert {r["sink"]: (r["epoch"], r["taken"], r["total"]) for r in sampled(spark, str(tmp_path / "out")).collect()} == state
 
 
+def test_live_source_draws_the_same_for_any_number_of_tasks(spark, tmp_path):
+    """Batches of several sizes, one and eight tasks, stopped in the middle: the rows of a plain loop."""
+    spark.dataSource.register(RandomSource)
+    n, found = 150_000, {}
+    for tasks, batch in ((1, 200_000), (8, 70_000)):
+        folder = str(tmp_path / str(tasks))
+        for upto in (50_001, n):
+            stream = spark.readStream.format("random_events").options(numKeys=9, rows=upto, rowsPerBatch=batch, numPartitions=tasks, seed=3).load()
+            rows = run_until_idle(stream, folder)
+        found[tasks] = sorted(tuple(r) for r in rows.select("row_id", "key", "value", "event_us").collect())
+    assert found[1] == found[8] and [r[0] for r in found[1]] == list(range(n))
+    rows = np.arange(n)
+    gaps, keys = random_stream.gaps_of(rows, 3), random_stream.keys_of(rows, 3, 9)
+    clock = model.EVENT_TIME_BASE_MS
+    for i in range(0, n, 1):
+        if i < 1000 or i > n - 10 or i in (50_000, 50_001, 65_536):
+            assert found[8][i] == (i, keys[i], model.CONSTANT_VALUE, clock * 1000)
+        clock += int(gaps[i])
+    assert set(keys.tolist()) == set(range(1, 10)) and gaps.min() == 0 and gaps.max() == 499 and abs(gaps.mean() - 249.5) < 2
+    assert abs(np.corrcoef(gaps[1:], gaps[:-1])[0, 1]) < .02
+
+
+def late_by_loop(rows, sources, delay):
+    """Judged row by row: a row is late if it lies more than the delay before the least of the sources' greatest times so far."""
+    top, kept, late = {}, [], []
+    for arrival, source, at in rows:
+        bound = min(top[s] for s in sources) - delay if len(top) == len(sources) else None
+        (late if bound is not None and at < bound else kept).append((arrival, source, at))
+        top[source] = max(top.get(source, at), at)
+    return kept, late
+
+
+@pytest.mark.parametrize("delay", [0, 7])
+def test_lateness_row_by_row(spark, tmp_path, delay):
+    rng = random.Random(delay)
+    rows, at = [], 0
+    for k in range(200):
+        at += rng.randrange(0, 6)
+        rows.append((3 * k, rng.choice("aab"), at - rng.choice([0, 0, 0, 1, 9, 30])))
+    kept, late = late_by_loop(rows, "ab", delay)
+    assert late and len(kept) > 50
+    for part in (rows[:1], rows[1:90], [], rows[90:91], rows[91:]):  # a new query each time
+        spark.createDataFrame(part, "arrival long, source string, at long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "arrival long, source string, at long").schema)
+        admit(stream, str(tmp_path / "out"), ["a", "b"], source="source", at_us="at", arrival="arrival", delay_us=delay, block_rows=8, available_now=True).awaitTermination()
+    read = lambda name: sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out" / name)).drop("batch").collect())
+    assert read("admitted") == kept and read("late") == late
+    assert {r["source"]: (r["admitted"], r["dropped"]) for r in counts(spark, str(tmp_path / "out")).collect()} == {
+        s: (sum(r[1] == s for r in kept), sum(r[1] == s for r in late)) for s in "ab"}
+
+
 def test_live_sources(spark, tmp_path):
     live = live_random(spark, 5, 200, replicas=1)
     query = live.select("key", "event_us", live_latency_us(F.col("ingest_ns")).alias("age_us")).writeStream.format("memory").queryName("live").start()

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from threading import Lock
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from twinweave.functions.integers import as_long
 from twinweave.model import PERCENTILE_NAMES, PERCENTILES
 from twinweave.operators.quantiles import group_statistics, percentiles
 from twinweave.session import durable
@@ -81,6 +82,74 @@ def merge_totals(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     return totals.groupBy(*by).agg(F.sum("total").alias("total")).where("total > 0")
 
 
+class RunCounters:
+    """Rows, bytes and event-time span of the operators of one run, observed as the rows pass: no job of their own.
+
+    ``watch`` a DataFrame where an operator hands on its rows, run the last one, then read ``table``. In a stream the numbers of every micro-batch
+    arrive by ``listener`` (register it with ``spark.streams.addListener``) and are added up. Tasks that run again after an executor was lost may count twice,
+    as in Spark's own metrics.
+    """
+
+    _KIND = "operator string, rows long, bytes long, first_us long, last_us long"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._order: list[str] = []
+        self._batch: dict[str, Observation] = {}
+        self._streams: dict[str, list[tuple]] = {}
+        self._lock = Lock()
+        self.listener = _Observed(self)
+
+    def watch(self, df: DataFrame, operator: str, *, at_us: str | Column | None = None, row_bytes: int | Column = 24) -> DataFrame:
+        if operator in self._order:
+            raise ValueError(f"{operator} is watched already")
+        self._order.append(operator)
+        at = as_long(0) if at_us is None else F.col(at_us) if isinstance(at_us, str) else at_us
+        size = F.lit(row_bytes).cast("long") if isinstance(row_bytes, int) else row_bytes
+        metrics = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.min(at).alias("first_us"), F.max(at).alias("last_us")]
+        if df.isStreaming:
+            self._streams[operator] = []
+            return df.observe(operator, *metrics)
+        self._batch[operator] = Observation(operator)
+        return df.observe(self._batch[operator], *metrics)
+
+    def table(self) -> DataFrame:
+        """``operator, rows, bytes, first_us, last_us``, a row per watched operator."""
+        with self._lock:
+            rows = []
+            for name in self._order:
+                if name in self._batch:
+                    seen = [tuple(self._batch[name].get[c] for c in ("rows", "bytes", "first_us", "last_us"))]
+                else:
+                    seen = self._streams[name]
+                times = [[r[k] for r in seen if r[k] is not None] for k in (2, 3)]
+                rows.append((name, sum(r[0] for r in seen), sum(r[1] or 0 for r in seen), min(times[0], default=None), max(times[1], default=None)))
+        return self.spark.createDataFrame(rows, self._KIND)
+
+    def _add(self, name: str, row) -> None:
+        with self._lock:
+            if name in self._streams:
+                self._streams[name].append((row["rows"], row["bytes"], row["first_us"], row["last_us"]))
+
+
+class _Observed(StreamingQueryListener):
+    def __init__(self, counters: RunCounters):
+        self.counters = counters
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            self.counters._add(name, row.asDict())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class ProgressLog(StreamingQueryListener):
     """Rows and rates of every micro-batch of the session's streaming queries, in a table below ``folder``.
 

@@ -64,9 +64,30 @@ def text_pair(key: str = "key", value: str = "value", ts: str = "ts") -> PairCol
     ]
 
 
+@dataclass(frozen=True)
+class SumBelow:
+    """A pair condition of which the joins know that a row without a small enough partner can be left out before it is shuffled."""
+
+    limit: int
+    value: str = "value"
+
+    def __call__(self, a: Side, b: Side) -> Column:
+        return (a[self.value] + b[self.value]) < F.lit(self.limit)
+
+    def narrowed(self, left: DataFrame, right: DataFrame, a: Side, b: Side) -> tuple[DataFrame, DataFrame]:
+        """Both inputs without the rows that exceed the limit even with the least value of the other input: two aggregates over one column, no shuffle of rows."""
+        def wide(c: Column) -> Column:
+            return c.cast("decimal(20,0)") if whole else c  # sums of two longs do not overflow
+
+        whole = all(dict(df.dtypes)[f"{s.prefix}{self.value}"] in ("tinyint", "smallint", "int", "bigint") for df, s in ((left, a), (right, b)))
+        x, y = a[self.value], b[self.value]
+        least_x, least_y = left.agg(F.min(x)).scalar(), right.agg(F.min(y)).scalar()
+        return left.where(wide(x) + wide(least_y) < F.lit(self.limit)), right.where(wide(y) + wide(least_x) < F.lit(self.limit))
+
+
 def sum_below(limit: int, value: str = "value") -> PairCondition:
     """Keep a pair only if its values add up to less than ``limit``."""
-    return lambda a, b: (a[value] + b[value]) < F.lit(limit)
+    return SumBelow(limit, value)
 
 
 def tag(df: DataFrame, prefix: str) -> tuple[DataFrame, Side]:
@@ -127,6 +148,8 @@ def interval_join(
         raise ValueError("bucket_width must be positive")
     left, a_side = tag(a, "a__")
     right, b_side = tag(b, "b__")
+    if isinstance(where, SumBelow):
+        left, right = where.narrowed(left, right, a_side, b_side)
     at, bt = a_side[a_time], b_side[b_time]
     within = (bt >= at + as_long(lower)) & (bt <= at + as_long(upper))
     if where is not None:
@@ -180,6 +203,8 @@ def window_join(
     keys = [on] if isinstance(on, str) else list(on)
     left, a_side = tag(a, "a__")
     right, b_side = tag(b, "b__")
+    if isinstance(where, SumBelow):
+        left, right = where.narrowed(left, right, a_side, b_side)
     at, bt = a_side[a_time], b_side[b_time]
     condition = where(a_side, b_side) if where is not None else F.lit(True)
     options = dict(strategy=strategy, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id, a_row_id=a_row_id)

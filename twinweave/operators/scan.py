@@ -31,27 +31,50 @@ def running_total(
 ) -> DataFrame:
     """``df`` plus ``out`` = sum of ``amount`` over the rows up to and including this one
     (before this one if ``exclusive``) in ``row_id`` order, separately for each ``by`` value."""
+    return _running(df, amount, row_id, out, F.sum, lambda x, y: x + y, F.lit(0), by, exclusive, block_rows)
+
+
+def running_greatest(
+    df: DataFrame,
+    amount: Column,
+    row_id: str,
+    out: str,
+    *,
+    by: list[str] | None = None,
+    exclusive: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """As ``running_total`` with the greatest amount so far; nulls are passed over, and before the first amount ``out`` is null."""
+    return _running(df, amount, row_id, out, F.max, F.greatest, None, by, exclusive, block_rows)
+
+
+def _running(df, amount, row_id, out, fold, joined, nothing, by, exclusive, block_rows) -> DataFrame:
+    """Any fold whose results per block can be ``joined``; ``nothing`` is its value over no row."""
     by = list(by or [])
+
+    def known(c: Column) -> Column:
+        return c if nothing is None else F.coalesce(c, nothing)
+
     block = floor_div(F.col(row_id).cast("long"), block_rows)
     rows = df.withColumns({"_amount": amount, "_block": block})
 
-    blocks = rows.groupBy(*by, "_block").agg(F.sum("_amount").alias("_sum"))
+    blocks = rows.groupBy(*by, "_block").agg(fold("_amount").alias("_sum"))
     blocks = blocks.withColumn("_group", floor_div(F.col("_block"), block_rows))
-    groups = blocks.groupBy(*by, "_group").agg(F.sum("_sum").alias("_group_sum"))
+    groups = blocks.groupBy(*by, "_group").agg(fold("_sum").alias("_group_sum"))
 
     over_groups = W.partitionBy(*by).orderBy("_group").rowsBetween(*_BEFORE)
     over_blocks = W.partitionBy(*by, "_group").orderBy("_block").rowsBetween(*_BEFORE)
-    group_start = groups.select(*by, "_group", F.coalesce(F.sum("_group_sum").over(over_groups), F.lit(0)).alias("_group_start"))
+    group_start = groups.select(*by, "_group", known(fold("_group_sum").over(over_groups)).alias("_group_start"))
     block_start = (
-        blocks.withColumn("_in_group", F.coalesce(F.sum("_sum").over(over_blocks), F.lit(0)))
+        blocks.withColumn("_in_group", known(fold("_sum").over(over_blocks)))
         .join(group_start, [*by, "_group"])
-        .select(*by, "_block", (F.col("_group_start") + F.col("_in_group")).alias("_start"))
+        .select(*by, "_block", joined(F.col("_group_start"), F.col("_in_group")).alias("_start"))
     )
 
     over_rows = W.partitionBy(*by, "_block").orderBy(row_id).rowsBetween(*(_BEFORE if exclusive else _UPTO))
     return (
-        rows.withColumn("_in_block", F.coalesce(F.sum("_amount").over(over_rows), F.lit(0)))
+        rows.withColumn("_in_block", known(fold("_amount").over(over_rows)))
         .join(block_start, [*by, "_block"])
-        .withColumn(out, F.col("_start") + F.col("_in_block"))
+        .withColumn(out, joined(F.col("_start"), F.col("_in_block")))
         .select(*df.columns, out)
     )

@@ -71,13 +71,16 @@ def config_averages(spark, sf):
     return found.withColumns({"mean_ms": F.round("mean_ms", 9), "mean_throughput": F.round("mean_throughput", 6)})
 
 
-@query("a14_comparison_pivot", sql("""SELECT parallelism, round(c, 9) AS click, round(v, 9) AS view, round(p, 9) AS purchase FROM (
-  SELECT user_id % 50 AS parallelism, avg(CASE WHEN event_type = 'click' THEN amount END) AS c, avg(CASE WHEN event_type = 'view' THEN amount END) AS v,
-    avg(CASE WHEN event_type = 'purchase' THEN amount END) AS p FROM ev GROUP BY 1) WHERE c IS NOT NULL AND v IS NOT NULL AND p IS NOT NULL"""))
+VARIANTS = ("click", "view", "purchase", "signup", "error")
+
+
+@query("a14_comparison_pivot", sql(f"""SELECT parallelism, {", ".join(f"round({v}, 9) AS {v}" for v in VARIANTS)} FROM (
+  SELECT user_id % 50 AS parallelism, {", ".join(f"avg(CASE WHEN event_type = '{v}' THEN amount END) AS {v}" for v in VARIANTS)} FROM ev GROUP BY 1)
+  WHERE {" AND ".join(f"{v} IS NOT NULL" for v in VARIANTS)}"""))
 def comparison_pivot(spark, sf):
-    variants = ["click", "view", "purchase"]
-    wide = report.comparison(events(spark, sf).withColumn("parallelism", F.col("user_id") % 50), "parallelism", "event_type", variants, "amount")
-    return wide.withColumns({v: F.round(v, 9) for v in variants})
+    """All event types as variants."""
+    wide = report.comparison(events(spark, sf).withColumn("parallelism", F.col("user_id") % 50), "parallelism", "event_type", VARIANTS, "amount")
+    return wide.withColumns({v: F.round(v, 9) for v in VARIANTS})
 
 
 @query("a15_log_throughput", sql("SELECT user_id % 4 AS run, round(sum(amount) + 12345678.0 * count(*), 3) AS throughput FROM ev GROUP BY 1"))
@@ -115,13 +118,14 @@ def joined_lines(spark, sf):
 
 @query("k2_append_metrics", sql(f"""SELECT 'r' || run AS run_id, parallelism, total, round(mean, 6) AS mean, p50 AS "50" FROM rec""", RECORDS))
 def append_metrics(spark, sf):
-    """Records of two appends land beside each other, one folder per run."""
+    """Records of two appends land beside each other; one of them is repeated, and a third broke before it was published."""
     folder = fresh_dir(spark, "metrics")
     records = durable(_records(spark, sf).withColumn("run_id", F.concat(F.lit("r"), F.col("run").cast("string"))))
     sinks.append_metrics(records.where("run = 0"), folder)
     sinks.append_metrics(records.where("run <> 0"), folder)
-    read = spark.read.schema(records.schema).json(folder)
-    return read.select("run_id", "parallelism", "total", F.round("mean", 6).alias("mean"), "`50`")
+    sinks.append_metrics(records.where("run <> 0"), folder)
+    records.where("run = 0").write.partitionBy("run_id").json(f"{folder}/data/attempt=broken")
+    return sinks.read_appended(spark, folder, records.schema).select("run_id", "parallelism", "total", F.round("mean", 6).alias("mean"), "`50`")
 
 
 @query("k3_dump_latencies", sql("SELECT amount AS latency FROM ev"))
@@ -136,7 +140,7 @@ def append_throughput(spark, sf):
     folder = fresh_dir(spark, "throughput")
     rates = _records(spark, sf).select(F.concat(F.lit("r"), F.col("run").cast("string")).alias("run_id"), "parallelism", (F.col("total") + F.lit(0.5)).alias("throughput"))
     sinks.append_throughput(rates, folder)
-    return spark.read.schema("run_id string, parallelism long, throughput long").json(folder)
+    return sinks.read_appended(spark, folder, "parallelism long, throughput long")
 
 
 @query("r1_read_results", sql(f"""SELECT 32::BIGINT AS batch, 1::BIGINT AS source_degree, parallelism, parallelism AS test_index, total, round(mean, 6) AS mean,

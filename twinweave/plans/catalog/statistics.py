@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from twinweave.operators import accounting, skew
 from twinweave.operators.quantiles import percentiles
 from twinweave.operators.sampling import rate_sample
-from twinweave.plans.catalog.registry import click_view, events, query, skewed_keys, sql
+from twinweave.operators.joins import interval_join, numeric_pair
+from twinweave.plans.catalog.registry import HOUR, click_view, events, query, skewed_keys, sql
+from twinweave.session import fresh_dir
+from twinweave.sinks import pair_line
 
 WORKERS, THRESHOLD, MAX_SPLIT, NUM_KEYS = 8, 1.2, 4, 25
 
@@ -185,6 +188,24 @@ def operator_stats(spark, sf):
     return stats.withColumns({"rate": F.round("rate", 9), "whole_rate": F.floor("rate")})
 
 
+@query("a1_run_counters", sql("""SELECT 'clicks' AS operator, count(*) AS rows, count(*) * 24 AS bytes, min(ts) AS first_us, max(ts) AS last_us FROM a
+  UNION ALL SELECT 'views', count(*), count(*) * 24, min(ts), max(ts) FROM b
+  UNION ALL SELECT 'join', count(*), count(*) * 32, min(ts), max(ts) FROM joined
+  UNION ALL SELECT 'sink', count(*), sum(strlen(line))::BIGINT, 0, 0 FROM lines""",
+  "joined AS (SELECT a.user_id, a.value + b.value AS value, GREATEST(a.ts, b.ts) AS ts FROM a JOIN b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - 3600000000 AND a.ts + 3600000000)",
+  "lines AS (SELECT user_id || chr(9) || value || chr(9) || (ts // 1000) AS line FROM joined WHERE value % 2 = 0)"))
+def run_counters(spark, sf):
+    """What both sources, the join and the sink of one run have handed on, counted by that run itself."""
+    counters = accounting.RunCounters(spark)
+    clicks, views = click_view(spark, sf)
+    joined = interval_join(counters.watch(clicks, "clicks", at_us="ts"), counters.watch(views, "views", at_us="ts"), "user_id", "ts", "ts", -HOUR, HOUR,
+                           select=numeric_pair("user_id"), strategy="bucket")
+    joined = counters.watch(joined, "join", at_us="ts", row_bytes=32)
+    lines = joined.where(F.col("value") % 2 == 0).select(pair_line("user_id", event_us="ts").alias("line"))
+    counters.watch(lines, "sink", row_bytes=F.octet_length("line").cast("long")).write.text(fresh_dir(spark, "counted"))
+    return counters.table()
+
+
 @query("a6_throughput", sql("""SELECT sum(n)::BIGINT AS rows, round(sum(n) / (max(el) / 1e6::DOUBLE), 9) AS rows_per_s,
   round(sum(n) * 24 / (max(el) / 1e6::DOUBLE) / 1048576.0e0, 12) AS mb_per_s
   FROM (SELECT count(*) AS n, max(ts) - min(ts) AS el FROM ev GROUP BY event_type)"""))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from twinweave import model
 from twinweave.functions.clock import ntz_micros
 from twinweave.operators.joins import numeric_pair
 from twinweave.plans.catalog.joins import IDS_SQL, SIX_HOURS, _windows_sql
 from twinweave.plans.catalog.registry import HOUR, events, query, sql, table
 from twinweave.session import fresh_dir
 from twinweave.sources.live import event_column, file_stream
+from twinweave.sources.random_stream import RandomSource
+from twinweave.streaming.lateness import admit
 from twinweave.streaming.joins import stream_interval_join, stream_window_join
-from twinweave.streaming.run import run_available_now, sample_latency, sample_stream, sampled, samples
+from twinweave.streaming.run import run_available_now, run_until_idle, sample_latency, sample_stream, sampled, samples
 from twinweave.streaming.splits import SplitLog
 
 LATE_BEFORE = 1704067200000000 + 240 * HOUR   # rows of the first ten days can be late
@@ -215,6 +218,54 @@ def live_latency(spark, sf):
     return samples.groupBy("sink_id").agg(F.count("*").alias("samples"), F.every(F.col("latency_us").between(0, 60_000_000)).alias("plausible"))
 
 
+T6_SHIFT = 601
+T6_SQL = f"""arrived AS (SELECT *, event_id * 2 + CASE WHEN event_type = 'view' AND value % 2 = 0 THEN {T6_SHIFT} ELSE 0 END AS arrival FROM ev WHERE event_type IN ('click', 'view')),
+  marked AS (SELECT *, max(CASE WHEN event_type = 'click' THEN ts END) OVER o AS wa, max(CASE WHEN event_type = 'view' THEN ts END) OVER o AS wb FROM arrived
+    WINDOW o AS (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  ontime AS (SELECT * FROM marked WHERE wa IS NULL OR wb IS NULL OR ts >= LEAST(wa, wb))"""
+
+
+@query("t6_row_lateness", sql(f"""SELECT {IDS_SQL} FROM (SELECT * FROM ontime WHERE event_type = 'click') a JOIN (SELECT * FROM ontime WHERE event_type = 'view') b
+  ON a.user_id = b.user_id AND {SIX_HOURS}""", T6_SQL))
+def row_lateness(spark, sf):
+    """Views with an even value arrive some hundred rows late. Each row is judged by the watermark of the rows that arrived just before it; what is on time is joined."""
+    folder = fresh_dir(spark, "lateness")
+    late = (F.col("event_type") == "view") & (F.col("value") % 2 == 0)
+    rows = events(spark, sf).where("event_type IN ('click', 'view')").select("event_id", "user_id", "event_type", "ts", (F.col("event_id") * 2 + F.when(late, T6_SHIFT).otherwise(0)).alias("arrival"))
+    ends = rows.agg(F.min("arrival").alias("a"), F.max("arrival").alias("b")).first()
+    files = _files(spark, sf)
+    for k in range(PARTS):  # stopped after each part
+        low, high = (ends["a"] + (ends["b"] + 1 - ends["a"]) * n // PARTS for n in (k, k + 1))
+        rows.where((F.col("arrival") >= low) & (F.col("arrival") < high)).repartitionByRange(files, "arrival").write.mode("append").parquet(f"{folder}/in")
+        arriving = file_stream(spark, f"{folder}/in", rows.schema, files_per_batch=files)
+        admit(arriving, f"{folder}/judged", ["click", "view"], source="event_type", at_us="ts", arrival="arrival", available_now=True).awaitTermination()
+
+    def stream(event_type):
+        read = file_stream(spark, f"{folder}/judged/admitted", rows.schema, files_per_batch=files)
+        return read.where(F.col("event_type") == event_type).select("event_id", "user_id", F.timestamp_micros("ts").alias("event_time"))
+
+    pairs = stream_interval_join(stream("click"), stream("view"), "user_id", "event_time", "event_time", -6 * HOUR, 6 * HOUR, select=ids)
+    return run_available_now(pairs, folder=f"{folder}/out")
+
+
+@query("s12_live_source", sql("""SELECT event_id AS row_id, user_id, true AS key_in_range, true AS clock_runs, true AS drawn_once FROM ev"""))
+def live_source(spark, sf):
+    """As many rows of the live random source as there are events, in several micro-batches of several tasks and over a restart, beside the events."""
+    spark.dataSource.register(RandomSource)
+    folder = fresh_dir(spark, "random")
+    rows = events(spark, sf)
+    n = rows.count()
+    for upto in (n // 2, n):
+        stream = spark.readStream.format("random_events").options(numKeys=50, rows=upto, rowsPerBatch=max(1, n // 3), numPartitions=4).load()
+        found = run_until_idle(stream, folder)
+    # gaps of 0 to 499 ms after each event, from the base time on: the clock at row i lies within i times that
+    elapsed = F.col("event_us") - model.EVENT_TIME_BASE_MS * 1000
+    copies = found.groupBy("row_id").agg(F.count("*").alias("copies"), F.max("key").alias("key"), F.max(elapsed).alias("elapsed"))
+    return rows.join(copies, F.col("event_id") == F.col("row_id")).select(
+        "row_id", "user_id", F.col("key").between(1, 50).alias("key_in_range"), F.col("elapsed").between(0, F.col("row_id") * 499_000).alias("clock_runs"),
+        (F.col("copies") == 1).alias("drawn_once"))
+
+
 T7_RATE, T7_EPOCH = 0.00001, 1704067200000000
 T7_KEPT = f"""pairs AS (SELECT a.user_id % 4 AS sink, a.event_id AS a_id, b.event_id AS b_id, GREATEST(a.ts, b.ts) AS ts FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}),
   limits AS (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY ts, a_id, b_id) AS i, count(*) OVER (PARTITION BY sink) AS total,

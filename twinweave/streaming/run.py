@@ -30,6 +30,19 @@ def run_available_now(df: DataFrame, label: str = "stream", *, folder: str | Non
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
+def run_until_idle(df: DataFrame, folder: str) -> DataFrame:
+    """Process batch after batch until the source has no more for now, stop, and read back all that this and earlier runs in ``folder`` wrote."""
+    query = (
+        df.writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows").start()
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
 def run_for(query: StreamingQuery, seconds: float) -> None:
     """Let a query run for a fixed time, then stop it."""
     try:
