@@ -99,3 +99,42 @@ def test_empty_tables(spark):
     assert de.find_hits(docs, items).count() == 0 and de.decontaminate(docs, items).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert de.find_hits(one, items).first().hits == []
+
+
+def test_other_columns_stay_whatever_they_are_called(spark):
+    names = ["_hit_runs", "runs", "doc", "hit_id", "own_id", "hits"]
+    docs = spark.createDataFrame([(1, "Keep. one TWO three four. End", *names), (2, "clean", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(7, "one two, three four")], "item_id long, text string")
+    assert [tuple(r) for r in de.decontaminate(docs, items, 4).collect()] == [(2, "clean", *names)]
+    spans = de.decontaminate(docs, items, 4, action="span")
+    assert spans.columns == docs.columns
+    assert sorted(map(tuple, spans.collect())) == [(1, "Keep. . End", *names), (2, "clean", *names)]
+
+
+def test_touching_runs_are_one_run_in_any_number_of_passes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Keep a b, c d. end")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "zz yy")], "item_id long, text string")
+    found = []
+    for block_bytes in (de.BLOCK_BYTES, 10):
+        hits = de.find_hits(docs, items, 2, block_bytes=block_bytes)
+        found.append([(x["first"], x["last"], x["start"], x["stop"]) for x in hits.first().hits])
+        monkeypatch.setattr(de.find_hits, "__defaults__", (*de.find_hits.__defaults__[:-2], block_bytes, False))
+        assert [r.text for r in de.decontaminate(docs, items, 2, action="span").collect()] == ["Keep . end"]
+    assert found[0] == found[1] == [(1, 4, 5, 13)]
+
+
+def test_equal_items_are_one_and_short_items_fill_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x a b y"), (2, "none")], "doc_id long, text string")
+    equal = spark.createDataFrame([(5, "a b")] * 400, "item_id long, text string")
+    made, build = [], de.Table.__init__
+
+    def counted(self, names, texts, size):
+        made.append(len(names))
+        build(self, names, texts, size)
+
+    monkeypatch.setattr(de.Table, "__init__", counted)
+    assert sorted((r.id, r["items"]) for r in de.find_hits(docs, equal, 2, block_bytes=2000).collect()) == [(1, ["5"]), (2, [])]
+    assert made == [1]
+    many = spark.createDataFrame([(k, "a b") for k in range(400)], "item_id long, text string")
+    got = de.find_hits(docs, many, 2, block_bytes=2000).where("id = 1").first()
+    assert len(got["items"]) == 400 and max(made) < 60

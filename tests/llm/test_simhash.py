@@ -84,3 +84,11 @@ def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d")] * 3 + [(None, "a b c d"), (None, "q"), (None, "q")], "doc_id long, text string")
     assert sorted((r.id is None, r.component) for r in simhash.near_duplicates(docs).where("component is not null").collect()) == [(False, 1)] * 3 + [(True, 1)]
     assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(docs).collect()) == [(0, "q"), (1, "a b c d")]
+
+
+def test_other_columns_stay_whatever_they_are_called(spark):
+    names = ["_d0", "_d1", "d0", "k0", "doc", "fp", "id", "d2"]
+    docs = spark.createDataFrame([(1, "a b c d", *names), (2, "a b c d", *names), (3, "other words are here", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a b c d", *names), (3, "other words are here", *names)]

@@ -1,5 +1,6 @@
 """Token files: exact round trips, checkpoints and damage."""
 
+import json
 import random
 from zlib import crc32
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from twinweave.llm import rans, tokenfiles, tokens
+from twinweave.llm import packing, rans, tokenfiles, tokens
 
 
 @pytest.mark.parametrize("n,symbols", [(0, 5), (1, 5), (63, 2), (64, 2), (65, 300), (1000, 49408), (300_000, 49408)])
@@ -57,3 +58,19 @@ def test_files_round_trip(spark):
 def test_empty_table(spark):
     index = tokenfiles.write(spark.createDataFrame([], "doc_id long, text string"), tokens.path("word_bpe_49k.json"))
     assert index.count() == 0 and tokenfiles.read(index).count() == 0
+
+
+def test_vocabularies_beyond_16_bits(spark, tmp_path):
+    """A word list of 70,000 entries, made by hand: its ids take 32 bits, in token files and in packed sequences."""
+    file = tmp_path / "words.json"
+    file.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"},
+                                "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": {f"w{k}": k for k in range(70_000)}, "unk_token": "w0"}}))
+    docs = spark.createDataFrame([(k, f"w{69_999 - k} w{k} w65536 w65535") for k in range(30)], "doc_id long, text string")
+    ids = {k: [69_999 - k, k, 65_536, 65_535, 1] for k in range(30)}
+    got = tokenfiles.read(tokenfiles.write(docs, str(file), spaced=False)).collect()
+    assert {r.id: r.ids_crc32 for r in got} == {k: crc32(np.array(v, "<u4").tobytes()) for k, v in ids.items()}
+    pieces = packing.pack(docs, str(file), spaced=False, width=64, with_ids=True).collect()
+    by = {}
+    for p in sorted(pieces, key=lambda p: p.start):
+        by[p.id] = by.get(p.id, b"") + p.ids
+    assert {k: np.frombuffer(v, "<u4").tolist() for k, v in by.items()} == ids

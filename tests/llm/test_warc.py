@@ -5,7 +5,9 @@ import hashlib
 import random
 import zlib
 
-from twinweave.llm import warc
+import duckdb
+
+from twinweave.llm import catalog, warc
 
 
 def pages():
@@ -59,3 +61,14 @@ def test_false_magic_and_nested_records_are_not_taken(tmp_path):
 def test_empty_table(spark):
     archives = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert archives.count() == 0 and warc.read(archives).count() == 0
+
+
+def test_pages_without_id_as_in_the_sql(spark, tmp_path):
+    big, other = "x" * 1500, "y" * 1200
+    pages = spark.createDataFrame([(1, "u", big), (5, "u", big), (None, "u", big), (None, "u", other), (None, "u", other), (None, "u", None), (7, "u", "small"), (8, "u", "small")], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.sql(catalog.SQL["op10_warc"]).fetchall(), key=str)
+    got = sorted(map(tuple, catalog.QUERIES["op10_warc"](spark, str(tmp_path)).collect()), key=str)
+    assert got == want and sum(r[3] == "revisit" for r in got) == 2

@@ -90,8 +90,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_warc", sql="""
     WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
     t AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
-    SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
-        CASE WHEN page_id < top THEN top END AS refers_to FROM p LEFT JOIN t ON p.d = t.d""")
+    SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN coalesce(page_id < top, top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN coalesce(page_id < top, top IS NOT NULL) THEN top END AS refers_to FROM p LEFT JOIN t ON p.d = t.d""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write(table(spark, sf, "pages"))
     return warc.read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

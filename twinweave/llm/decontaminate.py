@@ -6,12 +6,12 @@ are broadcast, and each task looks its documents' windows up in them. A hit of h
 Nothing is shuffled.
 
 The broadcast is bounded: items are dealt into blocks of about ``BLOCK_BYTES`` of text by hash, and only one block
-is broadcast at a time. A benchmark larger than one block takes one pass over the documents per block, and
+is broadcast at a time; equal items count once, and every item counts some bytes besides its text. A benchmark larger than one block takes one pass over the documents per block, and
 the sparse hits of the passes are merged; the result is the same.
 
 Defined cases: null or empty text has no words and no hit; repeated documents and repeated items are judged alike
 (an item id is reported once); a null item text has no window; an empty table of items hits nothing; null document ids
-are kept. Items with a null id are left out by ``find_hits`` unless ``nameless`` is set; then they hit like others and stand as
+are kept; a very long text is read whole; ties do not arise, as nothing is ranked. Items with a null id are left out by ``find_hits`` unless ``nameless`` is set; then they hit like others and stand as
 one null at the end of ``items``. ``op7_decontamination`` and ``decontaminate`` look at all items. Other columns are not looked at.
 """
 
@@ -22,12 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from twinweave.llm.words import WORD_BYTES, Words, rolled, slices, words_of
 from twinweave.session import durable
 
 #: Bytes of item text in one broadcast; the table made of it takes about six times as much.
 BLOCK_BYTES = 8 << 20
+#: What a row counts besides its text and name, so that a block of short items is bounded too.
+ROW_BYTES = 64
 HITS = "id long, text_key long, n_words long, hits array<struct<first:long,last:long,start:long,stop:long>>, items array<string>"
 
 
@@ -116,8 +119,8 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "
     spark = docs.sparkSession
     if size < 1:
         raise ValueError("size must be at least 1")
-    tests = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null" if nameless else "name is not null and text is not null")
-    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tests = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null" if nameless else "name is not null and text is not null").distinct()
+    total = tests.agg(F.sum(F.octet_length("text").cast("long") + F.coalesce(F.octet_length("name"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
@@ -147,14 +150,14 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "
 
 
 def _united(hits: str) -> Column:
-    """Runs that overlap become one."""
+    """Runs that overlap or touch become one, as they are within one pass."""
     kind = "array<struct<first:long,last:long,start:long,stop:long>>"
 
     def add(done: Column, x: Column) -> Column:
         top = F.element_at(done, -1)
         grown = F.struct(top["first"].alias("first"), F.greatest(top["last"], x["last"]).alias("last"),
                          top["start"].alias("start"), F.greatest(top["stop"], x["stop"]).alias("stop"))
-        apart = (F.size(done) == 0) | (x["first"] > F.try_element_at(done, F.lit(-1))["last"])
+        apart = (F.size(done) == 0) | (x["first"] > F.try_element_at(done, F.lit(-1))["last"] + 1)
         return F.when(apart, F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown)))
     return F.aggregate(F.array_sort(hits), F.array().cast(kind), add)
 
@@ -166,7 +169,7 @@ def hit_words(hits: str = "hits") -> Column:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = []
-        for text, hits in zip(batch.column("text").to_pylist(), batch.column("_hit_runs").to_pylist()):
+        for text, hits in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
             if text is not None and hits:
                 raw, at, kept = text.encode(), 0, []
                 for x in hits:
@@ -174,9 +177,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = x["stop"]
                 text = b"".join([*kept, raw[at:]]).decode()
             done.append(text)
-        at = batch.schema.get_field_index("text")
-        batch = batch.set_column(at, "text", pa.array(done, pa.string()))
-        yield batch.select([n for n in batch.schema.names if n != "_hit_runs"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(done, pa.string())], names=["doc", "text"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, action: str = "document", doc_id: str = "doc_id",
@@ -189,9 +190,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, action: str
     if action not in ("document", "span"):
         raise ValueError("action must be document or span")
     hit = durable(find_hits(docs, items, size, doc_id, item_id, nameless=True).where("size(hits) > 0").select(
-        F.col("id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("hits").alias("_hit_runs")).dropDuplicates(["_hit_id", "_hit_key"]))
-    same = docs[doc_id].cast("long").eqNullSafe(hit["_hit_id"]) & F.xxhash64(docs["text"]).eqNullSafe(hit["_hit_key"])
+        F.col("id").alias("hit_id"), F.col("text_key").alias("hit_key"), F.col("hits").alias("runs")).dropDuplicates(["hit_id", "hit_key"]))
+    # the row as one column, so that no name of its columns can meet one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(doc_id).cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("hit_id")) & F.col("own_key").eqNullSafe(F.col("hit_key"))
     if action == "document":
-        return docs.join(hit, same, "left_anti")
-    joined = docs.join(hit, same, "left").select(*[docs[c] for c in docs.columns], hit["_hit_runs"])
-    return joined.mapInArrow(_cut, docs.schema)
+        return rows.join(hit, same, "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    joined = rows.join(hit, same, "left").select("doc", F.col("doc")["text"].alias("text"), "runs")
+    cut = joined.mapInArrow(_cut, StructType([StructField("doc", rows.schema["doc"].dataType), StructField("text", StringType())]))
+    return cut.select(*[F.col("text").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

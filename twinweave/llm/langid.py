@@ -6,7 +6,8 @@ stepped at once as numpy arrays. Training is backpropagation through time with A
 ``SAMPLE_DOCS`` documents per language and ``SAMPLE_WINDOWS`` windows of each; the model is some ten kilobytes and is broadcast.
 
 Defined cases: ``und`` with score 0 for a null or empty text or one without any letter, and if there was nothing to learn from; equal texts
-get equal predictions; a null id is never learned from; ties go to the first language in order. Other columns are not looked at.
+get equal predictions; a null id is never learned from; ties go to the first language in order; repeated rows are learned from once; of more than
+``MOST_LABELS`` languages the most frequent are learned; an empty table has an empty result; very long texts are read whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinweave.llm.sample import bounded
@@ -235,7 +237,7 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 def train(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_DOCS) -> Network | None:
     rows = docs.where(may_learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= SAMPLE_BYTES)).select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    found = sorted(bounded(rows, "lang", "id", most).collect(), key=lambda r: (r["lang"], r["id"], r["text"]))
+    found = sorted(bounded(rows, "lang", ["id", "text"], most).collect(), key=lambda r: (r["lang"], r["id"], r["text"]))
     return fit([r["text"].encode() for r in found], [r["lang"] for r in found])
 
 
@@ -250,19 +252,31 @@ def predict(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text:
                       F.when(F.col("known"), F.col("score")).otherwise(0.0).alias("score"))
 
 
-def _known(model, least: float):
+def _known(model, least: float, names: list[str]):
+    """Rows of the columns ``c0, c1, ...``, which stand for ``names``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network | None = model.value
-        for part in slices(batches, size=1 << 20):
-            p = score(net, *flat(part.column("text"))).max(axis=1) if net is not None else np.ones(part.num_rows)
-            yield part.filter(pa.array(p >= least))
+        text, lang = (f"c{names.index(n)}" for n in ("text", "lang"))
+        for part in slices(batches, text, size=1 << 20):
+            if net is None:
+                yield part
+                continue
+            p = score(net, *flat(part.column(text)))
+            best = pa.array([net.labels[k] for k in p.argmax(axis=1)], pa.string())
+            at = part.schema.get_field_index(lang)
+            part = part.set_column(at, part.schema.field(at), pc.coalesce(part.column(lang), best))
+            yield part.filter(pa.array(p.max(axis=1) >= least))
     return run
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.4) -> DataFrame:
-    """The documents with a letter whose language has a probability of at least ``least``; all columns stay as they are.
+    """The documents with a letter whose language has a probability of at least ``least``. A null ``lang`` becomes the predicted one; all other
+    columns stay as they are. Without a network the lettered documents stay as they are.
 
     With four languages one always has a quarter, so the bound only rejects texts that look like no language that was learned.
     """
-    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
-    return lettered.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(net), least), docs.schema)
+    names = docs.columns
+    own = [F.col(f"`{c}`").cast("string") if c == "lang" else F.col(f"`{c}`") for c in names]
+    lettered = docs.where(F.col("text").rlike(r"\p{L}")).select(*[c.alias(f"c{k}") for k, c in enumerate(own)])
+    kept = lettered.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(net), least, names), lettered.schema)
+    return kept.select(*[F.col(f"c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(names)])

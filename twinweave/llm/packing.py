@@ -76,12 +76,11 @@ def hilbert_keys(places: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _tokens(file: str, spaced: bool, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file, spaced, added)
-        if own.vocabulary > 1 << 16:
-            raise ValueError("ids of this vocabulary do not fit in 16 bits")
-        bucket = (mixed(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+        kind = "<u2" if own.vocabulary <= 1 << 16 else "<u4"
+        bucket = (mixed(np.arange(max(1 << 16, own.vocabulary), dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
         signs = _projection()
         for part in slices(batches):
-            ids = [np.append(x, END).astype("<u2") for x in own.encode(part.column("text"))]
+            ids = [np.append(x, END).astype(kind) for x in own.encode(part.column("text"))]
             at = np.array([vector(x, bucket) for x in ids]) @ signs
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, at.T)],
@@ -90,7 +89,7 @@ def _tokens(file: str, spaced: bool, added: bool):
 
 
 def tokenized(docs: DataFrame, file: str, spaced: bool, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
-    """``row, id, ids, n, x0, x1, x2`` in the shared folder; ``ids`` holds 16-bit numbers, little endian."""
+    """``row, id, ids, n, x0, x1, x2`` in the shared folder; ``ids`` holds numbers of 16 bits, little endian, or of 32 for vocabularies beyond 65,536."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     kind = "id long, ids binary, n long, " + ", ".join(f"x{k} double" for k in range(DIMENSIONS))
     return durable(rows.mapInArrow(_tokens(file, spaced, added), kind).withColumn("row", F.monotonically_increasing_id()))
@@ -127,7 +126,7 @@ def _cut(width: int, with_ids: bool):
             out: list[tuple] = []
             kept: list[bytes] = []
             for doc, raw, n, position in zip(*(part.column(c).to_pylist() for c in ("id", "ids", "n", "position"))):
-                ids = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
                 start = 0
                 while start < n:
                     sequence, offset = divmod(position + start, width)

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
+#: Labels a classifier is made for: of more, the most frequent ones (of equals the first in order) are learned.
+MOST_LABELS = 1000
+
 
-def bounded(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """About ``most`` rows of each label (all of a rarer label): those with the least hash of ``key``.
+def bounded(rows: DataFrame, label: str, keys: list[str], most: int, most_labels: int = MOST_LABELS) -> DataFrame:
+    """About ``most`` different rows of each label (all of a rarer label): those with the least hash of ``keys``.
 
-    One count per label decides the share of its rows; rows are then taken by their own hash, so nothing is sorted or shuffled, and
-    the same rows are taken whatever the partitions. The number of labels is that of a classifier's classes.
+    One count per label decides the share of its rows; rows are then taken by their own hash, so no row is moved to be chosen, and
+    the same rows are taken whatever the partitions. Repeated rows count once. At most ``most_labels`` counts come to the driver.
     """
-    counts = rows.groupBy(label).count().collect()
-    if len(counts) > 1000:
-        raise ValueError("too many labels for a classifier")
-    part = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
-    kept = [(F.col(label) == r[label]) & (part < int(min(1.0, most / r["count"]) * (1 << 30))) for r in counts if r[label] is not None]
-    return rows.where(reduce(lambda a, b: a | b, kept, F.lit(False)))
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    if not counts:
+        return rows.limit(0)
+    part = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], int(min(1.0, most / r["count"]) * (1 << 30)))])
+    return rows.where(part < F.try_element_at(share, F.col(label))).distinct()

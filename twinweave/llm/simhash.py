@@ -8,8 +8,9 @@ neighbours in order are linked (all of a group are within the radius of each oth
 would, without emitting them. Colliding pairs are deduplicated and verified by their distance.
 
 Defined cases: a null or empty text has no shingle and fingerprint zero, which is linked like any other; a text of fewer
-words than a shingle has is one shingle; repeated rows have one fingerprint; null ids never become a component's
-name unless a component has no other id. Other columns are not looked at.
+words than a shingle has is one shingle; a very long text is read whole; repeated rows have one fingerprint; null ids never become a component's
+name unless a component has no other id; of rows that tie for the least id the one of the least hash of its text stays; an empty table has an empty result. Other
+columns, whatever they are called, stay as they are.
 """
 
 from __future__ import annotations
@@ -105,11 +106,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, half: int = 1, doc_id: str =
 def deduplicate(docs: DataFrame, size: int = 3, half: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: that with the least id (of equal ids, the least hash of the text)."""
     prints = durable(fingerprints(docs, size, doc_id, text))
-    keep = group(prints, half).select(*[c.alias(f"_k{n}") for n, c in enumerate(_keys(F.col("kept_id"), F.col("kept_key")))]).distinct()
-    keyed = docs.withColumns({f"_d{n}": c for n, c in enumerate(_keys(F.col(doc_id).cast("long"), F.xxhash64(text)))})
-    kept = keyed.join(keep, [F.col(f"_d{n}") == F.col(f"_k{n}") for n in range(3)], "left_semi")
+    keep = group(prints, half).select(*[c.alias(f"k{n}") for n, c in enumerate(_keys(F.col("kept_id"), F.col("kept_key")))]).distinct()
+    # the row as one column, so that no name of its columns can meet one of these
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[
+        c.alias(f"d{n}") for n, c in enumerate(_keys(F.col(doc_id).cast("long"), F.xxhash64(text)))])
+    kept = keyed.join(keep, [F.col(f"d{n}") == F.col(f"k{n}") for n in range(3)], "left_semi")
     # of repeated rows one stays; the rows are already dealt by these keys
-    return kept.dropDuplicates(["_d0", "_d1", "_d2"]).select(*docs.columns)
+    return kept.dropDuplicates(["d0", "d1", "d2"]).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def _keys(doc: Column, text_key: Column) -> list[Column]:

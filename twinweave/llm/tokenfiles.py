@@ -63,8 +63,6 @@ def block_docs(raw: bytes, table: Table) -> tuple[list[int | None], list[np.ndar
 def _written(folder: str, file: str, spaced: bool, block_tokens: int, file_tokens: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file, spaced, added)
-        if own.vocabulary > 1 << 16:
-            raise ValueError("ids of this vocabulary do not fit in 16 bits")
         part, number, rows = TaskContext.get().partitionId(), 0, []
         ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -92,7 +90,7 @@ def _written(folder: str, file: str, spaced: bool, block_tokens: int, file_token
         for batch in slices(batches):
             for doc, found in zip(batch.column("id").to_pylist(), own.encode(batch.column("text"))):
                 ids.append(doc)
-                held.append(np.append(found, END).astype(np.uint16))
+                held.append(np.append(found, END).astype(np.uint16 if own.vocabulary <= 1 << 16 else np.uint32))
                 tokens += len(found) + 1
                 if tokens >= file_tokens:
                     write_file()

@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str = "
     rows = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(may_learn & F.col("id").isNotNull() & F.col("label").isin(0, 1)).distinct()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     # about twice SAMPLE_DOCS ids at most, so they may be broadcast
-    chosen = F.broadcast(bounded(rows, "label", "id", most).select(F.col("id").alias("l_id"), "label"))
+    chosen = F.broadcast(bounded(rows, "label", ["id"], most).select(F.col("id").alias("l_id"), "label"))
     texts = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     # ids that repeat in the documents count once
     found = texts.join(chosen, F.col("id") == F.col("l_id")).groupBy("id", "label").agg(F.min("text").alias("text")).collect()
