@@ -9,6 +9,7 @@ from twinweave.model import PAIR_SUM_LIMIT
 from twinweave.operators.joins import interval_join, numeric_pair, sum_below, text_pair, window_join
 from twinweave.plans.catalog.registry import HOUR, MINUTE, click_view, events, few_keys, query, skewed_keys, sql, table
 from twinweave.plans.experiments import comparison_join, comparison_streams
+from twinweave.session import durable
 
 DAY = 24 * HOUR
 
@@ -120,13 +121,24 @@ def pair_ids(a, b):
     return [a["key"].alias("key"), a.event_id.alias("a_id"), b.event_id.alias("b_id")]
 
 
+#: A few keys over a fixed span of time get denser as the table grows. What is near shrinks with it, so that a row keeps its number of partners:
+#: ten minutes among 10,000 events.
+NEAR = 10 * MINUTE * 10_000
+NEAR_SQL = f"(SELECT {NEAR} // count(*) FROM ev)"
+
+
 def _few_sql(rows: str) -> str:
     return sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id FROM {rows} x JOIN {rows} y
-      ON x.key = y.key AND y.ts BETWEEN x.ts - {10 * MINUTE} AND x.ts + {10 * MINUTE}""")
+      ON x.key = y.key AND y.ts BETWEEN x.ts - {NEAR_SQL} AND x.ts + {NEAR_SQL}""")
+
+
+def _span(rows):
+    return NEAR // max(1, rows.count())
 
 
 def _near(rows, strategy, **options):
-    return interval_join(rows, rows, "key", "ts", "ts", -10 * MINUTE, 10 * MINUTE, strategy=strategy, select=pair_ids, row_id="event_id", a_row_id="event_id", **options)
+    span = _span(rows)
+    return interval_join(rows, rows, "key", "ts", "ts", -span, span, strategy=strategy, select=pair_ids, row_id="event_id", a_row_id="event_id", **options)
 
 
 @query("j7_interval_key", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
@@ -151,32 +163,39 @@ def interval_hybrid_whole_keys(spark, sf):
     return _near(skewed_keys(spark, sf), "hybrid", workers=8, split_by="key")
 
 
-@query("j9_tumbling_hybrid", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id, x.ts // {HOUR} * {HOUR} AS w_start
-  FROM skewed x JOIN skewed y ON x.key = y.key AND x.ts // {HOUR} = y.ts // {HOUR}"""))
+@query("j9_tumbling_hybrid", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id, x.ts // size * size AS w_start
+  FROM skewed x, (SELECT 6 * {NEAR_SQL} AS size) JOIN skewed y ON x.key = y.key AND x.ts // size = y.ts // size"""))
 def tumbling_hybrid(spark, sf):
     rows = skewed_keys(spark, sf)
-    return window_join(rows, rows, "key", "ts", "ts", HOUR, select=pair_ids, strategy="hybrid", workers=8, row_id="event_id")
+    return window_join(rows, rows, "key", "ts", "ts", 6 * _span(rows), select=pair_ids, strategy="hybrid", workers=8, row_id="event_id")
 
 
 def _heavy_first(spark, sf):
-    """All events against one in a hundred of the hottest keys' events."""
+    """All events against the first of each user: many rows against few on every hot key."""
     rows = skewed_keys(spark, sf)
-    return rows, rows.where(F.pmod(F.col("event_id"), F.lit(100)) == 0)
+    user = events(spark, sf).select(F.col("event_id").alias("id"), "user_id")
+    first = rows.join(user, F.col("event_id") == F.col("id")).groupBy("user_id").agg(
+        F.min_by(F.struct("event_id", "ts", "value", "key", "event_type"), "event_id").alias("r"))
+    return rows, durable(first.select("r.*"))
+
+
+FIRSTS = f"""firsts AS (SELECT s.* FROM skewed s JOIN (SELECT min(event_id) AS event_id FROM ev GROUP BY user_id) USING (event_id))"""
 
 
 @query("j9_interval_hybrid_heavy_first", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id FROM skewed x JOIN skewed y
-  ON x.key = y.key AND y.ts BETWEEN x.ts - {HOUR} AND x.ts + {HOUR} AND y.event_id % 100 = 0"""))
+  ON x.key = y.key AND y.ts BETWEEN x.ts - 6 * {NEAR_SQL} AND x.ts + 6 * {NEAR_SQL}""".replace("skewed y", "firsts y"), FIRSTS))
 def interval_hybrid_heavy_first(spark, sf):
-    """The first input has a hundred times the rows of the second on every hot key."""
+    """The first input has several times the rows of the second on every hot key."""
     a, b = _heavy_first(spark, sf)
-    return interval_join(a, b, "key", "ts", "ts", -HOUR, HOUR, strategy="hybrid", workers=8, select=pair_ids, row_id="event_id", a_row_id="event_id")
+    span = 6 * _span(a)
+    return interval_join(a, b, "key", "ts", "ts", -span, span, strategy="hybrid", workers=8, select=pair_ids, row_id="event_id", a_row_id="event_id")
 
 
-@query("j9_tumbling_hybrid_heavy_first", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id, x.ts // {HOUR} * {HOUR} AS w_start
-  FROM skewed x JOIN skewed y ON x.key = y.key AND x.ts // {HOUR} = y.ts // {HOUR} AND y.event_id % 100 = 0"""))
+@query("j9_tumbling_hybrid_heavy_first", sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id, x.ts // size * size AS w_start
+  FROM skewed x, (SELECT 6 * {NEAR_SQL} AS size) JOIN firsts y ON x.key = y.key AND x.ts // size = y.ts // size""", FIRSTS))
 def tumbling_hybrid_heavy_first(spark, sf):
     a, b = _heavy_first(spark, sf)
-    return window_join(a, b, "key", "ts", "ts", HOUR, select=pair_ids, strategy="hybrid", workers=8, row_id="event_id", a_row_id="event_id")
+    return window_join(a, b, "key", "ts", "ts", 6 * _span(a), select=pair_ids, strategy="hybrid", workers=8, row_id="event_id", a_row_id="event_id")
 
 
 @query("j10_interval_bucket_few_keys", _few_sql("few"))
@@ -250,7 +269,8 @@ def optional_pair_function(spark, sf):
 
 
 @query("x3_key_and_filter_functions", sql(f"""SELECT x.user_id % 5 AS key, x.event_id AS a_id, y.event_id AS b_id FROM ev x JOIN ev y
-  ON x.user_id % 5 = y.user_id % 5 AND y.ts BETWEEN x.ts AND x.ts + {MINUTE} WHERE x.value >= 5 AND y.value >= 5"""))
+  ON x.user_id % 5 = y.user_id % 5 AND y.ts BETWEEN x.ts AND x.ts + {NEAR_SQL} // 10 WHERE x.value >= 5 AND y.value >= 5"""))
 def key_and_filter_functions(spark, sf):
-    rows = few_keys(spark, sf).where(F.col("value") >= 5)
-    return interval_join(rows, rows, "key", "ts", "ts", 0, MINUTE, select=pair_ids, row_id="event_id")
+    every = few_keys(spark, sf)
+    rows = every.where(F.col("value") >= 5)
+    return interval_join(rows, rows, "key", "ts", "ts", 0, _span(every) // 10, select=pair_ids, row_id="event_id")
