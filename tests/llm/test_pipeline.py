@@ -78,3 +78,38 @@ def test_stages_match_plain_versions(spark, tmp_path):
         assert all(r.ids_crc32 == crc32(np.array(ids[r.start:r.start + r.length], "<u4").tobytes()) for r in pieces)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, held["packing"]))
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null ids, a very long text, columns with names the stages might use, and empty tables."""
+    rng = random.Random(3)
+    names = ["_d0", "_hit_runs", "doc", "id", "text_key", "kept", "c0", "score", "lang_pred"]
+    long = text(rng, "aa", 40_000)
+    item = " ".join(long.split()[100:130])
+    rows = [(i, text(rng, ("aa", "bb")[i % 2], 60), ("aa", "bb")[i % 2] if i % 5 else None, "s", None, *names) for i in range(40)]
+    rows += [(None, text(rng, "aa", 50), None, None, 1, *names), (None, text(rng, "bb", 50), "zz", "s", 1, *names), (50, long, "aa", "s", 1, *names), (51, None, None, None, None, *names)]
+    rows.append(rows[3])
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+
+    def stages(rows, items, folder):
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now, held = spark.createDataFrame(rows, kind).repartition(3), {}
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, now, folder)
+            if name != "packing":
+                assert found.dtypes == now.dtypes
+            found.write.parquet(f"{folder}/{name}")
+            now = spark.read.parquet(f"{folder}/{name}")
+            held[name] = now.collect()
+        return held
+
+    held = stages(rows, [(1, item), (None, None)], str(tmp_path / "a"))
+    first = held["language"]
+    assert len(first) == len(rows) - 1 and all(r.lang is not None for r in first) and any(r.lang == "zz" for r in first)
+    by = dict((i, lang) for i, _, lang, *_ in rows)
+    assert all(r.lang == ("aa", "bb")[r.doc_id % 2] for r in first if r.doc_id is not None and r.doc_id < 40)
+    assert len(held["near_duplicates"]) == len(rows) - 2 and sum(r.doc_id is None for r in held["near_duplicates"]) == 2 and by
+    assert all([r[n] for n in names] == names for k in ("near_duplicates", "substrings", "benchmark") for r in held[k])
+    assert {r.doc_id for r in held["substrings"]} - {r.doc_id for r in held["benchmark"]} == {50}
+    assert sum(r.start == 0 for r in held["packing"]) == len(held["benchmark"])
+    assert all(not h for h in stages([], [], str(tmp_path / "b")).values())

@@ -6,12 +6,13 @@ insertion or a deletion they fall in step again. A fingerprint is the sorted set
 length; ``likeness`` is the length of the common chunks over that of the smaller set, which measures containment.
 
 The pairs of neighbouring documents need each document's successor in descending order of id. Ids are cut in blocks of about ``BLOCK_ROWS``
-documents at approximate quantiles (as many numbers on the driver as a global sort keeps), every block is one partition, and the first document of a
-block is also sent to the block before it. So texts are shuffled once and read in order; a task holds a slice of them.
+documents at approximate quantiles, but in no more blocks than a shuffle has partitions (``MOST_BLOCKS`` at least): as few numbers on the driver as a global sort keeps.
+Every block is one partition, and the first document of a
+block is also sent to the block before it. So texts are shuffled once and read in order; a task holds a slice of them, however large its block is.
 
 Defined cases: null text is empty, and the empty text's fingerprint is empty: equal to itself (likeness 1) and to nothing else (0);
-rows of equal id follow each other in order of text; null ids come last; a lone document is its own successor. Other columns
-are not looked at.
+rows of equal id follow each other in order of text and lie in one block, null ids in that of the least id there is; null ids come last; a lone document is its own successor; very long
+texts are read whole; an empty table has an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from twinweave.llm.words import Words, mixed, slices
+from twinweave.session import task_slots
 
 LEAST, NORMAL, MOST = 16, 48, 128
 BLOCK_ROWS = 5000
+MOST_BLOCKS = 200
 _STRICT, _LENIENT = np.uint32(1 << 26), np.uint32(1 << 28)
 _GEAR = (mixed(np.arange(256, dtype=np.uint64) + np.uint64(256)) >> np.uint64(32)).astype(np.uint32)
 _NO_ID = -(1 << 63)
@@ -128,7 +131,7 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     """Columns ``PAIRS`` for every document: its fingerprint, that of its edited text, and how near the edited and the next one are."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     ids = rows.select("id")
-    blocks = max(1, -(-ids.count() // block_rows))
+    blocks = max(1, min(-(-ids.count() // block_rows), max(MOST_BLOCKS, task_slots(docs.sparkSession))))
     cuts: list[float] = []
     if blocks > 1:
         shares = [k / blocks for k in range(1, blocks)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 #: Labels a classifier is made for: of more, the most frequent ones (of equals the first in order) are learned.
-MOST_LABELS = 1000
+MOST_LABELS = 256
 
 
 def bounded(rows: DataFrame, label: str, keys: list[str], most: int, most_labels: int = MOST_LABELS) -> DataFrame:
