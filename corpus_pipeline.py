@@ -2,6 +2,12 @@
 
 ``STAGES`` names them in order. A stage takes the documents its predecessor kept and returns those it keeps, with the columns of ``documents``; the last
 returns pieces of packed sequences. Between stages the documents are written as Parquet to the shared folder and read again.
+
+Defined cases: a document with a null or empty text, or without any letter, goes in the first stage; a null language becomes the one the network finds, other
+languages stay as they are; a null id is an id like others (it is the largest where ids are ordered, and of a group of near-duplicates it stays only if there
+is no other); of repeated rows one stays; a document of which the substring stage leaves no word goes; a benchmark item without an id counts, one without a
+text does not; very long texts are read whole; columns beyond those of ``documents`` stay, whatever they are called; with empty ``documents`` every stage is empty, with
+an empty ``benchmark`` nothing is removed by it.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; learned from documents with a language that are not held out."""
+    """Documents whose language is known, null languages filled in; learned from documents with a language that are not held out."""
     ship(spark)
     return langid.keep_known(docs, langid.train(docs, ~langid.held_out(F.col("doc_id"), 4, 2)))
 
