@@ -16,7 +16,11 @@ from twinweave.sources.live import file_stream
 
 
 def rows_of(df):
-    return sorted(tuple(r) for r in df.collect())
+    return [tuple(r) for r in df.collect()]
+
+
+def sorted_rows(df):
+    return sorted(rows_of(df))
 
 
 @pytest.fixture(scope="module")
@@ -155,14 +159,14 @@ def test_sinks_append(spark, tmp_path):
     for run in ("first", "second"):
         assert sinks.append_metrics(record, str(tmp_path / "m"), run) == 1
         sinks.append_throughput(spark.createDataFrame([(9.9,)], "throughput double"), str(tmp_path / "t"), run)
-    assert rows_of(sinks.read_appended(spark, str(tmp_path / "m"), record.schema)) == [("first", 7, 3.5), ("second", 7, 3.5)]
-    assert rows_of(sinks.read_appended(spark, str(tmp_path / "t"), "throughput long")) == [("first", 9), ("second", 9)]
+    assert sorted_rows(sinks.read_appended(spark, str(tmp_path / "m"), record.schema)) == [("first", 7, 3.5), ("second", 7, 3.5)]
+    assert sorted_rows(sinks.read_appended(spark, str(tmp_path / "t"), "throughput long")) == [("first", 9), ("second", 9)]
     # a repeated append, one that broke before it was published, and one that holds a run that is there and a new one
     assert sinks.append_metrics(record.withColumn("total", F.lit(8).cast("long")), str(tmp_path / "m"), "first") == 0
     record.withColumn("run_id", F.lit("third")).write.partitionBy("run_id").json(str(tmp_path / "m" / "data" / "attempt=broken"))
     both = spark.createDataFrame([(1, 1.5, "second"), (2, 2.5, "fourth")], "total long, mean double, run string")
     assert sinks.append_metrics(both, str(tmp_path / "m"), "run") == 1
-    assert rows_of(sinks.read_appended(spark, str(tmp_path / "m"), record.schema)) == [("first", 7, 3.5), ("fourth", 2, 2.5), ("second", 7, 3.5)]
+    assert sorted_rows(sinks.read_appended(spark, str(tmp_path / "m"), record.schema)) == [("first", 7, 3.5), ("fourth", 2, 2.5), ("second", 7, 3.5)]
     assert sinks.append_metrics(record.limit(0), str(tmp_path / "m"), "none") == 0
     pairs = spark.createDataFrame([("k", 3, 1999)], "key string, value long, event_us long")
     sinks.write_pairs(pairs, str(tmp_path / "p"))
