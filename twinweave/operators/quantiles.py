@@ -101,7 +101,7 @@ def percentiles(
     by, probs = list(by), list(probs)
     if not probs:
         raise ValueError("no probabilities are wanted")
-    stats = durable(group_statistics(df, value, probs, by)) if stats is None else stats
+    stats = group_statistics(df, value, probs, by) if stats is None else stats
     counts = durable(_counted(df, value, stats, by, len(probs), small))
     blocks = max(1, -(-counts.count() // block_values))
     order = [*by, "_v", "_gap"]
