@@ -207,3 +207,13 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "unused" not in text
     assert "GreaterThan(value,5)" in text
+
+
+@pytest.mark.parametrize("options", [{"strategy": "data", "workers": 100}, {"strategy": "bucket", "bucket_width": 2}])
+def test_rows_with_many_copies_are_not_broadcast(spark, tmp_path, options):
+    rows = spark.range(200).select((F.col("id") % 3).alias("key"), F.col("id").alias("ts"), F.col("id").alias("event_id"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    joined = interval_join(rows, rows, "key", "ts", "ts", -20, 20, row_id="event_id", a_row_id="event_id", **options)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == sum(abs(i - j) <= 20 and i % 3 == j % 3 for i in range(200) for j in range(200))

@@ -162,6 +162,7 @@ def interval_join(
         spans=None if strategy == "key" or lower > upper else (
             floor_div(at + as_long(lower), width), floor_div(at + as_long(upper), width), floor_div(bt, width)),
         strategy=strategy, split_by=split_by, workers=workers, threshold=threshold, max_split=max_split, row_id=row_id, a_row_id=a_row_id,
+        copied=max(0, upper - lower) // width + 2,
     )
     return joined.select(*pair_columns(a_side, b_side, select))
 
@@ -249,13 +250,15 @@ def _meet(
     a_row_id: str | None,
     split_by: str = "cell",
     always_bucket: bool = False,
+    copied: int = 2,
 ) -> DataFrame:
     """The equi-join behind both joins.
 
     ``spans`` gives first and last bucket of an ``a`` row and the one bucket of a ``b``
-    row. An ``a`` row is copied to every bucket of its span and a ``b`` row goes to one,
+    row. An ``a`` row is copied to every bucket of its span (at most ``copied``) and a ``b`` row goes to one,
     so no pair can meet twice.
     """
+    many = spans is not None and copied > 2
     equal = [(f"a__{k}", f"b__{k}") for k in keys]
     from_a = [a[a_row_id]] if a_row_id else [a[c] for c in a.names]
     from_b = [b[row_id]] if row_id else [b[c] for c in b.names]
@@ -282,7 +285,11 @@ def _meet(
         if salted:
             left, right = (side.withColumnsRenamed({"_salt_a": f"_{n}_salt_a", "_salt_b": f"_{n}_salt_b"}) for side, n in zip(salted, "ab"))
             equal += [("_a_salt_a", "_b_salt_a"), ("_a_salt_b", "_b_salt_b")]
+            many = True
 
+    if many:
+        # Spark's estimate of an input knows nothing of its copies: taken for small, all of them would be broadcast through the driver
+        left, right = left.hint("merge"), right.hint("merge")
     on = condition
     for l, r in reversed(equal):
         on = (F.col(f"`{l}`") == F.col(f"`{r}`")) & on
