@@ -58,6 +58,15 @@ def test_written_dataset_is_read_back_in_order(spark, tmp_path):
     assert rows_of(files.read_header(spark, str(tmp_path / "d" / "r_rows"))) == [(1000, 1000)]
 
 
+def test_row_ids_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 9 + 1).alias("key"), (F.col("id") % 501).alias("ts_off"))
+    for n in (1, 4):
+        path = str(tmp_path / str(n) / "r_rows")
+        files.write_synthetic(rows, path, 9, 300, files=n)
+        got = files.read_synthetic(spark, path).orderBy("row_id").select("row_id", "key", "ts_off")
+        assert rows_of(got) == [(i + 1, i % 9, i % 501) for i in range(300)]
+
+
 def test_rovio_and_stock(spark, tmp_path):
     r = write(tmp_path / "rovio.txt", "7|0|15|0\n8|1|16|2\n")
     s = write(tmp_path / "stock.txt", "42|17\n")

@@ -21,19 +21,19 @@ MOST_SPLITS = 200_000
 
 
 def split_starts(lines: DataFrame) -> DataFrame:
-    """``path, split, first, lines, line_start, row_start``: per split the running id of its first line, how many lines it has and
-    how many come before it in the file and in the whole input. A row per split; the text is read but nothing of it moves."""
+    """``path, split, first, lines, line_start, row_start, file_no``: per split the running id of its first line, how many lines it has,
+    how many come before it in the file and in the whole input, and how many files with lines do. A row per split; the text is read but nothing of it moves."""
     splits = durable(lines.groupBy("path", "split").agg(F.min("seen").alias("first"), F.count("*").alias("lines")))
     files = splits.groupBy("path").agg(F.sum("lines").alias("file_lines"))
     before = W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)
-    files = files.select(F.col("path").alias("file"), F.coalesce(F.sum("file_lines").over(before), F.lit(0)).alias("file_start"))
+    files = files.select(F.col("path").alias("file"), F.coalesce(F.sum("file_lines").over(before), F.lit(0)).alias("file_start"), F.count("*").over(before).alias("file_no"))
     in_file = W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
     placed = splits.withColumn("line_start", F.coalesce(F.sum("lines").over(in_file), F.lit(0)))
-    return durable(placed.join(files, F.col("path") == F.col("file")).select("path", "split", "first", "lines", "line_start", (F.col("file_start") + F.col("line_start")).alias("row_start")))
+    return durable(placed.join(files, F.col("path") == F.col("file")).select("path", "split", "first", "lines", "line_start", (F.col("file_start") + F.col("line_start")).alias("row_start"), "file_no"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, row_id, line``: text lines with their place in the file and in the whole input.
+    """``path, line_no, row_id, file_no, line``: text lines with their place in the file and in the whole input, and their file's place (from 0).
 
     Files follow each other in path order. A file is read in splits by many tasks. A line's place in its split is its running id less that of the
     split's first line, so lines stay where they are read; only the small table of splits is joined to them. Should the
@@ -51,7 +51,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     place = F.col("seen") - F.col("first")
     same = F.when((place >= 0) & (place < F.col("lines")), place).otherwise(F.raise_error(F.lit("the input was cut differently when it was read again")).cast("long"))
     placed = lines.join(starts, (F.col("path") == F.col("_path")) & (F.col("split") == F.col("_split")), "left").withColumn("place", same)
-    return placed.select("path", (F.col("line_start") + F.col("place")).alias("line_no"), (F.col("row_start") + F.col("place")).alias("row_id"), "line")
+    return placed.select("path", (F.col("line_start") + F.col("place")).alias("line_no"), (F.col("row_start") + F.col("place")).alias("row_id"), "file_no", "line")
 
 
 def _fields(line: Column, count: int, kind: str) -> Column:
@@ -122,10 +122,13 @@ def normalise(df: DataFrame, key_base: int = 0, value: int | str | Column | None
 def read_synthetic(
     spark: SparkSession, path: str, *, key_base: int = 1, value: int | str | Column | None = "hash", seed: int = 0
 ) -> DataFrame:
-    """``row_id, key, value, ts_off`` of a synthetic dataset, its header line and blank lines left out."""
+    """``row_id, key, value, ts_off`` of a synthetic dataset, its header lines and blank lines left out.
+
+    Rows count from 1 and headers do not count, so a dataset has the same ids whether it lies in one file or in many.
+    """
     rows = numbered_lines(spark, path).where((F.col("line_no") > 0) & ~text.is_blank(F.col("line")))
     parts = _fields(F.col("line"), 2, "synthetic")
-    rows = rows.select("row_id", text.to_long(parts[0]).alias("key"), F.lit(CONSTANT_VALUE).cast("long").alias("value"),
+    rows = rows.select((F.col("row_id") - F.col("file_no")).alias("row_id"), text.to_long(parts[0]).alias("key"), F.lit(CONSTANT_VALUE).cast("long").alias("value"),
                        text.to_long(parts[1]).alias("ts_off"))
     return normalise(rows, key_base, value, seed)
 
