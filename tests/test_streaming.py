@@ -2,8 +2,10 @@
 
 import random
 import time
+from functools import partial
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from twinweave.sources.random_stream import RandomSource
 from twinweave.sources.live import event_column, file_stream, live_random, paced_replay
 from twinweave.operators import heavy
 from twinweave.operators.skew import key_frequency
+from twinweave.plans.catalog import QUERIES, SQL, streams
 from twinweave.streaming.joins import split_table, stream_interval_join, stream_window_join
 from twinweave.streaming.lateness import admit, counts
 from twinweave.streaming.splits import SplitLog
@@ -295,3 +298,26 @@ def test_paced_replay_counts_passes(spark):
 def test_zoneless_times_become_event_time(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 11:00:00' AS ts, 1 AS x")
     assert event_column(df, "ts").select(F.unix_micros("event_time")).first()[0] == 1704106800000000
+
+
+def test_row_lateness_reads_a_batch_of_many_files_whole(spark, tmp_path, monkeypatch):
+    """Rows of a batch lie in several files in no order: read one by one, the join's watermark would run ahead of rows that are on time."""
+    monkeypatch.setattr(streams, "admit", partial(admit, block_rows=128))
+    monkeypatch.setattr(streams, "fresh_dir", lambda _, label: str(tmp_path / label))
+    folder = "/root/testdata/sf0.01"
+    wanted = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        found = QUERIES["t6_row_lateness"](spark, folder)
+        got = sorted(tuple(r) for r in found.select("user_id", "a_id", "b_id", "ts").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = list((tmp_path / "lateness" / "judged" / "admitted").rglob("part-*"))
+    commits = [p for p in (tmp_path / "lateness" / "out" / "checkpoint" / "commits").iterdir() if p.name.isdigit()]
+    assert len(files) > 2 * streams.PARTS >= len(commits)  # a batch with rows and one without per part
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    assert got == sorted(con.execute(f"SELECT user_id, a_id, b_id, ts FROM ({SQL['t6_row_lateness']})").fetchall())

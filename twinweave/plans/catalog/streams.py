@@ -234,18 +234,19 @@ def row_lateness(spark, sf):
     rows = events(spark, sf).where("event_type IN ('click', 'view')").select("event_id", "user_id", "event_type", "ts", (F.col("event_id") * 2 + F.when(late, T6_SHIFT).otherwise(0)).alias("arrival"))
     ends = rows.agg(F.min("arrival").alias("a"), F.max("arrival").alias("b")).first()
     files = _files(spark, sf)
-    for k in range(PARTS):  # stopped after each part
-        low, high = (ends["a"] + (ends["b"] + 1 - ends["a"]) * n // PARTS for n in (k, k + 1))
-        rows.where((F.col("arrival") >= low) & (F.col("arrival") < high)).repartitionByRange(files, "arrival").write.mode("append").parquet(f"{folder}/in")
-        arriving = file_stream(spark, f"{folder}/in", rows.schema, files_per_batch=files)
-        admit(arriving, f"{folder}/judged", ["click", "view"], source="event_type", at_us="ts", arrival="arrival", available_now=True).awaitTermination()
 
     def stream(event_type):
-        read = file_stream(spark, f"{folder}/judged/admitted", rows.schema, files_per_batch=files)
+        read = file_stream(spark, f"{folder}/judged/admitted", rows.schema)
         return read.where(F.col("event_type") == event_type).select("event_id", "user_id", F.timestamp_micros("ts").alias("event_time"))
 
-    pairs = stream_interval_join(stream("click"), stream("view"), "user_id", "event_time", "event_time", -6 * HOUR, 6 * HOUR, select=ids)
-    return run_available_now(pairs, folder=f"{folder}/out")
+    for k in range(PARTS):  # stopped after each part; all that was admitted of it, in however many files, is one micro-batch of the join
+        low, high = (ends["a"] + (ends["b"] + 1 - ends["a"]) * n // PARTS for n in (k, k + 1))
+        rows.where((F.col("arrival") >= low) & (F.col("arrival") < high)).repartitionByRange(files, "arrival").write.mode("append").parquet(f"{folder}/in")
+        arriving = file_stream(spark, f"{folder}/in", rows.schema, files_per_batch=files)
+        admit(arriving, f"{folder}/judged", ["click", "view"], source="event_type", at_us="ts", arrival="arrival", available_now=True).awaitTermination()
+        pairs = stream_interval_join(stream("click"), stream("view"), "user_id", "event_time", "event_time", -6 * HOUR, 6 * HOUR, select=ids)
+        found = run_available_now(pairs, folder=f"{folder}/out")
+    return found
 
 
 @query("s12_live_source", sql("""SELECT event_id AS row_id, user_id, true AS key_in_range, true AS clock_runs, true AS drawn_once FROM ev"""))

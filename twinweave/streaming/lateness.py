@@ -5,8 +5,9 @@ a row is late if its time lies more than the delay before the greatest time that
 these, as the slower source holds the watermark back). That is a running maximum per source over the rows in order of arrival, which needs no
 row-by-row program: it is scanned in blocks like a running total, and only the maxima are carried from batch to batch.
 
-``admit`` runs a stream into a folder of rows that are on time, beside the late ones and the state. Joins read that folder as a stream: their own
-watermarks are never ahead of the ones used here, so they drop nothing more.
+``admit`` runs a stream into a folder of rows that are on time, beside the late ones and the state. Joins read that folder as a stream, all files of a
+batch in one micro-batch: then their own watermarks are never ahead of the ones used here, so they drop nothing more. The files of a batch are
+in no order, so a limit of files per micro-batch would let rows of one file make those of the next late.
 """
 
 from __future__ import annotations
@@ -54,7 +55,6 @@ def admit(stream: DataFrame, folder: str, sources: Sequence[str], *, source: str
         before = {} if batch_id == 0 else {r["source"]: r for r in spark.read.schema(_STATE).parquet(f"{folder}/state/batch={batch_id - 1}").collect()}
         rows = judged(batch, sources, source=source, at_us=at_us, arrival=arrival, delay_us=delay_us, block_rows=block_rows,
                       latest={s: r["latest_us"] for s, r in before.items()}).persist(StorageLevel.DISK_ONLY)
-        # later rows lie in later files, so a join that reads them as a stream sees them in about this order
         rows.where("NOT late").select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/admitted/batch={batch_id}")
         rows.where("late").select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
         found = {r["s"]: r for r in rows.groupBy(F.col(source).alias("s")).agg(
