@@ -321,3 +321,29 @@ def test_row_lateness_reads_a_batch_of_many_files_whole(spark, tmp_path, monkeyp
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
     assert got == sorted(con.execute(f"SELECT user_id, a_id, b_id, ts FROM ({SQL['t6_row_lateness']})").fetchall())
+
+
+def test_state_is_dealt_by_the_input_and_parts_keep_apart(spark, tmp_path, monkeypatch):
+    """Rows that lie mostly in one part, in several files: still a micro-batch per part, and no more state stores than the input asks for."""
+    from pathlib import Path
+
+    rows = spark.range(4000).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.when(F.col("id") < 10, F.col("id") * 100).otherwise(F.col("id") + 1_000_000) * SECOND).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.when(F.col("id") % 2 == 0, "click").otherwise("view").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sf, folders = str(tmp_path), []
+    monkeypatch.setattr(streams, "FILE_BYTES", streams._bytes(spark, f"{sf}/events.parquet") // 11)  # three files for each of four parts
+    monkeypatch.setattr(streams, "run_available_now", lambda df, label, **k: folders.append(str(tmp_path / label)) or run_available_now(df, folder=folders[-1], **k))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = QUERIES["t2_watermark"](spark, sf).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([p for p in Path(folders[0], "checkpoint/state/0").iterdir() if p.name.isdigit()]) == 2 * spark.sparkContext.defaultParallelism
+    parts = Path(streams._parts[(spark.sparkContext.applicationId, sf)][0].removeprefix("file:"))
+    assert len(list(parts.glob("part-*"))) == 3 * streams.PARTS
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in found) == sorted(con.execute(SQL["t2_watermark"]).fetchall())

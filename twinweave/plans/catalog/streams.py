@@ -9,7 +9,7 @@ from twinweave.functions.clock import ntz_micros
 from twinweave.operators.joins import numeric_pair
 from twinweave.plans.catalog.joins import IDS_SQL, SIX_HOURS, _windows_sql
 from twinweave.plans.catalog.registry import HOUR, events, query, sql, table
-from twinweave.session import fresh_dir
+from twinweave.session import fresh_dir, task_slots
 from twinweave.sources.live import event_column, file_stream
 from twinweave.sources.random_stream import RandomSource
 from twinweave.streaming.lateness import admit
@@ -22,8 +22,8 @@ LATER_FROM = 1704067200000000 + 480 * HOUR    # the last ten days come second
 
 
 PARTS = 4
-#: Bytes of a file of a part; a part has as many files as its share of the table asks for.
-FILE_BYTES = 128 << 20
+#: Bytes of a file of a part, written by a task; a part has as many files as its share of the table asks for.
+FILE_BYTES = 8 << 20
 _parts: dict[tuple[str, str], tuple[str, int]] = {}
 
 
@@ -32,19 +32,32 @@ def _bytes(spark, path):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
+def _count(spark, folder):
+    """Files of a written table."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
+    return len(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop))
+
+
 def _files(spark, sf):
     return max(1, -(-_bytes(spark, f"{sf}/events.parquet") // (PARTS * FILE_BYTES)))
 
 
+def _state_tasks(spark, sf):
+    """Over how many tasks the state of a join is dealt: two for each core, and more as the table grows, up to the shuffle partitions."""
+    return min(task_slots(spark), max(2 * spark.sparkContext.defaultParallelism, PARTS * _files(spark, sf)))
+
+
 def _write_parts(spark, sf, folder, wanted):
-    """Append some of ``PARTS`` equal spans of time of the events, each as files that follow each other in time."""
+    """Append some of ``PARTS`` equal spans of time of the events, each as so many files of about one size, in any order: they are one micro-batch."""
     rows = table(spark, sf, "events")
     times = events(spark, sf).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     files = _files(spark, sf)
     for k in wanted:
         low, high = (times["a"] + (times["b"] + 1 - times["a"]) * n // PARTS for n in (k, k + 1))
         us = ntz_micros("ts")
-        rows.where((us >= low) & (us < high)).repartitionByRange(files, "ts").write.mode("append").parquet(folder)
+        rows.where((us >= low) & (us < high)).repartition(files, "event_id").write.mode("append").parquet(folder)
+        for _ in range(-_count(spark, folder) % files):  # a part of few rows: the next one's files are not to fill up its micro-batch
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
     return files
 
 
@@ -85,7 +98,7 @@ def event_time(spark, sf):
 def watermark(spark, sf):
     """Zero lateness on both inputs; the slower input sets the watermark of the join."""
     pairs = stream_window_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time", HOUR, select=ids)
-    return run_available_now(pairs, "watermark").groupBy("user_id", "w_start").agg(F.count("*").alias("pairs"))
+    return run_available_now(pairs, "watermark", state_tasks=_state_tasks(spark, sf)).groupBy("user_id", "w_start").agg(F.count("*").alias("pairs"))
 
 
 @query("t2_closed_windows", sql("""SELECT w_start, count(*) AS n FROM (SELECT ts, ts // 3600000000 * 3600000000 AS w_start FROM a UNION ALL SELECT ts, ts // 3600000000 * 3600000000 FROM b)
@@ -97,27 +110,27 @@ def closed_windows(spark, sf):
         one = event_stream(spark, sf, kind).withWatermark("event_time", "0 seconds")
         both = one if both is None else both.unionByName(one)
     counted = both.groupBy(F.window("event_time", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return run_available_now(counted.select(F.unix_micros("w.start").alias("w_start"), "n"), "closed")
+    return run_available_now(counted.select(F.unix_micros("w.start").alias("w_start"), "n"), "closed", state_tasks=_state_tasks(spark, sf))
 
 
 @query("t3_stream_interval", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
 def stream_interval(spark, sf):
     pairs = stream_interval_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time",
                                  -6 * HOUR, 6 * HOUR, select=ids)
-    return run_available_now(pairs, "interval")
+    return run_available_now(pairs, "interval", state_tasks=_state_tasks(spark, sf))
 
 
 @query("t3_stream_interval_salted", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
 def stream_interval_salted(spark, sf):
     pairs = stream_interval_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time",
                                  -6 * HOUR, 6 * HOUR, select=ids, salts=3, row_id="event_id")
-    return run_available_now(pairs, "interval-salted")
+    return run_available_now(pairs, "interval-salted", state_tasks=_state_tasks(spark, sf))
 
 
 @query("t4_stream_tumbling", _windows_sql(6 * HOUR, 6 * HOUR))
 def stream_tumbling(spark, sf):
     pairs = stream_window_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time", 6 * HOUR, select=ids)
-    return run_available_now(pairs, "tumbling")
+    return run_available_now(pairs, "tumbling", state_tasks=_state_tasks(spark, sf))
 
 
 WORKERS = 400  # more than a small table needs, so that some users are hot
@@ -137,7 +150,7 @@ def stream_interval_hybrid(spark, sf):
     log = _user_log(spark, sf, folder)
     pairs = stream_interval_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time",
                                  -6 * HOUR, 6 * HOUR, select=ids, splits=log, row_id="event_id", a_row_id="event_id")
-    return run_available_now(pairs, folder=folder, splits=log)
+    return run_available_now(pairs, folder=folder, splits=log, state_tasks=_state_tasks(spark, sf))
 
 
 @query("t3_stream_interval_epochs", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS}"))
@@ -151,7 +164,7 @@ def stream_interval_epochs(spark, sf):
         files = _write_parts(spark, sf, f"{folder}/in", [k])
         pairs = stream_interval_join(*(_stream_of(spark, sf, f"{folder}/in", t, files) for t in ("click", "view")), "user_id", "event_time", "event_time",
                                      -6 * HOUR, 6 * HOUR, select=ids, splits=log, row_id="event_id", a_row_id="event_id")
-        found = run_available_now(pairs, folder=folder, splits=log)
+        found = run_available_now(pairs, folder=folder, splits=log, state_tasks=_state_tasks(spark, sf))
         if k + 1 < PARTS:
             arrived = spark.read.schema(schema).parquet(f"{folder}/in")
             log.extend_from(arrived.where("event_type = 'click'"), arrived.where("event_type = 'view'"), "ts", "ts", 6 * HOUR, WORKERS)
@@ -164,19 +177,19 @@ def stream_tumbling_hybrid(spark, sf):
     log = _user_log(spark, sf, folder)
     pairs = stream_window_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time", 6 * HOUR,
                                select=ids, splits=log, row_id="event_id", a_row_id="event_id")
-    return run_available_now(pairs, folder=folder, splits=log)
+    return run_available_now(pairs, folder=folder, splits=log, state_tasks=_state_tasks(spark, sf))
 
 
 @query("t5_stream_sliding", _windows_sql(6 * HOUR, 2 * HOUR))
 def stream_sliding(spark, sf):
     pairs = stream_window_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time", 6 * HOUR, 2 * HOUR, select=ids)
-    return run_available_now(pairs, "sliding")
+    return run_available_now(pairs, "sliding", state_tasks=_state_tasks(spark, sf))
 
 
 @query("t5_stream_hopping_gap", _windows_sql(2 * HOUR, 6 * HOUR))
 def stream_hopping(spark, sf):
     pairs = stream_window_join(event_stream(spark, sf, "click"), event_stream(spark, sf, "view"), "user_id", "event_time", "event_time", 2 * HOUR, 6 * HOUR, select=ids)
-    return run_available_now(pairs, "hopping")
+    return run_available_now(pairs, "hopping", state_tasks=_state_tasks(spark, sf))
 
 
 @query("t6_late_data", sql(f"SELECT {IDS_SQL} FROM a JOIN b ON a.user_id = b.user_id AND {SIX_HOURS} WHERE NOT (b.ts < {LATE_BEFORE} AND b.value % 2 = 0)"))
@@ -198,7 +211,7 @@ def late_data(spark, sf):
     for i in range(3):  # the query is stopped between arrivals and goes on from its checkpoint
         parts.where(F.col("arrival") == i).drop("arrival").write.mode("append").parquet(f"{folder}/in")
         pairs = stream_interval_join(stream("click"), stream("view"), "user_id", "event_time", "event_time", -6 * HOUR, 6 * HOUR, select=ids)
-        found = run_available_now(pairs, folder=f"{folder}/out")
+        found = run_available_now(pairs, folder=f"{folder}/out", state_tasks=_state_tasks(spark, sf))
     return found
 
 
@@ -241,11 +254,11 @@ def row_lateness(spark, sf):
 
     for k in range(PARTS):  # stopped after each part; all that was admitted of it, in however many files, is one micro-batch of the join
         low, high = (ends["a"] + (ends["b"] + 1 - ends["a"]) * n // PARTS for n in (k, k + 1))
-        rows.where((F.col("arrival") >= low) & (F.col("arrival") < high)).repartitionByRange(files, "arrival").write.mode("append").parquet(f"{folder}/in")
+        rows.where((F.col("arrival") >= low) & (F.col("arrival") < high)).repartition(files, "event_id").write.mode("append").parquet(f"{folder}/in")
         arriving = file_stream(spark, f"{folder}/in", rows.schema, files_per_batch=files)
         admit(arriving, f"{folder}/judged", ["click", "view"], source="event_type", at_us="ts", arrival="arrival", available_now=True).awaitTermination()
         pairs = stream_interval_join(stream("click"), stream("view"), "user_id", "event_time", "event_time", -6 * HOUR, 6 * HOUR, select=ids)
-        found = run_available_now(pairs, folder=f"{folder}/out")
+        found = run_available_now(pairs, folder=f"{folder}/out", state_tasks=_state_tasks(spark, sf))
     return found
 
 

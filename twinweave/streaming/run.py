@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from twinweave.operators.sampling import rate_sample
@@ -14,22 +14,37 @@ from twinweave.session import fresh_dir
 from twinweave.streaming.splits import SplitLog
 
 
-def run_available_now(df: DataFrame, label: str = "stream", *, folder: str | None = None, splits: SplitLog | None = None) -> DataFrame:
+def run_available_now(df: DataFrame, label: str = "stream", *, folder: str | None = None, splits: SplitLog | None = None,
+                      state_tasks: int | None = None) -> DataFrame:
     """Process all input there is, in as many micro-batches as the source gives, and read the result back.
 
-    ``splits`` is the log the query's join was built with; it is tied to the checkpoint."""
+    ``splits`` is the log the query's join was built with; it is tied to the checkpoint. ``state_tasks`` is over how many tasks
+    state is dealt (default: the shuffle partitions). Every task commits its stores in every micro-batch, whatever is in them. The
+    first run decides: the number is kept in the checkpoint, and later runs go on with it."""
     folder = folder or fresh_dir(df.sparkSession, label)
     if splits is not None:
         splits.bind(f"{folder}/checkpoint")
-    query = (
+    writer = (
         df.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
-        .trigger(availableNow=True).start()
+        .trigger(availableNow=True)
     )
+    query = writer.start() if state_tasks is None else _started(writer, df.sparkSession, state_tasks)
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
+def _started(writer: DataStreamWriter, spark: SparkSession, state_tasks: int) -> StreamingQuery:
+    """A query takes the settings its session has when it starts, and keeps them."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(state_tasks))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_until_idle(df: DataFrame, folder: str) -> DataFrame:
     """Process batch after batch until the source has no more for now, stop, and read back all that this and earlier runs in ``folder`` wrote."""
     query = (
