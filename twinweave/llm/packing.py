@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from twinweave.llm.tokens import END, encoder
+from twinweave.llm.tokens import ENCODED_BYTES, END, encoder
 from twinweave.llm.words import mixed, slices
 from twinweave.session import durable
 
@@ -79,7 +79,7 @@ def _tokens(file: str, spaced: bool, added: bool):
         kind = "<u2" if own.vocabulary <= 1 << 16 else "<u4"
         bucket = (mixed(np.arange(max(1 << 16, own.vocabulary), dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
         signs = _projection()
-        for part in slices(batches):
+        for part in slices(batches, size=ENCODED_BYTES):
             ids = [np.append(x, END).astype(kind) for x in own.encode(part.column("text"))]
             at = np.array([vector(x, bucket) for x in ids]) @ signs
             yield pa.RecordBatch.from_arrays(

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from twinweave.llm.files import Reader, Writer
 from twinweave.llm.rans import Table, decode, encode
-from twinweave.llm.tokens import END, encoder
+from twinweave.llm.tokens import ENCODED_BYTES, END, encoder
 from twinweave.llm.words import slices
 from twinweave.session import durable, fresh_dir
 
@@ -87,7 +87,7 @@ def _written(folder: str, file: str, spaced: bool, block_tokens: int, file_token
             now.close()
             ids, held, tokens = [], [], 0
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=ENCODED_BYTES):
             for doc, found in zip(batch.column("id").to_pylist(), own.encode(batch.column("text"))):
                 ids.append(doc)
                 held.append(np.append(found, END).astype(np.uint16 if own.vocabulary <= 1 << 16 else np.uint32))

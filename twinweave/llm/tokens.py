@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,8 @@ from twinweave.llm.words import Words, flat, mixed
 END = 1
 #: Pieces in one of the two generations a Python worker remembers. This bounds memory and nothing else.
 CACHED = 400_000
+#: Bytes of text encoded at a time: a worker keeps the memory of its largest step while it serves other tasks.
+ENCODED_BYTES = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _PUNCTUATION = np.zeros(256, bool)
@@ -52,6 +55,47 @@ def _rare_spaces(data: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Pieces:
+    """Ids of known pieces in four arrays, some 30 bytes for a piece: ``ids[starts[k]:starts[k] + sizes[k]]`` are those of ``keys[k]``; keys ascend."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def none(cls) -> Pieces:
+        return cls.of(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.uint32))
+
+    @classmethod
+    def of(cls, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> Pieces:
+        """From ids that lie in the order of ``keys``, whatever that is."""
+        order = np.argsort(keys)
+        return cls(keys[order], (np.cumsum(sizes, dtype=np.int64) - sizes)[order], sizes[order], ids)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 for an unknown one."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def taken(self, places: np.ndarray) -> Pieces:
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        inner = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[places] - ends + sizes, sizes)
+        return Pieces.of(self.keys[places], sizes, self.ids[inner])
+
+    def joined(self, other: Pieces) -> Pieces:
+        """These and others, of which no key is among these."""
+        if not len(other.keys):
+            return self
+        at = np.searchsorted(self.keys, other.keys)
+        return Pieces(np.insert(self.keys, at, other.keys), np.insert(self.starts, at, other.starts + len(self.ids)),
+                      np.insert(self.sizes, at, other.sizes), np.concatenate([self.ids, other.ids]))
+
+
 class Encoder:
     """``spaced``: the tokenizer keeps a space in front of a word (byte level); else it drops white space. ``added``: added tokens in a text
     are one id each."""
@@ -62,8 +106,7 @@ class Encoder:
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.spaced = spaced
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young, self.old = Pieces.none(), Pieces.none()
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of pieces, whether a space goes before each, and which texts must not be cut."""
@@ -105,23 +148,23 @@ class Encoder:
                 whole[row] = True
                 at = raw.find(token, int(offsets[row + 1]))
 
-    def _ids(self, keys: list[int], text_of) -> list[bytes]:
-        """Ids of each key as bytes; ``text_of(k)`` gives the text of the k-th."""
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for k, key in enumerate(keys):
-            if key not in young:
-                if key in old:
-                    young[key] = old[key]
-                else:
-                    new.append(k)
-        for at in range(0, len(new), 4096):
-            block = new[at:at + 4096]
-            for k, coded in zip(block, self.tokenizer.encode_batch_fast([text_of(k) for k in block], add_special_tokens=False)):
-                young[keys[k]] = array("I", coded.ids).tobytes()
-        return [young[k] for k in keys]
+    def _ids(self, keys: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each of these distinct keys begin, how many they are, and all ids; ``text_of(k)`` gives the text of the k-th."""
+        if len(self.young.keys) > CACHED:
+            self.old, self.young = self.young, Pieces.none()
+        new = np.flatnonzero(self.young.places(keys) < 0)
+        at = self.old.places(keys[new])
+        again, new = at[at >= 0], new[at < 0]
+        self.young = self.young.joined(self.old.taken(again))
+        own, sizes = array("I"), []
+        for k in range(0, len(new), 4096):
+            for coded in self.tokenizer.encode_batch_fast([text_of(j) for j in new[k:k + 4096].tolist()], add_special_tokens=False):
+                ids = coded.ids
+                own.extend(ids)
+                sizes.append(len(ids))
+        self.young = self.young.joined(Pieces.of(keys[new], np.array(sizes, np.int32), np.array(own, np.uint32)))
+        at = self.young.places(keys)
+        return self.young.starts[at], self.young.sizes[at], self.young.ids
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
@@ -134,7 +177,7 @@ class Encoder:
         hashes = words.hashes()
         hashes[lead] = mixed(hashes[lead] ^ np.uint64(0x5851F42D4C957F2D))
         numbered = pa.array(hashes).dictionary_encode()
-        index, keys = numbered.indices.to_numpy(), numbered.dictionary.to_numpy().tolist()
+        index, keys = numbered.indices.to_numpy(), numbered.dictionary.to_numpy()
         first = np.empty(len(keys), np.int64)
         first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
 
@@ -142,10 +185,8 @@ class Encoder:
             j = first[k]
             return (" " if lead[j] else "") + data[starts[j]:ends[j]].tobytes().decode()
 
-        values = self._ids(keys, text_of)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        table, base = np.frombuffer(b"".join(values), np.uint32), np.cumsum(sizes) - sizes
-        count = sizes[index]
+        base, sizes, table = self._ids(keys, text_of)
+        count = sizes[index].astype(np.int64)
         last = np.cumsum(count)
         ids = table[np.repeat(base[index] - last + count, count) + np.arange(int(last[-1]) if len(last) else 0)]
         bounds = np.concatenate([[0], last])[words.first]
