@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from twinweave.operators import heavy, skew
 from twinweave.operators.joins import STRATEGIES, interval_join, numeric_pair, sum_below, text_pair, window_join
+from twinweave.plans.catalog import QUERIES, SQL
 
 SCHEMA = "key long, value long, ts long"
 
@@ -217,3 +219,19 @@ def test_rows_with_many_copies_are_not_broadcast(spark, tmp_path, options):
     joined = interval_join(rows, rows, "key", "ts", "ts", -20, 20, row_id="event_id", a_row_id="event_id", **options)
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == sum(abs(i - j) <= 20 and i % 3 == j % 3 for i in range(200) for j in range(200))
+
+
+@pytest.mark.parametrize("crowd", [0, 30_000])
+def test_data_join_reaches_ten_minutes_however_many_events_there_are(spark, tmp_path, crowd):
+    """``crowd`` events of years later, an hour apart, are no partners of the first ones and take none of their pairs away."""
+    rng, reach = random.Random(5), 600_000_000
+    few = [(k, rng.randrange(20 * reach), rng.randrange(7)) for k in range(80)] + [(80, 0, 1), (81, reach, 6), (82, reach + 1, 1), (82, 0, 1), (83, 7, None), (83, 7, None)]
+    rows = spark.createDataFrame(few, "event_id long, us long, user_id long").unionAll(
+        spark.range(crowd).selectExpr("1000 + id AS event_id", "(100000 + id) * 3600000000 AS us", "id AS user_id"))
+    rows.selectExpr("event_id", "CAST(timestamp_micros(us) AS TIMESTAMP_NTZ) AS ts", "user_id", "'click' AS event_type", "1.5D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    pairs = "key, a_id, b_id"
+    got = rows_of(QUERIES["j8_interval_data"](spark, str(tmp_path)).where("a_id < 1000").select(*pairs.split(", ")))
+    assert got == sorted((u % 5, i, j) for i, t, u in few for j, s, v in few if None not in (u, v) and u % 5 == v % 5 and abs(t - s) <= reach)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT {pairs} FROM ({SQL['j8_interval_data']}) WHERE a_id < 1000").fetchall())

@@ -127,17 +127,17 @@ NEAR = 10 * MINUTE * 10_000
 NEAR_SQL = f"(SELECT {NEAR} // count(*) FROM ev)"
 
 
-def _few_sql(rows: str) -> str:
+def _few_sql(rows: str, near: str | int = NEAR_SQL) -> str:
     return sql(f"""SELECT x.key, x.event_id AS a_id, y.event_id AS b_id FROM {rows} x JOIN {rows} y
-      ON x.key = y.key AND y.ts BETWEEN x.ts - {NEAR_SQL} AND x.ts + {NEAR_SQL}""")
+      ON x.key = y.key AND y.ts BETWEEN x.ts - {near} AND x.ts + {near}""")
 
 
 def _span(rows):
     return NEAR // max(1, rows.count())
 
 
-def _near(rows, strategy, **options):
-    span = _span(rows)
+def _near(rows, strategy, span=None, **options):
+    span = _span(rows) if span is None else span
     return interval_join(rows, rows, "key", "ts", "ts", -span, span, strategy=strategy, select=pair_ids, row_id="event_id", a_row_id="event_id", **options)
 
 
@@ -147,9 +147,10 @@ def interval_key(spark, sf):
     return interval_join(*click_view(spark, sf), "user_id", "ts", "ts", -6 * HOUR, 6 * HOUR, select=ids, strategy="key")
 
 
-@query("j8_interval_data", _few_sql("few"))
+@query("j8_interval_data", _few_sql("few", 10 * MINUTE))
 def interval_data(spark, sf):
-    return _near(few_keys(spark, sf), "data")
+    """Ten minutes, however many events there are: every pair comes out, and denser events have more of them."""
+    return _near(few_keys(spark, sf), "data", span=10 * MINUTE)
 
 
 @query("j9_interval_hybrid", _few_sql("skewed"))
