@@ -152,3 +152,34 @@ def test_empty_tables_and_very_long_texts(spark):
     got = {r.id: r for r in perplexity.judge(docs, perplexity.train(docs)).collect()}
     assert (got[1].n_words, got[1].word_chars, got[1].n_symbols, got[1].n_dup_lines, got[1].n_repeat_words) == base(long)
     assert got[2].base_failed and got[3].nats is None and not got[3].kept
+
+
+def test_case_digits_and_letters_beyond_ascii_are_told_apart(spark):
+    """Texts that differ in one byte of a class: each odd one is less likely than the text all others repeat."""
+    spaces = b" \t\n\v\f\r"
+    assert len({int(perplexity.TABLE[b]) for b in range(256) if b not in spaces}) == 250
+    assert {int(perplexity.TABLE[b]) for b in spaces} == {0} and 0 not in {int(perplexity.TABLE[b]) for b in range(256) if b not in spaces}
+    common = " ".join(f"lorem ipsum {k % 10}1 (dolor) где мир 中文" for k in range(60))
+    odd = [common.replace(x, y) for x, y in (("lorem", "LOREM"), ("1", "2"), ("(", "{"), ("мир", "Ьир"), ("中", "丽"), ("文", "斗"), ("где", "гдх"))]
+    rows = [(k, common, "en") for k in range(9)] + [(100 + k, t, "en") for k, t in enumerate(odd)]
+    got = {r.id: r.nats for r in perplexity.judge(frame(spark, rows), perplexity.train(frame(spark, rows))).collect()}
+    plain = Plain([t for _, t, _ in rows], perplexity.ORDER)
+    assert all(got[k] == pytest.approx(plain.nats(t), rel=1e-5) for k, t, _ in rows)
+    assert all(got[100 + k] > got[0] * 1.001 for k in range(len(odd)))
+
+
+def test_counts_and_models_made_in_steps(monkeypatch):
+    column = pa.array(texts(6) + ["\U0010ffff\x00 Ж" * 9])
+    whole = perplexity.ngrams(column, perplexity.ORDER, perplexity.BYTES)[0]
+    own, counts = np.unique(whole, return_counts=True)
+    batches = [pa.RecordBatch.from_arrays([column.slice(k, 1)], names=["text"]) for k in range(len(column))]
+    table = pa.Table.from_batches(perplexity._counted(iter(batches)))
+    assert (table["key"].to_numpy().view(np.uint32) == own).all() and (table["n"].to_numpy() == counts).all() and own.max() >= 1 << 31
+    at_once = perplexity.Model.of(own, counts, perplexity.ORDER, perplexity.BYTES)
+    monkeypatch.setattr(perplexity, "_AT_ONCE", 7)
+    in_steps = perplexity.Model.of(own, counts, perplexity.ORDER, perplexity.BYTES)
+    for a, b in zip(at_once.grams + at_once.contexts, in_steps.grams + in_steps.contexts):
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    for context in [0, *(own[::97] >> 8)]:
+        every = (np.uint32(context) << np.uint32(8)) + np.arange(256, dtype=np.uint32)
+        assert np.exp(at_once.log_probability(every)).sum() == pytest.approx(1, abs=1e-4)
